@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = [
     "contact_centre",
+    "records",
 ]
 
 
