@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = [
     "contact_centre",
     "records",
+    "flows",
 ]
 
 
