@@ -11,6 +11,7 @@ _MODULES = [
     "contact_centre",
     "records",
     "flows",
+    "behaviour",
 ]
 
 
