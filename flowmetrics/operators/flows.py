@@ -20,21 +20,26 @@ from ..functions.core import pct
 Edge = tuple[int, str, str, Column | None]
 
 
-def flow_links(df: DataFrame, edges: Sequence[Edge], dims: Sequence[str] = (), fill: str | None = None) -> DataFrame:
+def flow_links(
+    df: DataFrame, edges: Sequence[Edge], dims: Sequence[str] = (), fill: str | None = None, weight: str | None = None
+) -> DataFrame:
     """Link rows ``(source, target, value, stage, *dims)``.
 
     An edge whose filter is NULL or FALSE for a row is not taken by it.
-    ``fill`` replaces NULL dimension values (e.g. ``'N/A'``).
+    ``fill`` replaces NULL dimension values (e.g. ``'N/A'``).  ``weight``
+    names a row-multiplicity column (value = sum of weights, not rows).
     """
     structs = []
     for stage, src, tgt, cond in edges:
         s = F.struct(F.lit(stage).alias("stage"), F.col(src).alias("source"), F.col(tgt).alias("target"))
         structs.append(s if cond is None else F.when(cond, s))
     dim_cols = [F.coalesce(F.col(d), F.lit(fill)).alias(d) if fill is not None else F.col(d) for d in dims]
-    taken = df.select(*dim_cols, F.explode(F.array_compact(F.array(*structs))).alias("e"))
+    w = [F.col(weight).alias("_w")] if weight else []
+    taken = df.select(*dim_cols, *w, F.explode(F.array_compact(F.array(*structs))).alias("e"))
+    value = F.sum("_w").cast("long") if weight else F.count(F.lit(1))
     links = taken.groupBy(
         F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.col("e.stage").alias("stage"), *dims
-    ).agg(F.count(F.lit(1)).alias("value"))
+    ).agg(value.alias("value"))
     return links.where(F.col("value") > 0).select("source", "target", "value", "stage", *dims)
 
 

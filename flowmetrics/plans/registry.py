@@ -12,6 +12,7 @@ _MODULES = [
     "records",
     "flows",
     "behaviour",
+    "bookings",
 ]
 
 
