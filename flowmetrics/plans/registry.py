@@ -13,6 +13,7 @@ _MODULES = [
     "flows",
     "behaviour",
     "bookings",
+    "operations",
 ]
 
 
