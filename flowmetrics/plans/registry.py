@@ -14,6 +14,7 @@ _MODULES = [
     "behaviour",
     "bookings",
     "operations",
+    "digital",
 ]
 
 
