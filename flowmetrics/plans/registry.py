@@ -15,6 +15,7 @@ _MODULES = [
     "bookings",
     "operations",
     "digital",
+    "consent",
 ]
 
 
