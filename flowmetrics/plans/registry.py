@@ -16,6 +16,7 @@ _MODULES = [
     "operations",
     "digital",
     "consent",
+    "commercial",
 ]
 
 
