@@ -17,6 +17,7 @@ _MODULES = [
     "digital",
     "consent",
     "commercial",
+    "dashboard",
 ]
 
 
