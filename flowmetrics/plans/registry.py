@@ -18,6 +18,7 @@ _MODULES = [
     "consent",
     "commercial",
     "dashboard",
+    "quality",
 ]
 
 
