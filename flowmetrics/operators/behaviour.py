@@ -59,36 +59,53 @@ def exists_after(
     ``day_number``).  NULL keys never match (SQL equality).  Every subject
     row is kept, with all its columns.
     """
+    return exists_after_many(subjects, key, pos, lo, hi, [(name, candidates, cand_key, cand_pos)], split)
+
+
+def exists_after_many(
+    subjects: DataFrame,
+    key: str | Column,
+    pos: Column,
+    lo: int,
+    hi: int,
+    candidate_sets: Sequence[tuple[str, DataFrame, str | Column, Column]],
+    split: int = 1,
+) -> DataFrame:
+    """Several EXISTS flags that share key and window, answered by ONE sweep.
+
+    Each candidate set ``(flag, frame, key, position)`` is tagged with its
+    index; a single window sort per (key, bucket) computes, for every flag,
+    the first later candidate of that set.
+    """
     if hi <= lo:
         raise ValueError("need lo < hi")
     width = hi - lo
     bucket = max(1, width // max(1, split))
     copies = math.ceil(width / bucket)
     key = F.col(key) if isinstance(key, str) else key
-    cand_key = F.col(cand_key) if isinstance(cand_key, str) else cand_key
-
-    s = subjects.select(
-        "*",
-        key.alias("_ek"),
-        (pos + F.lit(lo)).alias("_eq"),
-        F.lit(0).alias("_ekind"),
-    ).withColumn("_eb", F.floor(F.col("_eq") / F.lit(bucket)))
-    c = (
-        candidates.where(cand_key.isNotNull() & cand_pos.isNotNull())
-        .select(cand_key.alias("_ek"), cand_pos.alias("_eq"))
-        .distinct()
-        .withColumn("_ekind", F.lit(1))
-    )
+
+    s = subjects.select("*", key.alias("_ek"), (pos + F.lit(lo)).alias("_eq"), F.lit(-1).alias("_eset"))
+    s = s.withColumn("_eb", F.floor(F.col("_eq") / F.lit(bucket)))
+    cands = None
+    for i, (_, frame, ck, cp) in enumerate(candidate_sets):
+        ck = F.col(ck) if isinstance(ck, str) else ck
+        part = frame.where(ck.isNotNull() & cp.isNotNull()).select(ck.alias("_ek"), cp.alias("_eq"), F.lit(i).alias("_eset"))
+        cands = part if cands is None else cands.unionByName(part)
+    c = cands.distinct()
     cb = F.floor(F.col("_eq") / F.lit(bucket))
     c = c.withColumn("_eb", F.explode(F.sequence(cb - F.lit(copies), cb)))
     u = s.unionByName(c, allowMissingColumns=True)
-    w = Window.partitionBy("_ek", "_eb").orderBy(F.col("_eq").desc(), F.col("_ekind").asc()).rowsBetween(
+    w = Window.partitionBy("_ek", "_eb").orderBy(F.col("_eq").desc(), F.col("_eset").asc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    nxt = F.min(F.when(F.col("_ekind") == 1, F.col("_eq"))).over(w)
-    flagged = u.withColumn("_enext", nxt).where(F.col("_ekind") == 0)
-    flag = F.col("_ek").isNotNull() & F.coalesce(F.col("_enext") <= F.col("_eq") + F.lit(width), F.lit(False))
-    return flagged.withColumn(name, flag).drop("_ek", "_eq", "_ekind", "_eb", "_enext")
+    nexts = [F.min(F.when(F.col("_eset") == i, F.col("_eq"))).over(w).alias(f"_enext{i}") for i in range(len(candidate_sets))]
+    flagged = u.select("*", *nexts).where(F.col("_eset") == -1)
+    flags = [
+        (F.col("_ek").isNotNull() & F.coalesce(F.col(f"_enext{i}") <= F.col("_eq") + F.lit(width), F.lit(False))).alias(name)
+        for i, (name, *_) in enumerate(candidate_sets)
+    ]
+    helpers = ["_ek", "_eq", "_eset", "_eb"] + [f"_enext{i}" for i in range(len(candidate_sets))]
+    return flagged.select(*[c for c in flagged.columns if c not in helpers], *flags)
 
 
 def exists_within_ts(
@@ -118,6 +135,25 @@ def exists_within_ts(
     )
 
 
+def exists_within_ts_many(
+    subjects: DataFrame, key: str, ts: str, max_seconds: int, min_seconds: int,
+    candidate_sets: Sequence[tuple[str, DataFrame, str, str]], split: int = 1,
+) -> DataFrame:
+    """Several timestamp-window EXISTS flags in one sweep: ``(flag, frame, key, ts)`` sets."""
+    sets = [(n, f, k, ts_micros(t)) for n, f, k, t in candidate_sets]
+    return exists_after_many(
+        subjects, key, ts_micros(ts), min_seconds * MICROS_PER_SECOND, max_seconds * MICROS_PER_SECOND, sets, split
+    )
+
+
+def exists_within_days_many(
+    subjects: DataFrame, key: str, day: str, days: int, candidate_sets: Sequence[tuple[str, DataFrame, str, str]]
+) -> DataFrame:
+    """Several inclusive day-window EXISTS flags in one sweep."""
+    sets = [(n, f, k, day_number(d)) for n, f, k, d in candidate_sets]
+    return exists_after_many(subjects, key, day_number(day), -1, days, sets)
+
+
 def exists_within_days(
     subjects: DataFrame,
     candidates: DataFrame,

@@ -98,8 +98,16 @@ def renewal_deflection_funnel(spark, sf_dir):
         (F.col("kpi_name") == "Renewals") & (F.col("created_date") >= F.lit(SINCE_30D.date())) & (F.col("success_status") == "Y")
     )
     callbacks = _since(voice.where(R.agent_handled()), "ts", SINCE_30D)
-    f = B.exists_within_days(subjects, j.where(F.col("channel") == "Self Serve"), "acct_num", "deflection_date", "renewed_self_serve", 7, "account_number", "created_date")
-    f = B.exists_within_days(f, j.where(F.col("channel") == "Agent"), "acct_num", "deflection_date", "renewed_via_agent", 7, "account_number", "created_date")
+    f = B.exists_within_days_many(
+        subjects,
+        "acct_num",
+        "deflection_date",
+        7,
+        [
+            ("renewed_self_serve", j.where(F.col("channel") == "Self Serve"), "account_number", "created_date"),
+            ("renewed_via_agent", j.where(F.col("channel") == "Agent"), "account_number", "created_date"),
+        ],
+    )
     f = B.exists_within_ts(f, callbacks, "phone", "deflection_ts", "called_back", 7 * DAY, cand_key="endpoint", cand_ts="ts")
     agg = f.agg(
         F.count(F.lit(1)).alias("trackable_deflected"),
@@ -160,9 +168,14 @@ def visit_success(spark, sf_dir):
         (F.col("kpi_name") == "Renewals") & (F.col("channel") == "Self Serve") & (F.col("success_status") == "Y")
         & (F.col("created_date") >= F.lit(SINCE_30D.date()))
     )
-    f = B.exists_within_days(subjects, visits, "acct_num", "deflection_date", "visited", 7, "account_number", "visit_date")
+    f = B.exists_within_days_many(
+        subjects,
+        "acct_num",
+        "deflection_date",
+        7,
+        [("visited", visits, "account_number", "visit_date"), ("completed_flag", done, "account_number", "created_date")],
+    )
     f = B.exists_within_days(f, visits, "acct_num", "deflection_date", "same_day", 0, "account_number", "visit_date")
-    f = B.exists_within_days(f, done, "acct_num", "deflection_date", "completed_flag", 7, "account_number", "created_date")
     agg = f.groupBy("channel").agg(
         F.count_distinct("contact_id").alias("trackable"),
         F.count_distinct(F.when(F.col("visited"), F.col("contact_id"))).alias("visited_page"),
@@ -206,14 +219,26 @@ def post_deflection_funnel(spark, sf_dir):
     cands = c.where(scope).select("endpoint", "ts", "channel")
     lo, hi = 30 * 60, 3 * DAY
 
-    def sweep(df, key, cand, name):
-        return B.exists_within_ts(df, cand, key, "ts", name, hi, lo, cand_key="endpoint", cand_ts="ts")
-
-    f = sweep(dm, "phone", cands, "r_phone")
-    f = sweep(f, "email_addr", cands, "r_email")
-    f = sweep(f, "phone", cands.where(F.col("channel") == "VOICE"), "r_voice")
-    f = sweep(f, "email_addr", cands.where(F.col("channel") == "EMAIL"), "r_mail")
-    f = sweep(f, "phone", cands.where(F.col("channel") == "CHAT"), "r_chat")
+    f = B.exists_within_ts_many(
+        dm,
+        "phone",
+        "ts",
+        hi,
+        lo,
+        [
+            ("r_phone", cands, "endpoint", "ts"),
+            ("r_voice", cands.where(F.col("channel") == "VOICE"), "endpoint", "ts"),
+            ("r_chat", cands.where(F.col("channel") == "CHAT"), "endpoint", "ts"),
+        ],
+    )
+    f = B.exists_within_ts_many(
+        f,
+        "email_addr",
+        "ts",
+        hi,
+        lo,
+        [("r_email", cands, "endpoint", "ts"), ("r_mail", cands.where(F.col("channel") == "EMAIL"), "endpoint", "ts")],
+    )
     per_contact = f.groupBy("contact_id", "deflection_type", "acct_num", "contact_date").agg(
         F.max((F.col("r_phone") | F.col("r_email")).cast("int")).alias("had_repeat_contact"),
         F.max(F.col("r_voice").cast("int")).alias("repeat_voice"),
@@ -223,9 +248,17 @@ def post_deflection_funnel(spark, sf_dir):
     since21 = SINCE_30D
     visits = _visits(spark, sf_dir, ["Renewal%", "Submit Read%", "Payment%", "Direct Debit%"])
     jn = journeys(spark, sf_dir).where((F.col("success_status") == "Y") & (F.col("created_date") >= F.lit(since21.date())))
-    o = B.exists_within_days(per_contact, visits, "acct_num", "contact_date", "visited", 7, "account_number", "visit_date")
-    o = B.exists_within_days(o, jn.where(F.col("channel") == "Self Serve"), "acct_num", "contact_date", "self_serve", 7, "account_number", "created_date")
-    o = B.exists_within_days(o, jn.where(F.col("channel") == "Agent"), "acct_num", "contact_date", "via_agent", 7, "account_number", "created_date")
+    o = B.exists_within_days_many(
+        per_contact,
+        "acct_num",
+        "contact_date",
+        7,
+        [
+            ("visited", visits, "account_number", "visit_date"),
+            ("self_serve", jn.where(F.col("channel") == "Self Serve"), "account_number", "created_date"),
+            ("via_agent", jn.where(F.col("channel") == "Agent"), "account_number", "created_date"),
+        ],
+    )
     trackable = F.col("acct_num").isNotNull()
     agg = o.groupBy("deflection_type").agg(
         F.count(F.lit(1)).alias("total_deflected"),

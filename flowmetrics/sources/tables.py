@@ -15,7 +15,23 @@ TABLES = (
 ).split()
 
 
+_HANDLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy scan of one table.
+
+    The resolved scan (file listing + footer schema) is memoised per
+    application and path, so building many queries over the same tables
+    does not list and infer the files again.  Nothing is cached in memory:
+    each query still plans its own pruned, filtered scan.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _HANDLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _HANDLES[key] = df
+    return df
