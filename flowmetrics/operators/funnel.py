@@ -82,6 +82,8 @@ def journey_weights(
     channel: str = "offer_channel",
     outcome: str = "outcome",
     dims: Sequence[str] = (),
+    offer_dims: Sequence[str] = (),
+    booking_dims: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of ``offers FULL JOIN waiting FULL JOIN bookings`` as weights.
 
@@ -91,15 +93,16 @@ def journey_weights(
     waiting-list rows and bookings per key (and outcome), then the three
     small aggregates are joined on the key and multiplied.
     """
-    o = offers.groupBy(key, channel).agg(F.count(F.lit(1)).alias("_no"))
+    o = offers.groupBy(key, channel, *offer_dims).agg(F.count(F.lit(1)).alias("_no"))
     w = waiting.groupBy(key, *dims).agg(F.count(F.lit(1)).alias("_nw"))
-    b = bookings.groupBy(key, outcome).agg(F.count(F.lit(1)).alias("_nb"))
+    b = bookings.groupBy(key, outcome, *booking_dims).agg(F.count(F.lit(1)).alias("_nb"))
     left = o.join(w, key, "full").select(
         key,
         F.when(F.col("_nw").isNotNull(), "Waiting List").otherwise("Direct").alias("entry_path"),
         F.col(channel).alias("offer_channel"),
         (F.coalesce("_no", F.lit(1)) * F.coalesce("_nw", F.lit(1))).alias("_nl"),
         *dims,
+        *offer_dims,
     )
     j = left.join(b, key, "full")
     return j.select(
@@ -110,6 +113,8 @@ def journey_weights(
         F.col(outcome).alias("outcome"),
         (F.coalesce("_nl", F.lit(1)) * F.coalesce("_nb", F.lit(1))).cast("long").alias("weight"),
         *dims,
+        *offer_dims,
+        *booking_dims,
     )
 
 
@@ -140,3 +145,60 @@ def conversion_stats(weights: DataFrame) -> DataFrame:
         "cancelled_count",
         "pending_count",
     ).orderBy("entry_path", "offer_channel")
+
+
+def funnel_with_dims(
+    waiting: DataFrame,
+    offers: DataFrame,
+    bookings: DataFrame,
+    key: str = "billing_account_id",
+) -> DataFrame:
+    """Distinct accounts per funnel stage and filter dimensions.
+
+    ``waiting`` (key, registration_date), ``offers`` (key, offer_channel,
+    offer_date), ``bookings`` (key, booking_date, appointment_date,
+    outcome).  Each side is reduced to DISTINCT tuples before the left joins
+    (the result is a COUNT DISTINCT, so join duplicates cannot matter); the
+    per-account pairing is then bounded by distinct dates, not by rows.
+    Stages are emitted with one ``explode`` and counted in one aggregate.
+    """
+    from ..functions.core import week_label
+
+    wl = waiting.select(key, "registration_date").distinct()
+    o = offers.select(key, "offer_channel", "offer_date").distinct()
+    b = bookings.select(key, "booking_date", "appointment_date", "outcome").distinct()
+    o = o.withColumn("_offered", F.lit(True))
+    b = b.withColumn("_booked", F.lit(True))
+    j = wl.join(o, key, "left").join(b, key, "left")
+    first = first_touch("registration_date", "offer_date", "booking_date")
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    dims = [
+        F.coalesce(F.col("offer_channel"), F.lit("Not Yet Offered")).alias("offer_channel"),
+        F.coalesce(week_label(first), F.lit("N/A")).alias("first_contact_week"),
+        F.coalesce(month(first), F.lit("N/A")).alias("first_contact_month"),
+        F.coalesce(week_label("offer_date"), F.lit("N/A")).alias("offer_week"),
+        F.coalesce(month("offer_date"), F.lit("N/A")).alias("offer_month"),
+        F.coalesce(week_label("registration_date"), F.lit("N/A")).alias("registration_week"),
+        F.coalesce(week_label("appointment_date"), F.lit("N/A")).alias("appointment_week"),
+        F.coalesce(month("appointment_date"), F.lit("N/A")).alias("appointment_month"),
+    ]
+    names = [
+        "offer_channel", "first_contact_week", "first_contact_month", "offer_week", "offer_month",
+        "registration_week", "appointment_week", "appointment_month",
+    ]
+    stages = F.array_compact(
+        F.array(
+            F.lit(1),
+            F.when(F.col("_offered"), F.lit(2)),
+            F.when(F.col("_booked"), F.lit(3)),
+            F.when(F.col("outcome") == "Completed", F.lit(4)),
+        )
+    )
+    rows = j.where(first.isNotNull()).select(key, *dims, F.explode(stages).alias("stage_number"))
+    labels = {1: "1. SMBP No Slots → Waitlist", 2: "2. Offered Slot", 3: "3. Booked", 4: "4. Completed"}
+    name = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])[F.col("stage_number")]
+    return (
+        rows.groupBy("stage_number", name.alias("stage_name"), *names)
+        .agg(F.count_distinct(key).alias("customers"))
+        .orderBy("stage_number", "offer_channel", "first_contact_week")
+    )
