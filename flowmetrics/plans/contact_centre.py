@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from ..functions import contact_rules as R
+from ..functions.core import pct
 from ..operators import deflection as D
-from ..sources.standins import contacts
+from ..sources.standins import contacts, journeys
 from .common import EVENTS_AS_OF, EVENTS_DAYS, sql_list, with_views
 
 # Window used by the registered queries: every day of the events table.
@@ -51,7 +56,89 @@ def safeguard_breakdown(spark, sf_dir):
     return D.safeguard_breakdown(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS, case_days=EVENTS_DAYS)
 
 
+def _later_success(spark, sf_dir, subjects, day_col):
+    """J7 as a max-aggregate: a success on or after ``day`` exists iff the
+    account's latest success date is >= ``day`` (one row per account, equi-join)."""
+    j = journeys(spark, sf_dir).where(
+        (F.col("success_status") == "Y") & (F.col("created_date") >= F.lit(EVENTS_AS_OF - dt.timedelta(days=EVENTS_DAYS)))
+    )
+    last = j.groupBy(F.col("account_number").alias("account")).agg(F.max("created_date").alias("_last"))
+    return subjects.join(last, "account", "left").withColumn("_done", F.coalesce(F.col("_last") >= F.col(day_col), F.lit(False)))
+
+
+def deflected_completion(spark, sf_dir):
+    """Deflected accounts that completed a self-service journey on or after the call."""
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS).where(
+        (F.col("channel") == "VOICE") & R.voice_deflected(R.SELF_SERVICE_LIST_A) & F.col("account").isNotNull()
+    )
+    d = c.select(
+        "account", F.to_date("ts").alias("deflection_date"), F.col("selfservice").alias("deflection_type"),
+        F.coalesce("intent", "initial_intent").alias("intent"),
+    ).distinct()
+    f = _later_success(spark, sf_dir, d, "deflection_date")
+    agg = f.groupBy("deflection_type").agg(
+        F.count_distinct("account").alias("deflected_accounts"),
+        F.count_distinct(F.when(F.col("_done"), F.col("account"))).alias("completed_online"),
+    )
+    return agg.withColumn("completion_rate_pct", pct("completed_online", "deflected_accounts")).orderBy(
+        F.col("deflected_accounts").desc(), "deflection_type"
+    )
+
+
+def abandoned_later_self_served(spark, sf_dir):
+    """Abandoned (not deflected) callers who later self-served, intents with >= 10 accounts."""
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS).where(
+        R.base_filter("VOICE")
+        & F.col("agent_ts").isNull()
+        & (F.col("selfservice").isNull() | F.col("selfservice").isin("rejected", "error"))
+        & F.col("account").isNotNull()
+    )
+    a = c.select("account", F.to_date("ts").alias("contact_date"), F.coalesce("intent", "initial_intent").alias("intent")).distinct()
+    f = _later_success(spark, sf_dir, a, "contact_date")
+    agg = f.groupBy("intent").agg(
+        F.count_distinct("account").alias("abandoned_accounts"),
+        F.count_distinct(F.when(F.col("_done"), F.col("account"))).alias("later_self_served"),
+    )
+    return (
+        agg.where(F.col("abandoned_accounts") >= 10)
+        .withColumn("self_serve_rate_pct", pct("later_self_served", "abandoned_accounts"))
+        .orderBy(F.col("abandoned_accounts").desc(), "intent")
+    )
+
+
+def self_service_failures(spark, sf_dir):
+    """Rejected / error self-service attempts by intent."""
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS).where(
+        R.base_filter("VOICE") & F.col("selfservice").isin("rejected", "error")
+    )
+    return (
+        c.groupBy(F.col("selfservice").alias("failure_type"), F.coalesce("intent", "initial_intent").alias("intent"))
+        .agg(F.count(F.lit(1)).alias("contacts"), F.count_distinct("account").alias("unique_accounts"))
+        .orderBy(F.col("contacts").desc(), "failure_type", "intent")
+    )
+
+
+def queue_abandonment(spark, sf_dir):
+    """Queue abandonment with average and maximum wait."""
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS).where(
+        R.base_filter("VOICE") & F.col("agent_ts").isNull() & F.col("queue_name").isNotNull()
+    )
+    return (
+        c.groupBy("queue_name", F.coalesce("intent", "initial_intent").alias("intent"))
+        .agg(
+            F.count(F.lit(1)).alias("abandoned"),
+            F.round(F.avg("queue_seconds"), 0).alias("avg_queue_wait_sec"),
+            F.max("queue_seconds").alias("max_queue_wait_sec"),
+        )
+        .orderBy(F.col("abandoned").desc(), "queue_name", "intent")
+    )
+
+
 QUERIES = {
+    "deflected_completion": deflected_completion,
+    "abandoned_later_self_served": abandoned_later_self_served,
+    "self_service_failures": self_service_failures,
+    "queue_abandonment": queue_abandonment,
     "voice_contact_funnel": voice_contact_funnel,
     "email_contact_funnel": email_contact_funnel,
     "chat_contact_funnel": chat_contact_funnel,
@@ -226,3 +313,52 @@ left join (
 group by e.intent""",
     ),
 }
+
+
+ORACLE["deflected_completion"] = with_views(
+    ["contacts", "journeys"],
+    f"""
+select d.deflection_type, count(distinct d.account) as deflected_accounts,
+       count(distinct case when ss.account_number is not null then d.account end) as completed_online,
+       round(cast(count(distinct case when ss.account_number is not null then d.account end) as double) * 100.0
+             / nullif(cast(count(distinct d.account) as double), 0), 1) as completion_rate_pct
+from (select distinct account, cast(ts as date) as deflection_date, selfservice as deflection_type,
+             coalesce(intent, initial_intent) as intent
+      from contacts where {WINDOW_SQL} and channel = 'VOICE' and selfservice in ({LIST_A}) and account is not null) d
+left join (select * from journeys where created_date >= date '2024-01-01') ss
+  on d.account = ss.account_number and ss.created_date >= d.deflection_date and ss.success_status = 'Y'
+group by d.deflection_type""",
+)
+ORACLE["abandoned_later_self_served"] = with_views(
+    ["contacts", "journeys"],
+    f"""
+select a.intent, count(distinct a.account) as abandoned_accounts,
+       count(distinct case when ss.account_number is not null then a.account end) as later_self_served,
+       round(cast(count(distinct case when ss.account_number is not null then a.account end) as double) * 100.0
+             / nullif(cast(count(distinct a.account) as double), 0), 1) as self_serve_rate_pct
+from (select distinct account, cast(ts as date) as contact_date, coalesce(intent, initial_intent) as intent
+      from contacts where {WINDOW_SQL} and channel = 'VOICE' and initiation = 'INBOUND' and agent_ts is null
+        and (selfservice is null or selfservice in ('rejected', 'error')) and account is not null) a
+left join (select distinct account_number, created_date from journeys
+           where created_date >= date '2024-01-01' and success_status = 'Y') ss
+  on a.account = ss.account_number and ss.created_date >= a.contact_date
+group by a.intent
+having count(distinct a.account) >= 10""",
+)
+ORACLE["self_service_failures"] = with_views(
+    ["contacts"],
+    f"""
+select selfservice as failure_type, coalesce(intent, initial_intent) as intent, count(*) as contacts,
+       count(distinct account) as unique_accounts
+from contacts where {WINDOW_SQL} and channel = 'VOICE' and initiation = 'INBOUND' and selfservice in ('rejected', 'error')
+group by 1, 2""",
+)
+ORACLE["queue_abandonment"] = with_views(
+    ["contacts"],
+    f"""
+select queue_name, coalesce(intent, initial_intent) as intent, count(*) as abandoned,
+       round(avg(queue_seconds), 0) as avg_queue_wait_sec, max(queue_seconds) as max_queue_wait_sec
+from contacts where {WINDOW_SQL} and channel = 'VOICE' and initiation = 'INBOUND' and agent_ts is null
+  and queue_name is not null
+group by 1, 2""",
+)
