@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import contact_rules as R
-from ..functions.core import pct
+from ..functions.core import count_if, pct
 from ..operators import deflection as D
 from ..sources.standins import contacts, journeys
 from .common import EVENTS_AS_OF, EVENTS_DAYS, sql_list, with_views
@@ -134,7 +134,65 @@ def queue_abandonment(spark, sf_dir):
     )
 
 
+def _scope(c):
+    return c.where(R.base_filter("VOICE") | R.base_filter("EMAIL") | R.base_filter("CHAT"))
+
+
+def channel_take_rates(spark, sf_dir):
+    """R1 (A21): intent, eligibility, take rate per channel in ONE conditional aggregate.
+
+    Eligibility and "taken" are channel-specific expressions, so the three
+    per-channel scans + UNION of the documented query become one scan.
+    """
+    c = _scope(D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS))
+    ch = F.col("channel")
+    eligible = F.when(ch == "EMAIL", R.in_list("intent", R.EMAIL_DEFLECTABLE_INTENTS)).otherwise(
+        R.in_list("intent", R.OFFERED_INTENTS)
+    )
+    taken = F.when(
+        ch == "EMAIL",
+        R.in_list("intent", R.EMAIL_DEFLECTABLE_INTENTS) & (F.col("disconnect_reason") == "CONTACT_FLOW_DISCONNECT") & F.col("queue_name").isNull(),
+    ).otherwise(R.voice_deflected(R.SELF_SERVICE_LIST_B))
+    agg = c.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("total_contacts"),
+        count_if(F.col("intent").isNotNull()).alias("intent_detected"),
+        count_if(eligible).alias("deflection_eligible"),
+        count_if(taken).alias("deflection_taken"),
+        count_if((ch == "VOICE") & (F.col("selfservice") == "rejected")).alias("deflection_rejected"),
+        count_if(R.agent_handled()).alias("spoke_to_agent"),
+    )
+    return agg.select(
+        "channel", "total_contacts", "intent_detected", pct("intent_detected", "total_contacts").alias("intent_rate_pct"),
+        "deflection_eligible", "deflection_taken", pct("deflection_taken", "deflection_eligible").alias("take_rate_pct"),
+        "deflection_rejected", "spoke_to_agent",
+    ).orderBy(F.col("total_contacts").desc())
+
+
+def channel_intent_breakdown(spark, sf_dir):
+    """R2 (A20, A66): taken / rejected / agent by channel x intent, plus the 'offered' stage."""
+    intents = R.OFFERED_INTENTS + ("FinalBillIntent", "PaymentIntent")
+    c = _scope(D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)).where(R.in_list("intent", intents))
+    ch = F.col("channel")
+    taken = (
+        F.when(ch == "EMAIL", (F.col("disconnect_reason") == "CONTACT_FLOW_DISCONNECT") & F.col("queue_name").isNull())
+        .otherwise(R.voice_deflected(R.SELF_SERVICE_LIST_B))
+    )
+    return (
+        c.groupBy("channel", "intent")
+        .agg(
+            F.count(F.lit(1)).alias("total_with_intent"),
+            count_if(taken).alias("deflection_taken"),
+            count_if((ch == "VOICE") & (F.col("selfservice") == "rejected")).alias("deflection_rejected"),
+            count_if(R.agent_handled()).alias("spoke_to_agent"),
+            count_if(R.offered()).alias("offered"),
+        )
+        .orderBy("channel", F.col("total_with_intent").desc(), "intent")
+    )
+
+
 QUERIES = {
+    "channel_take_rates": channel_take_rates,
+    "channel_intent_breakdown": channel_intent_breakdown,
     "deflected_completion": deflected_completion,
     "abandoned_later_self_served": abandoned_later_self_served,
     "self_service_failures": self_service_failures,
@@ -362,3 +420,42 @@ from contacts where {WINDOW_SQL} and channel = 'VOICE' and initiation = 'INBOUND
   and queue_name is not null
 group by 1, 2""",
 )
+
+_SCOPE_SQL = """((channel = 'VOICE' and initiation = 'INBOUND') or (channel = 'EMAIL' and initiation = 'INBOUND')
+       or (channel = 'CHAT' and initiation = 'API'))"""
+ORACLE["channel_take_rates"] = with_views(
+    ["contacts"],
+    f"""
+select channel, total_contacts, intent_detected,
+       round(cast(intent_detected as double) * 100.0 / nullif(cast(total_contacts as double), 0), 1) as intent_rate_pct,
+       deflection_eligible, deflection_taken,
+       round(cast(deflection_taken as double) * 100.0 / nullif(cast(deflection_eligible as double), 0), 1) as take_rate_pct,
+       deflection_rejected, spoke_to_agent
+from (
+  select channel, count(*) as total_contacts,
+    count(*) filter (where intent is not null) as intent_detected,
+    count(*) filter (where (channel = 'EMAIL' and intent in ({EMAIL_INTENTS}))
+                        or (channel != 'EMAIL' and intent in ({OFFERED}))) as deflection_eligible,
+    count(*) filter (where (channel = 'EMAIL' and intent in ({EMAIL_INTENTS})
+                            and disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and queue_name is null)
+                        or (channel != 'EMAIL' and selfservice in ({LIST_B}))) as deflection_taken,
+    count(*) filter (where channel = 'VOICE' and selfservice = 'rejected') as deflection_rejected,
+    count(*) filter (where agent_ts is not null) as spoke_to_agent
+  from contacts where {WINDOW_SQL} and {_SCOPE_SQL}
+  group by channel
+) s""",
+)
+ORACLE["channel_intent_breakdown"] = with_views(
+    ["contacts"],
+    f"""
+select channel, intent, count(*) as total_with_intent,
+  count(*) filter (where (channel = 'EMAIL' and disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and queue_name is null)
+                      or (channel != 'EMAIL' and selfservice in ({LIST_B}))) as deflection_taken,
+  count(*) filter (where channel = 'VOICE' and selfservice = 'rejected') as deflection_rejected,
+  count(*) filter (where agent_ts is not null) as spoke_to_agent,
+  count(*) filter (where intent in ({OFFERED}) and (selfservice is not null or agent_ts is not null
+                                                    or queue_name is not null)) as offered
+from contacts where {WINDOW_SQL} and {_SCOPE_SQL}
+  and intent in ({OFFERED}, 'FinalBillIntent', 'PaymentIntent')
+group by channel, intent""",
+)
