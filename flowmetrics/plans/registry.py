@@ -19,6 +19,7 @@ _MODULES = [
     "commercial",
     "dashboard",
     "quality",
+    "engagement",
 ]
 
 
