@@ -140,3 +140,14 @@ def month_start(c: str | Column) -> Column:
 def safe_first(arr: Column) -> Column:
     """First element of an array or NULL when empty (ANSI ``[0]`` raises)."""
     return F.get(arr, 0)
+
+
+def literal_table(spark, rows, names: Sequence[str]):
+    """A small fixed table built JVM-side (``inline`` of an array of structs).
+
+    Used for rule tables whose size is fixed by code (eligibility matrix,
+    thresholds), so broadcasting them is provably bounded and no Python
+    worker is needed to materialise them.
+    """
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..functions import contact_rules as R
-from ..functions.core import count_if, is_null_or_empty, pct
+from ..functions.core import count_if, is_null_or_empty, literal_table, pct
 from ..functions.nested import explode_ids
 from ..operators import behaviour as B
 from ..operators.deflection import in_days
@@ -98,8 +97,7 @@ def _eligibility_frame(spark) -> DataFrame:
     rows = []
     for intent, voice, chat, email in ELIGIBILITY:
         rows += [("VOICE", intent, voice), ("CHAT", intent, chat), ("EMAIL", intent, email)]
-    schema = StructType([StructField("channel", StringType()), StructField("intent", StringType()), StructField("eligible", BooleanType())])
-    return spark.createDataFrame(rows, schema)
+    return literal_table(spark, rows, ["channel", "intent", "eligible"])
 
 
 def eligibility_by_channel(spark, sf_dir):
@@ -139,10 +137,7 @@ def rag_status(spark, sf_dir):
         .unionByName(e.selectExpr("'Email Take Rate' as metric", "`Email Take Rate` as value"))
         .unionByName(rc.selectExpr("'Repeat Contact Rate' as metric", "`Repeat Contact Rate` as value"))
     )
-    schema = StructType(
-        [StructField("metric", StringType()), StructField("green", DoubleType()), StructField("amber", DoubleType()), StructField("higher_is_better", BooleanType())]
-    )
-    th = spark.createDataFrame(list(RAG_THRESHOLDS), schema)
+    th = literal_table(spark, RAG_THRESHOLDS, ["metric", "green", "amber", "higher_is_better"])
     j = metrics.join(F.broadcast(th), "metric")
     hib = F.col("higher_is_better")
     status = (
