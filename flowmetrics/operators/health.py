@@ -84,12 +84,14 @@ def followon_rate(a: DataFrame, a_key: str, kind: str, b: DataFrame, b_key: str,
     Distinct (key, type) on one side, distinct keys on the other, flagged by
     a left join on the key; counts are distinct so no fan-out is possible.
     """
-    ea = a.select(F.col(a_key).alias("_k"), F.col(kind).alias(kind)).distinct()
+    ea = a.where(F.col(a_key).isNotNull()).select(F.col(a_key).alias("_k"), F.col(kind).alias(kind)).distinct()
     cb = b.select(F.col(b_key).alias("_k")).distinct().withColumn("_c", F.lit(True))
     j = ea.join(cb, "_k", "left")
+    # (key, kind) is distinct and the right side is one row per key, so each
+    # row is one account of its kind: counts replace COUNT(DISTINCT).
     agg = j.groupBy(kind).agg(
-        F.count_distinct("_k").alias("accounts_with_error"),
-        F.count_distinct(F.when(F.col("_c"), F.col("_k"))).alias("accounts_that_contacted"),
+        F.count(F.lit(1)).alias("accounts_with_error"),
+        count_if(F.col("_c").isNotNull()).alias("accounts_that_contacted"),
     )
     return agg.withColumn("contact_rate_pct", pct("accounts_that_contacted", "accounts_with_error", digits)).orderBy(
         F.col("accounts_with_error").desc(), kind

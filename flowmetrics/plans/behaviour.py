@@ -176,11 +176,13 @@ def visit_success(spark, sf_dir):
         [("visited", visits, "account_number", "visit_date"), ("completed_flag", done, "account_number", "created_date")],
     )
     f = B.exists_within_days(f, visits, "acct_num", "deflection_date", "same_day", 0, "account_number", "visit_date")
+    # Subjects are one row per contact, so the documented COUNT(DISTINCT contactid)
+    # columns are plain counts / flag sums: no Expand of the rows per distinct.
     agg = f.groupBy("channel").agg(
-        F.count_distinct("contact_id").alias("trackable"),
-        F.count_distinct(F.when(F.col("visited"), F.col("contact_id"))).alias("visited_page"),
-        F.count_distinct(F.when(F.col("same_day"), F.col("contact_id"))).alias("visited_same_day"),
-        F.count_distinct(F.when(F.col("completed_flag"), F.col("contact_id"))).alias("completed"),
+        F.count(F.lit(1)).alias("trackable"),
+        F.sum(F.col("visited").cast("long")).alias("visited_page"),
+        F.sum(F.col("same_day").cast("long")).alias("visited_same_day"),
+        F.sum(F.col("completed_flag").cast("long")).alias("completed"),
     )
     return agg.select(
         "channel", "trackable", "visited_page", pct("visited_page", "trackable").alias("visited_pct"), "visited_same_day", "completed"
