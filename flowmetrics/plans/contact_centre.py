@@ -190,7 +190,75 @@ def channel_intent_breakdown(spark, sf_dir):
     )
 
 
+def email_outcome_breakdown(spark, sf_dir):
+    """Seven-way e-mail outcome; empty strings count as missing."""
+    from ..functions.core import classify, is_null_or_empty
+
+    c = D.in_days(contacts(spark, sf_dir).where(R.base_filter("EMAIL")), EVENTS_AS_OF, EVENTS_DAYS)
+    reason, queue = F.col("disconnect_reason"), F.col("queue_name")
+    outcome = classify(
+        [
+            (queue == "Dropped Emails", "1. Spam/OOO (Dropped Emails queue)"),
+            (R.agent_handled(), "2. Agent Handled"),
+            ((reason == "CONTACT_FLOW_DISCONNECT") & ~is_null_or_empty("intent"), "3. Auto-Response with Intent (TRUE DEFLECTION)"),
+            (
+                (reason == "CONTACT_FLOW_DISCONNECT") & is_null_or_empty("intent") & is_null_or_empty("queue_name"),
+                "4. System Notifications Dropped (NOT deflection)",
+            ),
+            ((queue == "Agent Holding Queue") & (reason == "API"), "5. In Queue (Waiting)"),
+            (reason == "TRANSFERRED", "6. Transferred"),
+        ],
+        "7. Other",
+    )
+    agg = c.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("count"))
+    return D.share_of_total(agg, "count").orderBy("outcome")
+
+
+def self_service_by_type(spark, sf_dir):
+    """K7: self-service values with their status class and distinct accounts."""
+    from ..functions.core import classify
+
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS).where(
+        R.base_filter("VOICE") & F.col("selfservice").isNotNull()
+    )
+    status = classify(
+        [
+            (R.in_list("selfservice", R.SELF_SERVICE_LIST_A), "SUCCESS"),
+            (F.col("selfservice") == "rejected", "REJECTED"),
+            (F.col("selfservice") == "error", "ERROR"),
+        ],
+        "OTHER",
+    )
+    return (
+        c.groupBy("selfservice", status.alias("status"))
+        .agg(F.count(F.lit(1)).alias("contacts"), F.count_distinct("account").alias("unique_accounts"))
+        .orderBy(F.col("contacts").desc(), "selfservice")
+    )
+
+
+def daily_email_trend(spark, sf_dir):
+    """Inbound e-mail per day: total, auto-responded, agent handled, dropped."""
+    from ..operators.temporal import trend
+
+    c = D.in_days(contacts(spark, sf_dir).where(R.base_filter("EMAIL")), EVENTS_AS_OF, EVENTS_DAYS)
+    return trend(
+        c,
+        "ts",
+        "day",
+        [
+            F.count(F.lit(1)).alias("total"),
+            count_if(R.email_deflected()).alias("auto_responded"),
+            count_if(R.agent_handled()).alias("agent_handled"),
+            count_if(F.col("queue_name") == "Dropped Emails").alias("dropped"),
+        ],
+        name="date",
+    ).orderBy(F.col("date").desc())
+
+
 QUERIES = {
+    "email_outcome_breakdown": email_outcome_breakdown,
+    "self_service_by_type": self_service_by_type,
+    "daily_email_trend": daily_email_trend,
     "channel_take_rates": channel_take_rates,
     "channel_intent_breakdown": channel_intent_breakdown,
     "deflected_completion": deflected_completion,
@@ -459,3 +527,42 @@ from contacts where {WINDOW_SQL} and {_SCOPE_SQL}
   and intent in ({OFFERED}, 'FinalBillIntent', 'PaymentIntent')
 group by channel, intent""",
 )
+
+ORACLE["email_outcome_breakdown"] = with_views(
+    ["contacts"],
+    f"""
+select outcome, count(*) as count, {_SHARE}
+from (
+  select case
+    when queue_name = 'Dropped Emails' then '1. Spam/OOO (Dropped Emails queue)'
+    when agent_ts is not null then '2. Agent Handled'
+    when disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent is not null and intent != ''
+      then '3. Auto-Response with Intent (TRUE DEFLECTION)'
+    when disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and (intent is null or intent = '')
+      and (queue_name is null or queue_name = '') then '4. System Notifications Dropped (NOT deflection)'
+    when queue_name = 'Agent Holding Queue' and disconnect_reason = 'API' then '5. In Queue (Waiting)'
+    when disconnect_reason = 'TRANSFERRED' then '6. Transferred'
+    else '7. Other' end as outcome
+  from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
+) x group by outcome""",
+)
+ORACLE["self_service_by_type"] = with_views(
+    ["contacts"],
+    f"""
+select selfservice, case when selfservice in ({LIST_A}) then 'SUCCESS' when selfservice = 'rejected' then 'REJECTED'
+                         when selfservice = 'error' then 'ERROR' else 'OTHER' end as status,
+       count(*) as contacts, count(distinct account) as unique_accounts
+from contacts where {WINDOW_SQL} and channel = 'VOICE' and initiation = 'INBOUND' and selfservice is not null
+group by 1, 2""",
+)
+ORACLE["daily_email_trend"] = with_views(
+    ["contacts"],
+    f"""
+select cast(ts as date) as date, count(*) as total,
+  count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent in ({EMAIL_INTENTS})
+                   and queue_name is null) as auto_responded,
+  count(*) filter (where agent_ts is not null) as agent_handled,
+  count(*) filter (where queue_name = 'Dropped Emails') as dropped
+from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
+group by 1""",
+)

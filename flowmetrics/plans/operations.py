@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import health as H
 from ..operators.temporal import trend
-from ..sources.standins import app_errors, cases, feed_files
+from ..sources.standins import app_errors, cases, feed_files, server_exceptions
 from .common import with_views
 
 NOW = dt.datetime(2024, 1, 31)
@@ -120,7 +120,58 @@ def account_timeline(spark, sf_dir):
     )
 
 
+def error_timeline(spark, sf_dir):
+    """Errors per day and error type."""
+    return trend(_errors(spark, sf_dir), "created_at", "day", [F.count(F.lit(1)).alias("errors")], by=["error_type"], name="date").orderBy(
+        F.col("date").desc(), F.col("errors").desc(), "error_type"
+    )
+
+
+def _exceptions(spark, sf_dir):
+    return _recent(server_exceptions(spark, sf_dir), "created_dttm")
+
+
+def exception_classes(spark, sf_dir):
+    """Exceptions per class."""
+    return _exceptions(spark, sf_dir).groupBy("exception_class").agg(F.count(F.lit(1)).alias("count")).orderBy(
+        F.col("count").desc(), "exception_class"
+    )
+
+
+def exception_timeline(spark, sf_dir):
+    """Exceptions per day and class."""
+    return trend(
+        _exceptions(spark, sf_dir), "created_dttm", "day", [F.count(F.lit(1)).alias("exceptions")], by=["exception_class"], name="date"
+    ).orderBy(F.col("date").desc(), F.col("exceptions").desc(), "exception_class")
+
+
+def recent_exceptions(spark, sf_dir):
+    """The 100 most recent exceptions (top-k by time; ties by id)."""
+    return (
+        _exceptions(spark, sf_dir)
+        .select("id", "created_dttm", "exception_class", "message")
+        .orderBy(F.col("created_dttm").desc(), F.col("id").desc())
+        .limit(100)
+    )
+
+
+def daily_data_volume(spark, sf_dir):
+    """The 30 days with the most feed data (files and MB), a top-k report."""
+    f = _recent(feed_files(spark, sf_dir), "received_ts")
+    return (
+        f.groupBy(F.to_date("received_ts").alias("date"))
+        .agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size_bytes") / 1024 / 1024, 3).alias("total_mb"))
+        .orderBy(F.col("total_mb").desc(), "date")
+        .limit(30)
+    )
+
+
 QUERIES = {
+    "error_timeline": error_timeline,
+    "exception_classes": exception_classes,
+    "exception_timeline": exception_timeline,
+    "recent_exceptions": recent_exceptions,
+    "daily_data_volume": daily_data_volume,
     "feed_health": feed_health,
     "feed_ingestion_status": feed_ingestion_status,
     "failed_files": failed_files,
@@ -232,3 +283,25 @@ union all
 select 'Support Case', account, created_at, level_1, level_2 from cases where {C}""",
     ),
 }
+
+X = "created_dttm >= timestamp '2024-01-01'"
+ORACLE["error_timeline"] = with_views(
+    ["app_errors"], f"select cast(created_at as date) as date, error_type, count(*) as errors from app_errors where {E} group by 1, 2"
+)
+ORACLE["exception_classes"] = with_views(
+    ["server_exceptions"], f"select exception_class, count(*) as count from server_exceptions where {X} group by 1"
+)
+ORACLE["exception_timeline"] = with_views(
+    ["server_exceptions"],
+    f"select cast(created_dttm as date) as date, exception_class, count(*) as exceptions from server_exceptions where {X} group by 1, 2",
+)
+ORACLE["recent_exceptions"] = with_views(
+    ["server_exceptions"],
+    f"""select id, created_dttm, exception_class, message from server_exceptions where {X}
+order by created_dttm desc, id desc limit 100""",
+)
+ORACLE["daily_data_volume"] = with_views(
+    ["feed_files"],
+    f"""select cast(received_ts as date) as date, count(*) as files, round(sum(size_bytes) / 1024 / 1024, 3) as total_mb
+from feed_files where {R} group by 1 order by total_mb desc, date limit 30""",
+)
