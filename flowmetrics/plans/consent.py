@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as C
 from ..operators.temporal import current_state
-from ..sources.standins import billing_account, cancellations, customer_setting, marketing_master
+from ..operators.temporal import trend
+from ..sources.standins import billing_account, cancellation_reasons, cancellations, customer_setting, marketing_master
 from .common import ORDERS_AS_OF, with_views
 
 PERIOD_DAYS = 1095
@@ -153,7 +154,38 @@ def customer_consent_summary(spark, sf_dir):
     )
 
 
+def kpi_summary(spark, sf_dir):
+    """Customers, accounts, opted-in accounts and opt-in rate of active accounts."""
+    a = _active(spark, sf_dir)
+    agg = a.agg(
+        F.count_distinct("customer_number").alias("unique_customers"),
+        F.count(F.lit(1)).alias("billing_accounts"),
+        F.sum(F.when(F.col("subscription_status") == "Subscribed", 1).otherwise(0)).cast("long").alias("opted_in_accounts"),
+    )
+    return agg.withColumn(
+        "opt_in_rate", F.round(F.try_divide(F.col("opted_in_accounts").cast("double") * 100.0, F.col("billing_accounts").cast("double")), 1)
+    )
+
+
+def cancellations_per_month(spark, sf_dir):
+    """C3 (A16): current, not-deleted cancellations per month since the period start."""
+    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    return trend(c, "created_at", "month", [F.count(F.lit(1)).alias("cancellations")]).orderBy("month")
+
+
+def cancellation_reasons_count(spark, sf_dir):
+    """C4 (J2): cancellations by reason, SCD2-current on both sides of the join."""
+    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    r = current_state(cancellation_reasons(spark, sf_dir)).select(F.col("id").alias("reason_id"), F.col("reason").alias("reason_name"))
+    return c.join(r, "reason_id").groupBy(F.col("reason_name").alias("reason")).agg(F.count(F.lit(1)).alias("count")).orderBy(
+        F.col("count").desc(), "reason"
+    )
+
+
 QUERIES = {
+    "kpi_summary": kpi_summary,
+    "cancellations_per_month": cancellations_per_month,
+    "cancellation_reasons_count": cancellation_reasons_count,
     "consent_distribution": consent_distribution,
     "renewal_rate_by_consent": renewal_rate_by_consent,
     "renewal_rate_all_ended": renewal_rate_all_ended,
@@ -373,3 +405,28 @@ from (select customer_number,
 group by customer_consent""",
     ),
 }
+
+ORACLE["kpi_summary"] = with_views(
+    ["master"],
+    """
+select count(distinct customer_number) as unique_customers, count(*) as billing_accounts,
+       count(*) filter (where subscription_status = 'Subscribed') as opted_in_accounts,
+       round(cast(count(*) filter (where subscription_status = 'Subscribed') as double) * 100.0
+             / nullif(cast(count(*) as double), 0), 1) as opt_in_rate
+from master where acc_status = 'Active'""",
+)
+ORACLE["cancellations_per_month"] = with_views(
+    ["cancellations"],
+    """
+select cast(date_trunc('month', created_at) as date) as month, count(*) as cancellations
+from cancellations where effective_to = timestamp '9999-01-01' and created_at >= timestamp '1998-08-03'
+group by 1""",
+)
+ORACLE["cancellation_reasons_count"] = with_views(
+    ["cancellations", "cancellation_reasons"],
+    """
+select r.reason, count(*) as count
+from cancellations c join cancellation_reasons r on c.reason_id = r.id and r.effective_to = timestamp '9999-01-01'
+where c.effective_to = timestamp '9999-01-01' and c.created_at >= timestamp '1998-08-03'
+group by r.reason""",
+)
