@@ -20,6 +20,7 @@ _MODULES = [
     "dashboard",
     "quality",
     "engagement",
+    "debt",
 ]
 
 
