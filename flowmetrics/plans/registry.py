@@ -21,6 +21,7 @@ _MODULES = [
     "quality",
     "engagement",
     "debt",
+    "dataflows",
 ]
 
 
