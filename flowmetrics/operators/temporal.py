@@ -19,6 +19,26 @@ from ..functions.core import col, month_start, pct, ts_literal, week_label, week
 SENTINEL = dt.datetime(9999, 1, 1)
 
 
+def next_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, name: str
+) -> DataFrame:
+    """``LEAD(value) OVER (PARTITION BY keys ORDER BY order)`` without one task per key.
+
+    A plain window puts every row of a key in one task, so a key holding a
+    third of the table becomes one giant task.  Here rows are windowed per
+    (key, bucket) - ``bucket`` must be monotone in ``order`` (e.g. the year
+    of the date) - and the last row of each bucket takes the first value of
+    the key's next non-empty bucket, found by a second ``lead`` over the
+    per-(key, bucket) minima (bounded by the number of buckets, not rows).
+    """
+    b = df.withColumn("_nb", bucket)
+    b = b.withColumn("_lead", F.lead(value).over(Window.partitionBy(*keys, "_nb").orderBy(*order)))
+    firsts = b.groupBy(*keys, "_nb").agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
+    nxt = firsts.withColumn("_next_first", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_nb"))).drop("_first")
+    out = b.join(nxt, [*keys, "_nb"], "left")
+    return out.withColumn(name, F.coalesce("_lead", "_next_first")).drop("_nb", "_lead", "_next_first")
+
+
 def current_state(df: DataFrame, end_col: str = "effective_to", sentinel: dt.datetime = SENTINEL) -> DataFrame:
     """A1: current SCD2 rows (``end_col = 9999-01-01``).
 

@@ -54,3 +54,21 @@ def test_latest_by_breaks_ties_deterministically(spark):
     df = spark.createDataFrame([("p", t, 1, "A"), ("p", t, 2, "B"), ("q", t, 1, "C")], "k string, ts timestamp, id int, v string")
     got = {r.k: r.v for r in latest_by(df, "k", "ts", "v", tiebreak="id").collect()}
     assert got == {"p": "B", "q": "C"}
+
+
+def test_next_in_order_matches_plain_lead(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from flowmetrics.operators.temporal import next_in_order
+
+    rng = random.Random(3)
+    base = dt.date(2019, 1, 1)
+    rows = []
+    for i in range(400):
+        k = "hot" if i % 3 == 0 else rng.choice(["a", "b", "c"])
+        rows.append((k, i, base + dt.timedelta(days=rng.randrange(0, 1500))))
+    df = spark.createDataFrame(rows, "k string, id int, d date")
+    got = {r.id: r.nxt for r in next_in_order(df, ["k"], ["d", "id"], "d", F.year("d"), "nxt").collect()}
+    exp = {r.id: r.nxt for r in df.select("id", F.lead("d").over(Window.partitionBy("k").orderBy("d", "id")).alias("nxt")).collect()}
+    assert got == exp
