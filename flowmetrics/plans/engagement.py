@@ -82,7 +82,30 @@ def app_vs_web(spark, sf_dir):
     ).orderBy("kpi_name")
 
 
+def engaged_last_3_months(spark, sf_dir):
+    """E2 (A3): accounts by the engaged-in-3-months flag on the latest snapshot."""
+    return _latest(spark, sf_dir).groupBy(F.col("engaged_3m").alias("digitally_engaged_in_last_three_month")).agg(
+        F.count_distinct("account_number").alias("accounts")
+    )
+
+
+def daily_journeys(spark, sf_dir):
+    """E10 (A16): journeys and successes per day and KPI."""
+    from ..operators.temporal import trend
+
+    return trend(
+        _recent_journeys(spark, sf_dir),
+        "created_date",
+        "day",
+        [F.count(F.lit(1)).alias("journeys"), count_if(F.col("success_status") == "Y").alias("successful")],
+        by=["kpi_name"],
+        name="date",
+    ).orderBy(F.col("date").desc(), "kpi_name")
+
+
 QUERIES = {
+    "engaged_last_3_months": engaged_last_3_months,
+    "daily_journeys": daily_journeys,
     "engaged_by_platform": engaged_by_platform,
     "page_visit_counters": page_visit_counters,
     "engagement_by_segment": engagement_by_segment,
@@ -140,3 +163,14 @@ from journeys where created_date >= date '2024-01-01' group by 1, 2""",
 from journeys where created_date >= date '2024-01-01' group by 1""",
     ),
 }
+
+ORACLE["engaged_last_3_months"] = with_views(
+    ["engagement"],
+    f"""select engaged_3m as digitally_engaged_in_last_three_month, count(distinct account_number) as accounts
+from engagement where {_L} group by 1""",
+)
+ORACLE["daily_journeys"] = with_views(
+    ["journeys"],
+    """select created_date as date, kpi_name, count(*) as journeys, count(*) filter (where success_status = 'Y') as successful
+from journeys where created_date >= date '2024-01-01' group by 1, 2""",
+)

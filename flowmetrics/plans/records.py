@@ -188,7 +188,16 @@ def complaints_per_day(spark, sf_dir):
     ).orderBy(F.col("date").desc())
 
 
+def overdue_open_cases(spark, sf_dir):
+    """C11 (A3, P16): open overdue cases at the latest landed date (``= TRUE`` drops NULL)."""
+    c = T.latest_snapshot(S.cases(spark, sf_dir), "created_date")
+    return c.where((F.col("is_overdue") == F.lit(True)) & ~F.col("status").isin("Closed", "Resolved")).agg(
+        F.count_distinct("case_id").alias("overdue_cases")
+    )
+
+
 QUERIES = {
+    "overdue_open_cases": overdue_open_cases,
     "current_accounts": current_accounts,
     "active_account_count": active_account_count,
     "consents_as_of": consents_as_of,
@@ -235,6 +244,12 @@ from (
 ) w"""
 
 ORACLE = {
+    "overdue_open_cases": with_views(
+        ["cases"],
+        """
+select count(distinct case_id) as overdue_cases from cases
+where is_overdue = true and status not in ('Closed', 'Resolved') and created_date = (select max(created_date) from cases)""",
+    ),
     "current_accounts": with_views(
         ["account_versions"],
         """
