@@ -125,3 +125,30 @@ def test_funnel_golden_percentages(spark):
     assert [r.customers for r in out] == [1483, 804, 376, 138]
     assert [r.pct_of_start for r in out] == [100.0, 54.2, 25.4, 9.3]
     assert [r.conversion_from_prev for r in out] == [None, 54.2, 46.8, 36.7]
+
+
+def test_hour_difference_truncates(spark):
+    # Whole hours between two timestamps (59 minutes -> 0, 2h59 -> 2).
+    from flowmetrics.operators.health import first_event_lag
+
+    a = spark.createDataFrame(
+        [("x", dt.datetime(2024, 1, 1, 10, 0)), ("y", dt.datetime(2024, 1, 1, 10, 0))], "k string, t timestamp"
+    )
+    b = spark.createDataFrame(
+        [("x", dt.datetime(2024, 1, 1, 10, 59)), ("y", dt.datetime(2024, 1, 1, 12, 59))], "k string, t timestamp"
+    )
+    got = {r.k: r.hours_to_contact for r in first_event_lag(a, "k", "t", b, "k", "t").collect()}
+    assert got == {"x": 0, "y": 2}
+
+
+def test_session_key_is_null_when_a_part_is_null(spark):
+    # CONCAT propagates NULL, so events without a session id are not counted.
+    from flowmetrics.functions.nested import session_key
+
+    params = "array<struct<key:string,value:struct<string_value:string,int_value:bigint>>>"
+    df = spark.createDataFrame(
+        [("u1", [("ga_session_id", (None, 7))]), ("u2", [("other", ("a", None))]), ("u3", [])],
+        f"user_pseudo_id string, event_params {params}",
+    )
+    assert [r.s for r in df.select(session_key().alias("s")).collect()] == ["u17", None, None]
+    assert df.agg(F.count_distinct(session_key()).alias("n")).first().n == 1
