@@ -182,7 +182,17 @@ def cancellation_reasons_count(spark, sf_dir):
     )
 
 
+def interests_two_way(spark, sf_dir):
+    """Interests by consent with the two-way mapper (NULL status counts as Opted Out, G15)."""
+    m = _with_interests(spark, sf_dir).withColumn("consent", C.consent_status(three_way=False))
+    return C.flag_buckets(m, FLAGS, "consent").select(
+        "consent", F.col("total_accounts").alias("total"), "ev_interest_count", "smart_meter_interest_count",
+        "ev_tariff_consent_count", F.col("has_any_interest_pct").alias("any_interest_pct"),
+    )
+
+
 QUERIES = {
+    "interests_two_way": interests_two_way,
     "kpi_summary": kpi_summary,
     "cancellations_per_month": cancellations_per_month,
     "cancellation_reasons_count": cancellation_reasons_count,
@@ -430,3 +440,16 @@ from cancellations c join cancellation_reasons r on c.reason_id = r.id and r.eff
 where c.effective_to = timestamp '9999-01-01' and c.created_at >= timestamp '1998-08-03'
 group by r.reason""",
 )
+
+ORACLE["interests_two_way"] = with_views(
+    ["master", "billing_account", "customer_setting"],
+    """
+select case when subscription_status = 'Subscribed' then 'Opted In' else 'Opted Out' end as consent, count(*) as total,
+       count(*) filter (where intend_to_buy_ev = true) as ev_interest_count,
+       count(*) filter (where smart_meter_interest = true) as smart_meter_interest_count,
+       count(*) filter (where ev_tariff_marketing_consent = true) as ev_tariff_consent_count,
+       round(cast(count(*) filter (where intend_to_buy_ev = true or smart_meter_interest = true
+                                   or ev_tariff_marketing_consent = true) as double) * 100.0 / count(*), 1) as any_interest_pct
+from mi group by 1""",
+    _INTERESTS,
+)

@@ -255,7 +255,20 @@ def daily_email_trend(spark, sf_dir):
     ).orderBy(F.col("date").desc())
 
 
+def auto_response_by_intent(spark, sf_dir):
+    """E-mail auto-response and agent handling by intent."""
+    c = D.in_days(contacts(spark, sf_dir).where(R.base_filter("EMAIL")), EVENTS_AS_OF, EVENTS_DAYS)
+    auto = (F.col("disconnect_reason") == "CONTACT_FLOW_DISCONNECT") & (
+        F.col("queue_name").isNull() | (F.col("queue_name") != "Dropped Emails")
+    )
+    agg = c.groupBy(F.coalesce("intent", F.lit("No Intent")).alias("intent")).agg(
+        F.count(F.lit(1)).alias("total"), count_if(R.agent_handled()).alias("agent_handled"), count_if(auto).alias("auto_responded")
+    )
+    return agg.withColumn("auto_response_rate_pct", pct("auto_responded", "total")).orderBy(F.col("total").desc(), "intent")
+
+
 QUERIES = {
+    "auto_response_by_intent": auto_response_by_intent,
     "email_outcome_breakdown": email_outcome_breakdown,
     "self_service_by_type": self_service_by_type,
     "daily_email_trend": daily_email_trend,
@@ -566,3 +579,17 @@ select cast(ts as date) as date, count(*) as total,
 from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
 group by 1""",
 )
+
+ORACLE["auto_response_by_intent"] = with_views(
+    ["contacts"],
+    f"""
+select coalesce(intent, 'No Intent') as intent, count(*) as total,
+       count(*) filter (where agent_ts is not null) as agent_handled,
+       count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT'
+                        and (queue_name is null or queue_name != 'Dropped Emails')) as auto_responded,
+       round(cast(count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT'
+                        and (queue_name is null or queue_name != 'Dropped Emails')) as double) * 100.0 / count(*), 1)
+         as auto_response_rate_pct
+from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
+group by 1""",
+)

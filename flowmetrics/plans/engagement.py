@@ -103,7 +103,38 @@ def daily_journeys(spark, sf_dir):
     ).orderBy(F.col("date").desc(), "kpi_name")
 
 
+def engagement_by_tenure(spark, sf_dir):
+    """Accounts and engaged rows per tenure year."""
+    return (
+        _latest(spark, sf_dir)
+        .groupBy(F.col("tenure_years").alias("tenure_in_year"))
+        .agg(F.count_distinct("account_number").alias("accounts"), count_if(F.col("engaged_3m") == "Y").alias("engaged"))
+        .orderBy("tenure_in_year")
+    )
+
+
+def contact_after_engagement(spark, sf_dir):
+    """E21 (A3, AG6): accounts and support contacts by platform x engagement."""
+    return (
+        _latest(spark, sf_dir)
+        .groupBy("platform", F.col("engaged_3m").alias("digitally_engaged_in_last_three_month"))
+        .agg(F.count_distinct("account_number").alias("accounts"), count_if(F.col("post_ticket_id").isNotNull()).alias("contacted_support"))
+        .orderBy("platform", "digitally_engaged_in_last_three_month")
+    )
+
+
+def engagement_by_balance(spark, sf_dir):
+    """E22 (A14): engagement rate by balance status (rows over distinct accounts)."""
+    agg = _latest(spark, sf_dir).groupBy(F.col("balance_status").alias("account_balance_status")).agg(
+        F.count_distinct("account_number").alias("accounts"), count_if(F.col("engaged_3m") == "Y").alias("engaged")
+    )
+    return agg.withColumn("engagement_rate", pct("engaged", "accounts", 2)).orderBy(F.col("accounts").desc())
+
+
 QUERIES = {
+    "engagement_by_tenure": engagement_by_tenure,
+    "contact_after_engagement": contact_after_engagement,
+    "engagement_by_balance": engagement_by_balance,
     "engaged_last_3_months": engaged_last_3_months,
     "daily_journeys": daily_journeys,
     "engaged_by_platform": engaged_by_platform,
@@ -174,3 +205,21 @@ ORACLE["daily_journeys"] = with_views(
     """select created_date as date, kpi_name, count(*) as journeys, count(*) filter (where success_status = 'Y') as successful
 from journeys where created_date >= date '2024-01-01' group by 1, 2""",
 )
+
+ORACLE["engagement_by_tenure"] = with_views(
+    ["engagement"],
+    f"""select tenure_years as tenure_in_year, count(distinct account_number) as accounts,
+       count(*) filter (where engaged_3m = 'Y') as engaged from engagement where {_L} group by 1""",
+)
+ORACLE["contact_after_engagement"] = with_views(
+    ["engagement"],
+    f"""select platform, engaged_3m as digitally_engaged_in_last_three_month, count(distinct account_number) as accounts,
+       count(*) filter (where post_ticket_id is not null) as contacted_support from engagement where {_L} group by 1, 2""",
+)
+ORACLE["engagement_by_balance"] = with_views(
+    ["engagement"],
+    f"""select balance_status as account_balance_status, count(distinct account_number) as accounts,
+       count(*) filter (where engaged_3m = 'Y') as engaged,
+       {_p("count(*) filter (where engaged_3m = 'Y')", 'count(distinct account_number)', 2)} as engagement_rate
+from engagement where {_L} group by 1""",
+)

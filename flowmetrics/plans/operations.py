@@ -166,7 +166,13 @@ def daily_data_volume(spark, sf_dir):
     )
 
 
+def latest_feed_files(spark, sf_dir):
+    """T11 (O4, top-k): the 100 most recently received files (ties by file id)."""
+    return feed_files(spark, sf_dir).orderBy(F.col("received_ts").desc(), F.col("file_id").desc()).limit(100)
+
+
 QUERIES = {
+    "latest_feed_files": latest_feed_files,
     "error_timeline": error_timeline,
     "exception_classes": exception_classes,
     "exception_timeline": exception_timeline,
@@ -305,3 +311,7 @@ ORACLE["daily_data_volume"] = with_views(
     f"""select cast(received_ts as date) as date, count(*) as files, round(sum(size_bytes) / 1024 / 1024, 3) as total_mb
 from feed_files where {R} group by 1 order by total_mb desc, date limit 30""",
 )
+
+ORACLE["latest_feed_files"] = with_views(
+    ["feed_files"], "select * from feed_files order by received_ts desc, file_id desc limit 100"
+)
