@@ -22,6 +22,7 @@ _MODULES = [
     "engagement",
     "debt",
     "dataflows",
+    "metering",
 ]
 
 
