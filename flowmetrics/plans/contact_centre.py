@@ -267,7 +267,15 @@ def auto_response_by_intent(spark, sf_dir):
     return agg.withColumn("auto_response_rate_pct", pct("auto_responded", "total")).orderBy(F.col("total").desc(), "intent")
 
 
+def deflected_contacts(spark, sf_dir):
+    """K19-K21 (A18): the deflected contacts of each channel, tagged by channel."""
+    c = D.in_days(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)
+    parts = [D.deflected_rows(c, ch).select("contact_id", "channel", "ts", "intent", "selfservice") for ch in ("VOICE", "CHAT", "EMAIL")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 QUERIES = {
+    "deflected_contacts": deflected_contacts,
     "auto_response_by_intent": auto_response_by_intent,
     "email_outcome_breakdown": email_outcome_breakdown,
     "self_service_by_type": self_service_by_type,
@@ -593,3 +601,14 @@ select coalesce(intent, 'No Intent') as intent, count(*) as total,
 from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
 group by 1""",
 )
+
+ORACLE["deflected_contacts"] = with_views(
+    ["contacts"],
+    f"""
+select contact_id, channel, ts, intent, selfservice from contacts
+where {WINDOW_SQL} and initiation = 'INBOUND' and (
+  (channel = 'VOICE' and selfservice in ({LIST_B}))
+  or (channel = 'CHAT' and agent_ts is null and intent is not null)
+  or (channel = 'EMAIL' and disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent in ({EMAIL_INTENTS})
+      and queue_name is null))""",
+)

@@ -68,7 +68,29 @@ def dunning_due(spark, sf_dir):
     return d.groupBy("due_dt").agg(F.count(F.lit(1)).alias("instances")).orderBy("due_dt")
 
 
+def dca_accounts_by_occupier(spark, sf_dir):
+    """B2: distinct accounts per agency and occupier status."""
+    return (
+        current_state(dca_allocation(spark, sf_dir))
+        .groupBy("dca_id", "occupier_status")
+        .agg(F.count_distinct("account_number").alias("accounts"))
+        .orderBy("dca_id", F.col("accounts").desc(), "occupier_status")
+    )
+
+
+def dca_psr_split(spark, sf_dir):
+    """Priority-register split per agency."""
+    return (
+        current_state(dca_allocation(spark, sf_dir))
+        .groupBy("dca_id", "psr")
+        .agg(F.count_distinct("account_number").alias("accounts"))
+        .orderBy("dca_id", "psr")
+    )
+
+
 QUERIES = {
+    "dca_accounts_by_occupier": dca_accounts_by_occupier,
+    "dca_psr_split": dca_psr_split,
     "dca_accounts_by_status": dca_accounts_by_status,
     "dca_allocations_over_time": dca_allocations_over_time,
     "pastdue_by_status": pastdue_by_status,
@@ -107,3 +129,11 @@ from pastdue_payment where landed_date >= date '1998-08-03' group by 1""",
   and due_dt >= date '2001-08-02' and due_dt <= date '2001-08-02' + 30 group by 1""",
     ),
 }
+
+ORACLE["dca_accounts_by_occupier"] = with_views(
+    ["dca_allocation"],
+    f"select dca_id, occupier_status, count(distinct account_number) as accounts from dca_allocation where {CUR} group by 1, 2",
+)
+ORACLE["dca_psr_split"] = with_views(
+    ["dca_allocation"], f"select dca_id, psr, count(distinct account_number) as accounts from dca_allocation where {CUR} group by 1, 2"
+)

@@ -196,7 +196,21 @@ def overdue_open_cases(spark, sf_dir):
     )
 
 
+def cases_today(spark, sf_dir):
+    """C5 (AG18): distinct cases created on the last day of the window."""
+    c = in_days(S.cases(spark, sf_dir), EVENTS_AS_OF, 1, column="created_at")
+    return c.agg(F.count_distinct("case_id").alias("cases_today"))
+
+
+def cases_last_7_days(spark, sf_dir):
+    """C6 (A16): distinct cases per day over the last 7 days."""
+    c = in_days(S.cases(spark, sf_dir), EVENTS_AS_OF, 7, column="created_at")
+    return T.trend(c, "created_at", "day", [F.count_distinct("case_id").alias("cases")], name="date").orderBy(F.col("date").desc())
+
+
 QUERIES = {
+    "cases_today": cases_today,
+    "cases_last_7_days": cases_last_7_days,
     "overdue_open_cases": overdue_open_cases,
     "current_accounts": current_accounts,
     "active_account_count": active_account_count,
@@ -244,6 +258,16 @@ from (
 ) w"""
 
 ORACLE = {
+    "cases_today": with_views(
+        ["cases"],
+        "select count(distinct case_id) as cases_today from cases "
+        "where created_at >= timestamp '2024-01-30' and created_at < timestamp '2024-01-31'",
+    ),
+    "cases_last_7_days": with_views(
+        ["cases"],
+        """select cast(created_at as date) as date, count(distinct case_id) as cases from cases
+where created_at >= timestamp '2024-01-24' and created_at < timestamp '2024-01-31' group by 1""",
+    ),
     "overdue_open_cases": with_views(
         ["cases"],
         """
