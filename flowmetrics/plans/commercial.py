@@ -28,7 +28,9 @@ def account_balance(spark, sf_dir):
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_fk"), "o_custkey")
     per_order = L.account_balance(orders, current_state(S.transactions(spark, sf_dir)), "order_fk", DEBIT_TYPES, CREDIT_TYPES)
-    per_acct = per_order.groupBy("o_custkey").agg(F.sum("debits").alias("debits"), F.sum("credits").alias("credits"))
+    per_acct = per_order.groupBy("o_custkey").agg(
+        F.sum("debits").cast("decimal(38,2)").alias("debits"), F.sum("credits").cast("decimal(38,2)").alias("credits")
+    )
     return acct.join(per_acct, "o_custkey").select("account_number", "debits", "credits")
 
 
@@ -122,8 +124,8 @@ ORACLE = {
         ["account_versions", "transactions"],
         """
 select cast(a.account_id as varchar) as account_number,
-       sum(case when t.transaction_type in ('N', 'A') then t.amount else 0 end) as debits,
-       sum(case when t.transaction_type in ('R') then t.amount else 0 end) as credits
+       cast(sum(case when t.transaction_type in ('N', 'A') then t.amount else 0 end) as decimal(38, 2)) as debits,
+       cast(sum(case when t.transaction_type in ('R') then t.amount else 0 end) as decimal(38, 2)) as credits
 from account_versions a
 join orders o on o.o_custkey = a.account_id
 join transactions t on t.order_fk = o.o_orderkey and t.effective_to = timestamp '9999-01-01'

@@ -296,7 +296,7 @@ from (
         ["master", "billing_account", "cancellations"],
         f"""
 select consent_status, count(*) as active_at_period_start, cast(sum(churned) as bigint) as churned_count,
-       count(*) - sum(churned) as retained_count,
+       cast(count(*) - sum(churned) as bigint) as retained_count,
        {_rate('sum(churned)', 'count(*)', 2)} as churn_rate_pct,
        {_rate('count(*) - sum(churned)', 'count(*)', 2)} as retention_rate_pct
 from (select co.consent_status, case when c.account_number is not null then 1 else 0 end as churned

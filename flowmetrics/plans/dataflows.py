@@ -41,9 +41,9 @@ def settlement_sums(spark, sf_dir):
         s.groupBy("settlement_date", "settlement_code")
         .agg(
             F.count(F.lit(1)).alias("records"),
-            F.sum("total").alias("total_consumption"),
-            F.sum("aa").alias("total_aa"),
-            F.sum("eac").alias("total_eac"),
+            F.sum("total").cast("decimal(38,2)").alias("total_consumption"),
+            F.sum("aa").cast("decimal(38,2)").alias("total_aa"),
+            F.sum("eac").cast("decimal(38,2)").alias("total_eac"),
         )
         .orderBy(F.col("settlement_date").desc(), "settlement_code")
     )
@@ -52,7 +52,7 @@ def settlement_sums(spark, sf_dir):
 def settlement_by_gsp(spark, sf_dir):
     """records and consumption per grid supply point."""
     s = _since(settlement(spark, sf_dir), "inserted_ts")
-    return s.groupBy("gsp").agg(F.count(F.lit(1)).alias("records"), F.sum("total").alias("total_kwh")).orderBy(
+    return s.groupBy("gsp").agg(F.count(F.lit(1)).alias("records"), F.sum("total").cast("decimal(38,2)").alias("total_kwh")).orderBy(
         F.col("total_kwh").desc(), "gsp"
     )
 

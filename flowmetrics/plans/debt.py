@@ -36,7 +36,7 @@ def pastdue_by_status(spark, sf_dir):
     p = latest_snapshot(pastdue(spark, sf_dir), "landed_date")
     return (
         p.groupBy("status")
-        .agg(F.count_distinct("account_number").alias("accounts"), F.sum("outstanding_balance").alias("total_outstanding"))
+        .agg(F.count_distinct("account_number").alias("accounts"), F.sum("outstanding_balance").cast("decimal(38,2)").alias("total_outstanding"))
         .orderBy(F.col("accounts").desc(), "status")
     )
 

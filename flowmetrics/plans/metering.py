@@ -36,7 +36,7 @@ def reading_status_workflow(spark, sf_dir):
 def reads_consumption_by_source(spark, sf_dir):
     """OP9 (AG7): reads and exact decimal consumption per source."""
     r = meter_reading(spark, sf_dir).where(F.col("read_date") >= F.lit(SINCE.date()))
-    return r.groupBy("source").agg(F.count(F.lit(1)).alias("reads"), F.sum("consumption").alias("total_consumption")).orderBy(
+    return r.groupBy("source").agg(F.count(F.lit(1)).alias("reads"), F.sum("consumption").cast("decimal(38,2)").alias("total_consumption")).orderBy(
         F.col("reads").desc()
     )
 
@@ -56,7 +56,7 @@ def bills_per_day(spark, sf_dir):
     """OP11 (AG7): accepted bills and total billed per day."""
     b = _bills(spark, sf_dir).where(F.col("status") == "ACCEPTED")
     return trend(
-        b, "created_dttm", "day", [F.count(F.lit(1)).alias("bills_generated"), F.sum("gross_amount").alias("total_billed")], name="bill_date"
+        b, "created_dttm", "day", [F.count(F.lit(1)).alias("bills_generated"), F.sum("gross_amount").cast("decimal(38,2)").alias("total_billed")], name="bill_date"
     ).orderBy(F.col("bill_date").desc())
 
 
@@ -65,7 +65,7 @@ def bills_by_status(spark, sf_dir):
     return (
         _bills(spark, sf_dir)
         .groupBy("status")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("gross_amount").alias("total_amount"))
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("gross_amount").cast("decimal(38,2)").alias("total_amount"))
         .orderBy(F.col("count").desc())
     )
 

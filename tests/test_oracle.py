@@ -64,3 +64,21 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns == ["category", "contacts", "pct"]
     assert len(rows) >= 1
+
+
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
+def test_column_types_match_oracle(spark, duck):
+    """Exact types (incl. decimal precision/scale) agree for every query."""
+    bad = []
+    for name in NAMES:
+        st = {f.name: f.dataType.simpleString() for f in E.queries()[name](spark, SF_CHECK).schema.fields}
+        dt_ = {d[0]: str(d[1]) for d in duck.execute(f"select * from ({E.oracle_sql()[name]}) q limit 0").description}
+        for c, t in st.items():
+            if dt_.get(c) != SPARK_TO_DUCK.get(t, t.upper()):
+                bad.append((name, c, t, dt_.get(c)))
+    assert not bad, bad
