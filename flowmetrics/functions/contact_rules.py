@@ -236,6 +236,3 @@ def deflection_type() -> Column:
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr
 
-
-__all__ = [name for name in dir() if not name.startswith("_")]
-_ = not_in_list  # re-exported helper
