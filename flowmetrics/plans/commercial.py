@@ -105,7 +105,33 @@ def product_per_account(spark, sf_dir):
     )
 
 
+SINCE = dt.datetime(1994, 1, 1)
+
+
+def renewal_status(spark, sf_dir):
+    """M6: live, not-deleted, not-cancelled renewals by status (``cancelled = FALSE`` drops NULL)."""
+    r = current_state(S.renewals(spark, sf_dir)).where(F.col("deleted").isNull() & (F.col("cancelled") == F.lit(False)))
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "status")
+
+
+def enrolment_status(spark, sf_dir):
+    """M7: enrolments by status since the period start."""
+    e = current_state(S.enrolments(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    return e.groupBy("status").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "status")
+
+
+def broker_renewals(spark, sf_dir):
+    """M8: renewals by broker x status."""
+    r = current_state(S.renewals(spark, sf_dir)).where(
+        F.col("deleted").isNull() & (F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    )
+    return r.groupBy("broker", "status").agg(F.count(F.lit(1)).alias("count")).orderBy("broker", F.col("count").desc(), "status")
+
+
 QUERIES = {
+    "renewal_status": renewal_status,
+    "enrolment_status": enrolment_status,
+    "broker_renewals": broker_renewals,
     "account_balance": account_balance,
     "tariff_type_split": tariff_type_split,
     "accounts_per_product": accounts_per_product,
@@ -198,3 +224,19 @@ left join (select account_fk, count(*) as bundles, count(distinct product_name)
 where a.effective_to = timestamp '9999-01-01'""",
     ),
 }
+
+ORACLE["renewal_status"] = with_views(
+    ["renewals"],
+    """select status, count(*) as count from renewals
+where effective_to = timestamp '9999-01-01' and deleted is null and cancelled = false group by 1""",
+)
+ORACLE["enrolment_status"] = with_views(
+    ["enrolments"],
+    """select status, count(*) as count from enrolments
+where effective_to = timestamp '9999-01-01' and created_at >= timestamp '1994-01-01' group by 1""",
+)
+ORACLE["broker_renewals"] = with_views(
+    ["renewals"],
+    """select broker, status, count(*) as count from renewals
+where effective_to = timestamp '9999-01-01' and deleted is null and created_at >= timestamp '1994-01-01' group by 1, 2""",
+)

@@ -131,7 +131,18 @@ def engagement_by_balance(spark, sf_dir):
     return agg.withColumn("engagement_rate", pct("engaged", "accounts", 2)).orderBy(F.col("accounts").desc())
 
 
+def usage_graph_visibility(spark, sf_dir):
+    """Usage-page visitors by usage-graph visibility flags."""
+    return (
+        _latest(spark, sf_dir)
+        .where(F.col("visited_usage") == "Y")
+        .groupBy("usage_graph_visible", "usage_graph_not_visible")
+        .agg(F.count_distinct("account_number").alias("accounts"))
+    )
+
+
 QUERIES = {
+    "usage_graph_visibility": usage_graph_visibility,
     "engagement_by_tenure": engagement_by_tenure,
     "contact_after_engagement": contact_after_engagement,
     "engagement_by_balance": engagement_by_balance,
@@ -223,3 +234,9 @@ ORACLE["engagement_by_balance"] = with_views(
        {_p("count(*) filter (where engaged_3m = 'Y')", 'count(distinct account_number)', 2)} as engagement_rate
 from engagement where {_L} group by 1""",
 )
+
+ORACLE["usage_graph_visibility"] = with_views(
+    ["engagement"],
+    f"""select usage_graph_visible, usage_graph_not_visible, count(distinct account_number) as accounts
+from engagement where {_L} and visited_usage = 'Y' group by 1, 2""",
+)
