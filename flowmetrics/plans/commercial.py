@@ -128,7 +128,19 @@ def broker_renewals(spark, sf_dir):
     return r.groupBy("broker", "status").agg(F.count(F.lit(1)).alias("count")).orderBy("broker", F.col("count").desc(), "status")
 
 
+def accounts_by_payment_method(spark, sf_dir):
+    """C16 (J2 chain): current accounts -> current payment-method link -> method type (not SCD2)."""
+    a = current_state(S.billing_account(spark, sf_dir)).select(F.col("id").alias("account_id"))
+    apm = current_state(S.account_versions(spark, sf_dir)).select(
+        "account_id", F.substring("priority", 1, 1).cast("int").alias("payment_method_type_fk")
+    )
+    pmt = S.payment_method_type(spark, sf_dir).select(F.col("id").alias("payment_method_type_fk"), F.col("name").alias("payment_method"))
+    j = a.join(apm, "account_id").join(pmt, "payment_method_type_fk")
+    return j.groupBy("payment_method").agg(F.count_distinct("account_id").alias("accounts")).orderBy(F.col("accounts").desc())
+
+
 QUERIES = {
+    "accounts_by_payment_method": accounts_by_payment_method,
     "renewal_status": renewal_status,
     "enrolment_status": enrolment_status,
     "broker_renewals": broker_renewals,
@@ -240,3 +252,13 @@ ORACLE["broker_renewals"] = with_views(
     """select broker, status, count(*) as count from renewals
 where effective_to = timestamp '9999-01-01' and deleted is null and created_at >= timestamp '1994-01-01' group by 1, 2""",
 )
+
+ORACLE["accounts_by_payment_method"] = with_views(
+    ["billing_account", "account_versions", "payment_method_type"],
+    """select pmt.name as payment_method, count(distinct a.id) as accounts
+from billing_account a
+join account_versions apm on a.id = apm.account_id and apm.effective_to = timestamp '9999-01-01'
+join payment_method_type pmt on cast(substr(apm.priority, 1, 1) as int) = pmt.id
+where a.effective_to = timestamp '9999-01-01'
+group by pmt.name""",
+)

@@ -88,7 +88,18 @@ def journeys_by_source(spark, sf_dir):
     )
 
 
+def daily_journey_kpis(spark, sf_dir):
+    """OP16 (A16): attempts and successes per day, KPI and channel."""
+    j = journeys(spark, sf_dir).where(F.col("created_date") >= F.lit(EVENTS_AS_OF - dt.timedelta(days=EVENTS_DAYS)))
+    return (
+        j.groupBy("created_date", "kpi_name", "channel")
+        .agg(F.count(F.lit(1)).alias("attempts"), count_if(F.col("success_status") == "Y").alias("successes"))
+        .orderBy(F.col("created_date").desc(), "kpi_name", "channel")
+    )
+
+
 QUERIES = {
+    "daily_journey_kpis": daily_journey_kpis,
     "readings_by_source": readings_by_source,
     "reading_status_workflow": reading_status_workflow,
     "reads_consumption_by_source": reads_consumption_by_source,
@@ -138,3 +149,9 @@ where period_end = (select max(period_end) from bills) group by 1""",
 from journeys where created_date >= date '2024-01-01' group by 1, 2""",
     ),
 }
+
+ORACLE["daily_journey_kpis"] = with_views(
+    ["journeys"],
+    """select created_date, kpi_name, channel, count(*) as attempts, count(*) filter (where success_status = 'Y') as successes
+from journeys where created_date >= date '2024-01-01' group by 1, 2, 3""",
+)

@@ -208,7 +208,14 @@ def cases_last_7_days(spark, sf_dir):
     return T.trend(c, "created_at", "day", [F.count_distinct("case_id").alias("cases")], name="date").orderBy(F.col("date").desc())
 
 
+def open_backlog_count(spark, sf_dir):
+    """D3 (A3, P12, AG2): distinct open cases at the latest landed date."""
+    c = T.latest_snapshot(S.cases(spark, sf_dir), "created_date")
+    return c.where(~F.col("status").isin("Closed", "Resolved")).agg(F.count_distinct("case_id").alias("open_cases"))
+
+
 QUERIES = {
+    "open_backlog_count": open_backlog_count,
     "cases_today": cases_today,
     "cases_last_7_days": cases_last_7_days,
     "overdue_open_cases": overdue_open_cases,
@@ -258,6 +265,11 @@ from (
 ) w"""
 
 ORACLE = {
+    "open_backlog_count": with_views(
+        ["cases"],
+        """select count(distinct case_id) as open_cases from cases
+where status not in ('Closed', 'Resolved') and created_date = (select max(created_date) from cases)""",
+    ),
     "cases_today": with_views(
         ["cases"],
         "select count(distinct case_id) as cases_today from cases "
