@@ -191,7 +191,31 @@ def interests_two_way(spark, sf_dir):
     )
 
 
+def subscription_status_distribution(spark, sf_dir):
+    """Active accounts by raw subscription status (NULL is its own group) with share."""
+    return C.share_by(_active(spark, sf_dir), ["subscription_status"], count_name="account_count").orderBy(
+        F.col("account_count").desc()
+    )
+
+
+def renewal_delta_two_way(spark, sf_dir):
+    """Renewal-rate delta with the two-way mapper over known statuses."""
+    e = _ended(spark, sf_dir).where(F.col("subscription_status").isNotNull())
+    renewed = (
+        (F.col("ele_rnwl_status") == "Renewed")
+        | (F.col("gas_rnwl_status") == "Renewed")
+        | F.col("ele_next_tariff").isNotNull()
+        | F.col("gas_next_tarif").isNotNull()
+    )
+    rates = e.groupBy(C.consent_status(three_way=False).alias("consent")).agg(
+        F.round(F.try_divide(F.sum(F.when(renewed, 1).otherwise(0)).cast("double") * 100.0, F.count(F.lit(1)).cast("double")), 1).alias("rate")
+    )
+    return C.delta_pp(rates, "consent", "rate", "Opted In", "Opted Out", "rate")
+
+
 QUERIES = {
+    "subscription_status_distribution": subscription_status_distribution,
+    "renewal_delta_two_way": renewal_delta_two_way,
     "interests_two_way": interests_two_way,
     "kpi_summary": kpi_summary,
     "cancellations_per_month": cancellations_per_month,
@@ -453,3 +477,27 @@ select case when subscription_status = 'Subscribed' then 'Opted In' else 'Opted
 from mi group by 1""",
     _INTERESTS,
 )
+
+ORACLE["subscription_status_distribution"] = with_views(
+    ["master"],
+    """select subscription_status, count(*) as account_count,
+       round(cast(count(*) as double) * 100.0 / cast(sum(count(*)) over () as double), 1) as pct
+from master where acc_status = 'Active' group by 1""",
+)
+ORACLE["renewal_delta_two_way"] = with_views(
+    ["master"],
+    """
+select max(case when consent = 'Opted In' then rate end) as opted_in_rate,
+       max(case when consent = 'Opted Out' then rate end) as opted_out_rate,
+       round(max(case when consent = 'Opted In' then rate end) - max(case when consent = 'Opted Out' then rate end), 2) as delta_pp
+from (
+  select consent, round(cast(sum(r) as double) * 100.0 / nullif(cast(count(*) as double), 0), 1) as rate
+  from (select case when subscription_status = 'Subscribed' then 'Opted In' else 'Opted Out' end as consent,
+               case when ele_rnwl_status = 'Renewed' or gas_rnwl_status = 'Renewed'
+                         or ele_next_tariff is not null or gas_next_tarif is not null then 1 else 0 end as r
+        from master where """
+    + _ENDED
+    + """ and subscription_status is not null) x
+  group by 1
+) r""",
+)
