@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.temporal import trend
-from ..sources.standins import elec_readings, settlement, supplier_switches
+from ..sources.standins import elec_readings, gas_meters, gas_rejections, settlement, supplier_switches
 from .common import with_views
 
 # Every day of the line-item and order history.
@@ -71,7 +71,29 @@ def switch_rejections(spark, sf_dir):
     return s.groupBy("rejection_code").agg(F.count(F.lit(1)).alias("rejections")).orderBy(F.col("rejections").desc())
 
 
+def gas_meters_by_status(spark, sf_dir):
+    """gas meters per status."""
+    return gas_meters(spark, sf_dir).groupBy("meter_status").agg(F.count(F.lit(1)).alias("meters")).orderBy(F.col("meters").desc())
+
+
+def gas_rejections_by_reason(spark, sf_dir):
+    """gas rejections per day, reason and acceptance code."""
+    r = _since(gas_rejections(spark, sf_dir), "received_date")
+    return trend(
+        r, "received_date", "day", [F.count(F.lit(1)).alias("rejections")], by=["reason_for_return", "acceptance_code"], name="date"
+    ).orderBy(F.col("date").desc(), F.col("rejections").desc())
+
+
+def gas_rejection_trend(spark, sf_dir):
+    """F12 (A16): gas rejections per month."""
+    r = _since(gas_rejections(spark, sf_dir), "received_date")
+    return trend(r, "received_date", "month", [F.count(F.lit(1)).alias("rejections")]).orderBy(F.col("month").desc())
+
+
 QUERIES = {
+    "gas_meters_by_status": gas_meters_by_status,
+    "gas_rejections_by_reason": gas_rejections_by_reason,
+    "gas_rejection_trend": gas_rejection_trend,
     "readings_by_validation": readings_by_validation,
     "failed_read_reasons": failed_read_reasons,
     "settlement_sums": settlement_sums,
@@ -113,3 +135,15 @@ from supplier_switches where received_date >= {S} group by 1, 2, 3""",
 where received_date >= {S} and rejection_code is not null group by 1""",
     ),
 }
+
+ORACLE["gas_meters_by_status"] = with_views(["gas_meters"], "select meter_status, count(*) as meters from gas_meters group by 1")
+ORACLE["gas_rejections_by_reason"] = with_views(
+    ["gas_rejections"],
+    f"""select cast(received_date as date) as date, reason_for_return, acceptance_code, count(*) as rejections
+from gas_rejections where received_date >= {S} group by 1, 2, 3""",
+)
+ORACLE["gas_rejection_trend"] = with_views(
+    ["gas_rejections"],
+    f"""select cast(date_trunc('month', received_date) as date) as month, count(*) as rejections
+from gas_rejections where received_date >= {S} group by 1""",
+)
