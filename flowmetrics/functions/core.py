@@ -80,14 +80,24 @@ def _as_datetime(value: dt.date | dt.datetime | str) -> dt.datetime:
     return dt.datetime(value.year, value.month, value.day)
 
 
+def ntz(value: dt.date | dt.datetime | str) -> Column:
+    """Wall-clock ``timestamp_ntz`` literal, built from text so it does not
+    depend on the Python process or session time zone."""
+    return F.lit(_as_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def ts_literal(value: dt.date | dt.datetime | str, like: DataFrame | None = None, column: str | None = None) -> Column:
-    """Timestamp literal typed like ``like[column]`` so the comparison is pushed to the scan."""
-    lit = F.lit(_as_datetime(value))
+    """Timestamp literal typed like ``like[column]`` so the comparison is pushed to the scan.
+
+    ``timestamp_ntz`` columns get a wall-clock literal; ``timestamp``
+    columns get the same wall-clock time read in the session time zone.
+    """
+    text = F.lit(_as_datetime(value).isoformat(sep=" "))
     if like is not None and column is not None:
         field = like.schema[column] if column in like.columns else None
         if field is not None and isinstance(field.dataType, TimestampNTZType):
-            return lit.cast("timestamp_ntz")
-    return lit
+            return text.cast("timestamp_ntz")
+    return text.cast("timestamp")
 
 
 def between_ts(df: DataFrame, column: str, start, end, end_inclusive: bool = False) -> Column:

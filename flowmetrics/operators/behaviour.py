@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 MICROS_PER_SECOND = 1_000_000
 MICROS_PER_DAY = 86_400 * MICROS_PER_SECOND
@@ -35,6 +36,19 @@ def ts_micros(c: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def micros_of(df: DataFrame, name: str) -> Column:
+    """Microsecond position of a timestamp column.
+
+    ``timestamp_ntz`` (wall clock) is measured from the wall-clock epoch, so
+    positions - and therefore N-hour windows - do not shift with the
+    session time zone or across daylight-saving changes; ``timestamp``
+    columns use their instant.
+    """
+    if isinstance(df.schema[name].dataType, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
+    return ts_micros(name)
+
+
 def day_number(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.unix_date(c.cast("date")).cast("long")
@@ -125,9 +139,9 @@ def exists_within_ts(
         subjects,
         candidates,
         key,
-        ts_micros(ts),
+        micros_of(subjects, ts),
         cand_key or key,
-        ts_micros(cand_ts or ts),
+        micros_of(candidates, cand_ts or ts),
         min_seconds * MICROS_PER_SECOND,
         max_seconds * MICROS_PER_SECOND,
         name,
@@ -140,9 +154,9 @@ def exists_within_ts_many(
     candidate_sets: Sequence[tuple[str, DataFrame, str, str]], split: int = 1,
 ) -> DataFrame:
     """Several timestamp-window EXISTS flags in one sweep: ``(flag, frame, key, ts)`` sets."""
-    sets = [(n, f, k, ts_micros(t)) for n, f, k, t in candidate_sets]
+    sets = [(n, f, k, micros_of(f, t)) for n, f, k, t in candidate_sets]
     return exists_after_many(
-        subjects, key, ts_micros(ts), min_seconds * MICROS_PER_SECOND, max_seconds * MICROS_PER_SECOND, sets, split
+        subjects, key, micros_of(subjects, ts), min_seconds * MICROS_PER_SECOND, max_seconds * MICROS_PER_SECOND, sets, split
     )
 
 

@@ -20,6 +20,7 @@ from ..functions.core import (
     day_window,
     pct,
     rank_of,
+    ts_literal,
 )
 
 
@@ -148,7 +149,7 @@ def safeguard_breakdown(contacts: DataFrame, as_of, days: int = 1, case_days: in
     )
     lo, hi = day_window(as_of, case_days, 0)
     per_case = (
-        email.where(F.col("case_id").isNotNull() & (F.col("ts") >= F.lit(lo).cast("timestamp_ntz")))
+        email.where(F.col("case_id").isNotNull() & (F.col("ts") >= ts_literal(lo, email, "ts")))
         .groupBy("case_id")
         .agg(F.count(F.lit(1)).alias("inbound_emails_on_case"))
     )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import classify, col
+from ..functions.core import classify, col, ts_literal
 
 
 def account_balance(accounts: DataFrame, txns: DataFrame, key: str, debit_types: Sequence, credit_types: Sequence,
@@ -45,7 +45,7 @@ def bucket_like(c: str | Column, buckets: Sequence[tuple[str, Sequence[str]]], d
 def expiries(df: DataFrame, ts: str, entity: str, as_of: dt.datetime, days: int, grain: str = "day") -> DataFrame:
     """Distinct entities whose ``ts`` falls in ``[as_of, as_of + days]`` per day or month."""
     hi = as_of + dt.timedelta(days=days)
-    w = df.where((F.col(ts) >= F.lit(as_of).cast("timestamp_ntz")) & (F.col(ts) <= F.lit(hi).cast("timestamp_ntz")))
+    w = df.where((F.col(ts) >= ts_literal(as_of, df, ts)) & (F.col(ts) <= ts_literal(hi, df, ts)))
     if grain == "day":
         bucket, bname, name = F.to_date(ts), "contract_end_date", "accounts_expiring"
     else:
@@ -61,9 +61,10 @@ def valid_mapping_exists(configs: DataFrame, key: str, mapping: DataFrame, map_k
     at ``at``), join the regime dimension, reduce to distinct config keys,
     then left-join that key set to every config.
     """
-    t = F.lit(at).cast("timestamp_ntz")
     live = mapping.where(
-        (F.col("delete_fl") == "N") & (F.col("from_dt") <= t) & (F.col("to_dt").isNull() | (F.col("to_dt") >= t))
+        (F.col("delete_fl") == "N")
+        & (F.col("from_dt") <= ts_literal(at, mapping, "from_dt"))
+        & (F.col("to_dt").isNull() | (F.col("to_dt") >= ts_literal(at, mapping, "to_dt")))
     )
     hits = (
         live.join(regimes.where(F.col("regime_id").cast("bigint") > threshold), live["regime_fk"] == regimes["id"])

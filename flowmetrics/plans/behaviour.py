@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..functions import contact_rules as R
 from ..functions.core import classify, pct
 from ..operators import behaviour as B
@@ -23,7 +25,7 @@ LIST_B = sql_list(R.SELF_SERVICE_LIST_B)
 
 
 def _since(df, column, when):
-    return df.where(F.col(column) >= F.lit(when).cast("timestamp_ntz"))
+    return df.where(F.col(column) >= ntz(when))
 
 
 def _containment_agg(flagged, by, count_name, cb_name):

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..operators import links as L
 from ..operators.temporal import current_state
 from ..sources import standins as S
@@ -36,7 +38,7 @@ def account_balance(spark, sf_dir):
 
 def _live_bundles(spark, sf_dir):
     pb = current_state(S.product_bundle(spark, sf_dir))
-    t = F.lit(NOW).cast("timestamp_ntz")
+    t = ntz(NOW)
     return pb.where((F.col("cancel_fl") != "Y") & (F.col("to_dttm").isNull() | (F.col("to_dttm") > t)))
 
 
@@ -116,14 +118,14 @@ def renewal_status(spark, sf_dir):
 
 def enrolment_status(spark, sf_dir):
     """M7: enrolments by status since the period start."""
-    e = current_state(S.enrolments(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    e = current_state(S.enrolments(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
     return e.groupBy("status").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "status")
 
 
 def broker_renewals(spark, sf_dir):
     """M8: renewals by broker x status."""
     r = current_state(S.renewals(spark, sf_dir)).where(
-        F.col("deleted").isNull() & (F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+        F.col("deleted").isNull() & (F.col("created_at") >= ntz(SINCE))
     )
     return r.groupBy("broker", "status").agg(F.count(F.lit(1)).alias("count")).orderBy("broker", F.col("count").desc(), "status")
 

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..operators import cohort as C
 from ..operators.temporal import current_state
 from ..operators.temporal import trend
@@ -169,13 +171,13 @@ def kpi_summary(spark, sf_dir):
 
 def cancellations_per_month(spark, sf_dir):
     """C3 (A16): current, not-deleted cancellations per month since the period start."""
-    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
     return trend(c, "created_at", "month", [F.count(F.lit(1)).alias("cancellations")]).orderBy("month")
 
 
 def cancellation_reasons_count(spark, sf_dir):
     """C4 (J2): cancellations by reason, SCD2-current on both sides of the join."""
-    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    c = current_state(cancellations(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
     r = current_state(cancellation_reasons(spark, sf_dir)).select(F.col("id").alias("reason_id"), F.col("reason").alias("reason_name"))
     return c.join(r, "reason_id").groupBy(F.col("reason_name").alias("reason")).agg(F.count(F.lit(1)).alias("count")).orderBy(
         F.col("count").desc(), "reason"

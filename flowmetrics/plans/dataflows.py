@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..operators.temporal import trend
 from ..sources.standins import elec_readings, gas_meters, gas_rejections, settlement, supplier_switches
 from .common import with_views
@@ -15,7 +17,7 @@ SINCE = dt.datetime(1994, 1, 1)
 
 
 def _since(df, column):
-    return df.where(F.col(column) >= F.lit(SINCE).cast("timestamp_ntz"))
+    return df.where(F.col(column) >= ntz(SINCE))
 
 
 def readings_by_validation(spark, sf_dir):

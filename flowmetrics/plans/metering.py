@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..functions.core import count_if
 from ..operators.temporal import current_state, latest_snapshot, trend
 from ..sources.standins import bills, journeys, meter_reading
@@ -15,7 +17,7 @@ SINCE = dt.datetime(1994, 1, 1)
 
 
 def _readings(spark, sf_dir):
-    return current_state(meter_reading(spark, sf_dir)).where(F.col("created_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    return current_state(meter_reading(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
 
 
 def readings_by_source(spark, sf_dir):
@@ -49,7 +51,7 @@ def daily_submissions(spark, sf_dir):
 
 
 def _bills(spark, sf_dir):
-    return current_state(bills(spark, sf_dir)).where(F.col("created_dttm") >= F.lit(SINCE).cast("timestamp_ntz"))
+    return current_state(bills(spark, sf_dir)).where(F.col("created_dttm") >= ntz(SINCE))
 
 
 def bills_per_day(spark, sf_dir):

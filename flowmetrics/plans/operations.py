@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ntz
+
 from ..operators import health as H
 from ..operators.temporal import trend
 from ..sources.standins import app_errors, cases, feed_files, server_exceptions
@@ -17,7 +19,7 @@ SINCE_30D = NOW - dt.timedelta(days=30)
 
 
 def _recent(df, column):
-    return df.where(F.col(column) >= F.lit(SINCE_30D).cast("timestamp_ntz"))
+    return df.where(F.col(column) >= ntz(SINCE_30D))
 
 
 def feed_health(spark, sf_dir):

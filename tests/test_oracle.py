@@ -82,3 +82,16 @@ def test_column_types_match_oracle(spark, duck):
             if dt_.get(c) != SPARK_TO_DUCK.get(t, t.upper()):
                 bad.append((name, c, t, dt_.get(c)))
     assert not bad, bad
+
+
+@pytest.mark.parametrize("name", ["voice_contact_funnel", "containment_by_outcome", "post_deflection_funnel", "feed_health"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
+    """Wall-clock (timestamp_ntz) data and literals give the same answer in any session zone."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = E.queries()[name](spark, SF_CHECK)
+        got_cols, got = df.columns, [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    res = duck.execute(E.oracle_sql()[name])
+    assert _rows(got_cols, got) == _rows([d[0] for d in res.description], res.fetchall())
