@@ -65,6 +65,7 @@ def exists_after(
     hi: int,
     name: str,
     split: int = 1,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Add boolean ``name``: a candidate with the same key has position in
     ``(pos + lo, pos + hi]``.
@@ -73,7 +74,7 @@ def exists_after(
     ``day_number``).  NULL keys never match (SQL equality).  Every subject
     row is kept, with all its columns.
     """
-    return exists_after_many(subjects, key, pos, lo, hi, [(name, candidates, cand_key, cand_pos)], split)
+    return exists_after_many(subjects, key, pos, lo, hi, [(name, candidates, cand_key, cand_pos)], split, dedupe)
 
 
 def exists_after_many(
@@ -84,12 +85,16 @@ def exists_after_many(
     hi: int,
     candidate_sets: Sequence[tuple[str, DataFrame, str | Column, Column]],
     split: int = 1,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Several EXISTS flags that share key and window, answered by ONE sweep.
 
     Each candidate set ``(flag, frame, key, position)`` is tagged with its
     index; a single window sort per (key, bucket) computes, for every flag,
-    the first later candidate of that set.
+    the first later candidate of that set.  ``dedupe`` removes duplicate
+    candidate positions first (worth its shuffle for day positions, where
+    many events share a day; skipped for microsecond positions, which are
+    nearly unique).
     """
     if hi <= lo:
         raise ValueError("need lo < hi")
@@ -105,7 +110,7 @@ def exists_after_many(
         ck = F.col(ck) if isinstance(ck, str) else ck
         part = frame.where(ck.isNotNull() & cp.isNotNull()).select(ck.alias("_ek"), cp.alias("_eq"), F.lit(i).alias("_eset"))
         cands = part if cands is None else cands.unionByName(part)
-    c = cands.distinct()
+    c = cands.distinct() if dedupe else cands
     cb = F.floor(F.col("_eq") / F.lit(bucket))
     c = c.withColumn("_eb", F.explode(F.sequence(cb - F.lit(copies), cb)))
     u = s.unionByName(c, allowMissingColumns=True)
@@ -146,6 +151,7 @@ def exists_within_ts(
         max_seconds * MICROS_PER_SECOND,
         name,
         split,
+        dedupe=False,
     )
 
 
@@ -156,7 +162,8 @@ def exists_within_ts_many(
     """Several timestamp-window EXISTS flags in one sweep: ``(flag, frame, key, ts)`` sets."""
     sets = [(n, f, k, micros_of(f, t)) for n, f, k, t in candidate_sets]
     return exists_after_many(
-        subjects, key, micros_of(subjects, ts), min_seconds * MICROS_PER_SECOND, max_seconds * MICROS_PER_SECOND, sets, split
+        subjects, key, micros_of(subjects, ts), min_seconds * MICROS_PER_SECOND, max_seconds * MICROS_PER_SECOND, sets, split,
+        dedupe=False,
     )
 
 
