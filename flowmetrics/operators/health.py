@@ -48,6 +48,14 @@ def volume_anomalies(
     the final join is between two key-sized frames.
     """
     daily = df.groupBy(key, F.to_date(day).alias("date")).agg(F.count(F.lit(1)).alias("file_count"))
+    return z_score_anomalies(daily, key, today, threshold, exclude_current)
+
+
+def z_score_anomalies(
+    daily: DataFrame, key: str, today: dt.date, threshold: float = 2.0, exclude_current: bool = False
+) -> DataFrame:
+    """Z-score of ``today``'s ``file_count`` against each key's daily counts
+    (``daily``: key, date, file_count), e.g. counts published by a stream."""
     base = daily.where(F.col("date") != F.lit(today)) if exclude_current else daily
     stats = base.groupBy(key).agg(F.avg("file_count").alias("avg_count"), F.stddev_samp("file_count").alias("stddev_count"))
     cur = daily.where(F.col("date") == F.lit(today)).select(key, F.col("file_count").alias("today_count"))

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.core import count_if
+from ..operators.health import z_score_anomalies
 from ..session import ensure_checkpoint_dir
 
 
@@ -58,3 +59,22 @@ def publish_complete(df: DataFrame, out_path: str, name: str, checkpoint: str |
     w = df.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(write).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def daily_flow_counts(
+    stream: DataFrame, ts: str = "received_ts", flow: str = "flow", status: str = "status", ok: str = "SUCCESS", lateness: str = "2 days"
+) -> DataFrame:
+    """Successful files per (day, flow): the state the volume-anomaly check (A33) needs.
+
+    The anomaly check itself compares one day with the per-flow history, so
+    it runs as a batch over the published counts
+    (``anomalies_from_counts``) rather than inside the stream.
+    """
+    s = stream.where(F.col(status) == ok).withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", lateness)
+    agg = s.groupBy(F.window("_t", "1 day").alias("_w"), flow).agg(F.count(F.lit(1)).alias("file_count"))
+    return agg.select(F.to_date(F.col("_w.start")).alias("date"), flow, "file_count")
+
+
+def anomalies_from_counts(counts: DataFrame, today, flow: str = "flow", threshold: float = 2.0) -> DataFrame:
+    """A33 over published daily counts (same z-score rule as the batch operator)."""
+    return z_score_anomalies(counts, flow, today, threshold)

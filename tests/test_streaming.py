@@ -26,3 +26,25 @@ def test_stream_matches_batch(spark):
         for r in feed_health(files, "received_ts", ["fuel"]).collect()
     }
     assert got == exp and len(got) > 0
+
+
+def test_streamed_counts_feed_the_anomaly_check(spark):
+    import datetime as dt
+
+    from flowmetrics.operators.health import volume_anomalies
+    from flowmetrics.streaming.feed_health import anomalies_from_counts, daily_flow_counts
+
+    scratch = tempfile.mkdtemp(prefix="flowmetrics-stream-", dir="/tmp")
+    sf = "/root/testdata/sf0.01"
+    files = feed_files(spark, sf).select("received_ts", "fuel", "status", "flow")
+    landing = f"{scratch}/landing"
+    files.withColumn("d", F.date_format("received_ts", "yyyyMMdd")).repartition("d").drop("d").write.parquet(landing)
+    q = publish_complete(
+        daily_flow_counts(read_landing(spark, landing, files.schema, 5)), f"{scratch}/counts", "flow_counts_test",
+        checkpoint=f"{scratch}/ckpt",
+    )
+    q.awaitTermination(180)
+    today = dt.date(2024, 1, 30)
+    got = {tuple(r) for r in anomalies_from_counts(spark.read.parquet(f"{scratch}/counts"), today).collect()}
+    exp = {tuple(r) for r in volume_anomalies(files.where(F.col("status") == "SUCCESS"), "flow", "received_ts", today).collect()}
+    assert got == exp and len(got) > 0
