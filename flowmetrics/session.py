@@ -58,7 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) do we point it at a fresh
     scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns checkpointing
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -66,6 +69,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        # A cluster without a shared checkpoint folder: never fall back to a
+        # machine-local path; nothing in the library needs one to run.
+        return ""
     path = tempfile.mkdtemp(prefix="flowmetrics-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path

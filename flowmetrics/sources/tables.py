@@ -18,6 +18,15 @@ TABLES = (
 _HANDLES: dict[tuple[str, str], DataFrame] = {}
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application (falls back to the session object
+    where no SparkContext is exposed, e.g. a Spark Connect client)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return f"session-{id(spark)}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy scan of one table.
 
@@ -29,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (session_key(spark), path)
     df = _HANDLES.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)

@@ -51,7 +51,10 @@ def daily_feed_health(
 def publish_complete(df: DataFrame, out_path: str, name: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Run ``df`` in complete mode, overwriting ``out_path`` with each batch's full result."""
     spark = df.sparkSession
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    base = ensure_checkpoint_dir(spark)
+    if not checkpoint and not base:
+        raise ValueError("set spark.checkpoint.dir to a shared folder or pass checkpoint= for streaming state")
+    ckpt = checkpoint or f"{base.rstrip('/')}/streams/{name}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
