@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.temporal import current_state, latest_snapshot, trend
-from ..sources.standins import dca_allocation, dunning, pastdue, pastdue_payment
+from ..sources.standins import billing_account, dca_allocation, dunning, pastdue, pastdue_payment
+from ..sources.tables import table
 from .common import ORDERS_AS_OF, with_views
 
 SINCE = ORDERS_AS_OF - dt.timedelta(days=1095)
@@ -88,7 +89,16 @@ def dca_psr_split(spark, sf_dir):
     )
 
 
+def dca_accounts_with_customer(spark, sf_dir):
+    """B11 (A5): current agency allocations -> current billing account -> customer (inner joins)."""
+    dca = current_state(dca_allocation(spark, sf_dir)).select("account_number", "dca_id", "account_status")
+    ba = current_state(billing_account(spark, sf_dir)).select(F.col("number").alias("account_number"), F.col("id").alias("customer_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"))
+    return dca.join(ba, "account_number").join(c, "customer_id").select("account_number", "dca_id", "account_status", "customer_name")
+
+
 QUERIES = {
+    "dca_accounts_with_customer": dca_accounts_with_customer,
     "dca_accounts_by_occupier": dca_accounts_by_occupier,
     "dca_psr_split": dca_psr_split,
     "dca_accounts_by_status": dca_accounts_by_status,
@@ -137,3 +147,12 @@ ORACLE["dca_accounts_by_occupier"] = with_views(
 ORACLE["dca_psr_split"] = with_views(
     ["dca_allocation"], f"select dca_id, psr, count(distinct account_number) as accounts from dca_allocation where {CUR} group by 1, 2"
 )
+
+ORACLE["dca_accounts_with_customer"] = with_views(
+    ["dca_allocation", "billing_account"],
+    f"""select dca.account_number, dca.dca_id, dca.account_status, c.c_name as customer_name
+from dca_allocation dca
+join billing_account ba on dca.account_number = ba.number and ba.effective_to = timestamp '9999-01-01'
+join customer c on ba.id = c.c_custkey
+where dca.{CUR}""",
+)
