@@ -10,7 +10,7 @@ from ..functions.core import ntz
 
 from ..functions.core import count_if
 from ..operators.temporal import current_state, latest_snapshot, trend
-from ..sources.standins import bills, journeys, meter_reading
+from ..sources.standins import bill_periods, bills, journeys, meter_reading, referrals
 from .common import EVENTS_AS_OF, EVENTS_DAYS, with_views
 
 SINCE = dt.datetime(1994, 1, 1)
@@ -100,7 +100,25 @@ def daily_journey_kpis(spark, sf_dir):
     )
 
 
+def bill_period_status(spark, sf_dir):
+    """OP14: current bill periods by status code."""
+    return (
+        current_state(bill_periods(spark, sf_dir))
+        .groupBy("status_code")
+        .agg(F.count(F.lit(1)).alias("periods"))
+        .orderBy(F.col("periods").desc())
+    )
+
+
+def referrals_per_month(spark, sf_dir):
+    """C18 (A16): current referrals per month."""
+    r = current_state(referrals(spark, sf_dir))
+    return trend(r, "created_at", "month", [F.count(F.lit(1)).alias("referrals")]).orderBy(F.col("month").desc())
+
+
 QUERIES = {
+    "bill_period_status": bill_period_status,
+    "referrals_per_month": referrals_per_month,
     "daily_journey_kpis": daily_journey_kpis,
     "readings_by_source": readings_by_source,
     "reading_status_workflow": reading_status_workflow,
@@ -157,3 +175,11 @@ ORACLE["daily_journey_kpis"] = with_views(
     """select created_date, kpi_name, channel, count(*) as attempts, count(*) filter (where success_status = 'Y') as successes
 from journeys where created_date >= date '2024-01-01' group by 1, 2, 3""",
 )
+
+ORACLE["bill_period_status"] = with_views(
+    ["bill_periods"], f"select status_code, count(*) as periods from bill_periods where {CUR} group by 1"
+)
+ORACLE["referrals_per_month"] = with_views(
+    ["referrals"],
+    f"select cast(date_trunc('month', created_at) as date) as month, count(*) as referrals from referrals where {CUR} group by 1",
+)
