@@ -21,38 +21,47 @@ OFFERED = sql_list(R.OFFERED_INTENTS)
 
 
 def voice_contact_funnel(spark, sf_dir):
+    """K22 (A19): voice daily contact funnel (flagship)."""
     return D.contact_funnel(contacts(spark, sf_dir), "VOICE", EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def email_contact_funnel(spark, sf_dir):
+    """K24 (A19): e-mail daily contact funnel."""
     return D.contact_funnel(contacts(spark, sf_dir), "EMAIL", EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def chat_contact_funnel(spark, sf_dir):
+    """K26 (A19): chat daily contact funnel (API initiation)."""
     return D.contact_funnel(contacts(spark, sf_dir), "CHAT", EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def voice_outcome_breakdown(spark, sf_dir):
+    """K5: seven-way voice outcome with share and distinct accounts."""
     return D.voice_outcome_breakdown(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def voice_deflection_rates(spark, sf_dir):
+    """K6: voice deflection, agent and abandonment rates."""
     return D.voice_deflection_rates(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def voice_take_up_by_intent(spark, sf_dir):
+    """K23 (A20): voice offered vs taken by intent."""
     return D.take_up_by_intent(contacts(spark, sf_dir), "VOICE", EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def chat_take_up_by_intent(spark, sf_dir):
+    """K27 (A20): chat deflection and bot resolution by intent."""
     return D.take_up_by_intent(contacts(spark, sf_dir), "CHAT", EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def channel_summary(spark, sf_dir):
+    """K28 (A21): handled / deflected / dropped per channel."""
     return D.channel_summary(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)
 
 
 def safeguard_breakdown(spark, sf_dir):
+    """K25 (A22): e-mail deflection decisions and safeguards by intent."""
     return D.safeguard_breakdown(contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS, case_days=EVENTS_DAYS)
 
 

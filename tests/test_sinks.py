@@ -43,3 +43,14 @@ def test_partitioned_extract(spark):
     write_extract(df, f"{scratch}/x", ["dim"])
     assert sorted(d for d in os.listdir(f"{scratch}/x") if d.startswith("dim=")) == ["dim=0", "dim=1", "dim=2"]
     assert spark.read.parquet(f"{scratch}/x").where("dim = '2'").count() == 33
+
+
+def test_cli_lists_and_runs(spark, capsys):
+    from flowmetrics.__main__ import main
+
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.splitlines()
+    assert len(listed) >= 150 and all(len(line.split()) >= 2 for line in listed)
+    scratch = tempfile.mkdtemp(prefix="flowmetrics-cli-", dir="/tmp")
+    assert main(["run", "feed_health", "--data", SF, "--show", "0", "--out", f"{scratch}/o"]) == 0
+    assert spark.read.parquet(f"{scratch}/o").count() > 0
