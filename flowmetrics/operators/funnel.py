@@ -109,7 +109,9 @@ def journey_weights(
         key,
         F.coalesce("entry_path", F.lit("Direct")).alias("entry_path"),
         "offer_channel",
-        F.col("_nb").isNotNull().alias("booked"),
+        # "booked" tests the booking's key, as the documented CASE does: a
+        # booking whose key is NULL joins nothing and counts as not booked.
+        (F.col("_nb").isNotNull() & F.col(key).isNotNull()).alias("booked"),
         F.col(outcome).alias("outcome"),
         (F.coalesce("_nl", F.lit(1)) * F.coalesce("_nb", F.lit(1))).cast("long").alias("weight"),
         *dims,
