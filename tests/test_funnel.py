@@ -47,3 +47,22 @@ def test_weights_sum_to_joined_row_count(spark):
     total = journey_weights(o, w, b).agg(F.sum("weight")).first()[0]
     # account 1: 3 offers x 2 bookings = 6; account 2: 1; account 3: 1; account 4: 1
     assert total == 9
+
+
+def test_cohort_churn_multiplicities_equal_naive_left_join(spark):
+    from flowmetrics.operators.cohort import cohort_churn
+
+    rng = random.Random(9)
+    accts = [(f"A{i}", rng.choice(["Opted In", "Opted Out", "Unknown"])) for i in range(30)]
+    cancels = list({(rng.choice([None] + [f"A{i}" for i in range(40)]), rng.randrange(5), rng.choice(["x", "y"])) for _ in range(50)})
+    a = spark.createDataFrame(accts, "account_number string, consent_status string")
+    c = spark.createDataFrame(cancels, "account_number string, d int, reason string")
+    a.createOrReplaceTempView("t_acc")
+    c.createOrReplaceTempView("t_can")
+    naive = spark.sql(
+        """select consent_status, count(*) as n, sum(case when c.account_number is not null then 1 else 0 end) as churned
+           from t_acc a left join (select distinct * from t_can) c on a.account_number = c.account_number
+           group by consent_status"""
+    )
+    got = {(r.consent_status, r.active_at_period_start, r.churned_count) for r in cohort_churn(a, c.distinct(), "account_number", "consent_status").collect()}
+    assert got == {tuple(r) for r in naive.collect()}
