@@ -66,3 +66,20 @@ def test_cohort_churn_multiplicities_equal_naive_left_join(spark):
     )
     got = {(r.consent_status, r.active_at_period_start, r.churned_count) for r in cohort_churn(a, c.distinct(), "account_number", "consent_status").collect()}
     assert got == {tuple(r) for r in naive.collect()}
+
+
+def test_seen_in_previous_days_equals_naive_exists(spark):
+    import datetime as dt
+
+    from flowmetrics.operators.flows import seen_in_previous_days
+
+    rng = random.Random(13)
+    base = dt.date(2024, 1, 1)
+    rows = [(i, rng.choice([None, "p1", "p2", "p3"]), base + dt.timedelta(days=rng.randrange(0, 20))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, phone string, day date")
+    got = {r.id: r.is_return for r in seen_in_previous_days(df, "phone", "day", lo=5, hi=1).collect()}
+    exp = {
+        i: p is not None and any(q == p and d - dt.timedelta(days=5) <= e <= d - dt.timedelta(days=1) for _, q, e in rows)
+        for i, p, d in rows
+    }
+    assert got == exp
