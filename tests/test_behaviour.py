@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from flowmetrics.operators.behaviour import exists_within_days, exists_within_ts, latest_by
 
 
@@ -72,3 +74,19 @@ def test_next_in_order_matches_plain_lead(spark):
     got = {r.id: r.nxt for r in next_in_order(df, ["k"], ["d", "id"], "d", F.year("d"), "nxt").collect()}
     exp = {r.id: r.nxt for r in df.select("id", F.lead("d").over(Window.partitionBy("k").orderBy("d", "id")).alias("nxt")).collect()}
     assert got == exp
+
+
+def test_multi_flag_sweep_equals_single_sweeps(spark):
+    from flowmetrics.operators.behaviour import exists_within_ts_many
+
+    rng = random.Random(17)
+    base = dt.datetime(2024, 1, 1)
+    subj = [(i, rng.choice(["a", "b", None]), base + dt.timedelta(minutes=rng.randrange(0, 9000))) for i in range(200)]
+    cands = [(rng.choice(["a", "b"]), rng.choice(["V", "E", "C"]), base + dt.timedelta(minutes=rng.randrange(0, 9000))) for _ in range(300)]
+    s = spark.createDataFrame(subj, "sid int, k string, ts timestamp_ntz")
+    c = spark.createDataFrame(cands, "k string, ch string, ts timestamp_ntz")
+    sets = [(f"f_{ch}", c.where(F.col("ch") == ch), "k", "ts") for ch in ("V", "E", "C")] + [("f_all", c, "k", "ts")]
+    many = {r.sid: (r.f_V, r.f_E, r.f_C, r.f_all) for r in exists_within_ts_many(s, "k", "ts", 3 * 3600, 1800, sets).collect()}
+    for idx, (name, frame, _, _) in enumerate(sets):
+        single = {r.sid: r[name] for r in exists_within_ts(s, frame, "k", "ts", name, 3 * 3600, 1800).collect()}
+        assert {sid: v[idx] for sid, v in many.items()} == single, name
