@@ -98,7 +98,8 @@ def journey_weights(
     b = bookings.groupBy(key, outcome, *booking_dims).agg(F.count(F.lit(1)).alias("_nb"))
     left = o.join(w, key, "full").select(
         key,
-        F.when(F.col("_nw").isNotNull(), "Waiting List").otherwise("Direct").alias("entry_path"),
+        # Entry tests the waiting-list key (a NULL-keyed row is "Direct"), as documented.
+        F.when(F.col("_nw").isNotNull() & F.col(key).isNotNull(), "Waiting List").otherwise("Direct").alias("entry_path"),
         F.col(channel).alias("offer_channel"),
         (F.coalesce("_no", F.lit(1)) * F.coalesce("_nw", F.lit(1))).alias("_nl"),
         *dims,

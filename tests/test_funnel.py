@@ -11,7 +11,7 @@ def test_weights_equal_naive_full_outer_join(spark):
     rng = random.Random(5)
     keys = [None, 1, 2, 3, 4, 5, 6, 7, 8]
     offers = [(rng.choice(keys), rng.choice(["EMAIL", "SMBP", "LETTER", None])) for _ in range(60)]
-    waiting = [(k,) for k in {rng.choice(keys) for _ in range(6)}]
+    waiting = [(k,) for k in {rng.choice(keys) for _ in range(6)}] + [(None,)]
     bookings = [(rng.choice(keys), rng.choice(["Completed", "Aborted", "Pending", "Cancelled"])) for _ in range(40)]
     o = spark.createDataFrame(offers, "billing_account_id int, offer_channel string")
     w = spark.createDataFrame(waiting, "billing_account_id int")
