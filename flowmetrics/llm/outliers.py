@@ -265,6 +265,18 @@ def fit(stats: DataFrame) -> DataFrame:
     return materialize(chosen, "mcd-chosen")
 
 
+def judge(stats: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Rows of ``statistics`` (with lang and source) plus level, distance and kept; see ``assess``."""
+    stats = materialize(stats.drop("distance", "kept", "level", "g_lang", "g_source"), "statistics")
+    estimate = fit(stats)
+    keyed = stats.withColumns({"d_lang": F.to_json(F.struct("lang")), "d_source": F.to_json(F.struct("source"))})
+    joined = keyed.join(estimate, (F.col("d_lang") == F.col("g_lang")) & (F.col("d_source") == F.col("g_source")), "left")
+    limit = chi2_quantile(tail, len(STATS))
+    distance = F.when(F.col("g_lang").isNotNull(), _distance())
+    scored = joined.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False)))
+    return scored.select(*stats.columns, "level", "distance", "kept")
+
+
 def assess(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """``docs`` with counts, base_failed, distance double (null without an estimate) and kept boolean.
 
@@ -273,14 +285,7 @@ def assess(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     judged alike, each; an empty table stays empty.  Columns of the result's
     names in the input are replaced.
     """
-    stats = materialize(statistics(docs.drop("distance", "kept", "level", "g_lang", "g_source")), "statistics")
-    estimate = fit(stats)
-    keyed = stats.withColumns({"d_lang": F.to_json(F.struct("lang")), "d_source": F.to_json(F.struct("source"))})
-    joined = keyed.join(estimate, (F.col("d_lang") == F.col("g_lang")) & (F.col("d_source") == F.col("g_source")), "left")
-    limit = chi2_quantile(tail, len(STATS))
-    distance = F.when(F.col("g_lang").isNotNull(), _distance())
-    scored = joined.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False)))
-    return scored.select(*stats.columns, "level", "distance", "kept")
+    return judge(statistics(docs), tail)
 
 
 def keep_regular(docs: DataFrame, tail: float = TAIL) -> DataFrame:
