@@ -17,8 +17,12 @@ concatenated and cut again, so each block pads one window at most.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .store import materialize
+from .textops import slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -33,42 +38,68 @@ BLOCK_PIECES = 8192
 PIECE = "doc_id {id}, start long, length long, doc_tokens long, ids binary"
 
 
-class TokenCache(dict):
-    """Ids (uint32 bytes) by white-space separated word; bounded, refilled in batches.
+class TokenCache:
+    """Ids (uint32 bytes) by part of a text, bounded.
 
-    The tokenizer drops ASCII white space and never joins across it, so the
-    ids of a text are the ids of its words one after another.
+    A text is lower-cased and split as the tokenizer does it (``SPLIT``);
+    the ids of a text are those of its parts one after another, and the last
+    id of each part carries the end mark, so many new parts are encoded in
+    one call and told apart by it.  Texts that normalisation could change in
+    another way are encoded whole.
     """
 
-    BOUND = 300_000
-    MARK, MARK_ID = "<|startoftext|>", 49406
+    BOUND = 400_000
+    #: How the tokenizer file splits a lower-cased text, and the same for texts whose only numerals are decimal digits.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]+|_+)+"
+    NUMERAL = r"[\p{No}\p{Nl}]"
+    #: Controls that Python counts as white space and the tokenizer does not, letters lower-cased by context, special tokens.
+    ODD = r"[\x1c-\x1f\u0130\u03a3]|<\|"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        # the same model without its own cache: every part comes once
+        self.tokenizer.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
+        self.plain, self.any, self.odd, self.numeral = re.compile(self.PLAIN).findall, regex.compile(self.SPLIT).findall, re.compile(self.ODD).search, regex.compile(self.NUMERAL).search
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.BOUND:
-            self.clear()
-        todo = [w.decode("utf-8", "replace") for w in words]
-        plain = [(w, t) for w, t in zip(words, todo) if "<|" not in t]
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo : lo + 4096]
-            ids = self.encode(self.MARK.join(t for _, t in part))
-            cut = np.flatnonzero(ids == self.MARK_ID)
-            if len(cut) != len(part) - 1:  # a word changed the marks: one by one
-                for w, t in part:
-                    self[w] = self.encode(t).tobytes()
-                continue
-            for (w, _), x in zip(part, np.split(ids, cut)):
-                self[w] = (x[1:] if len(x) and x[0] == self.MARK_ID else x).tobytes()
-        for w, t in zip(words, todo):
-            if "<|" in t:
-                self[w] = self.encode(t).tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def split(self, text: str) -> list[str] | None:
+        if text.isascii():
+            return None if self.odd(text) else self.plain(text.lower())
+        if self.odd(text) or not is_normalized("NFC", text):
+            return None
+        return (self.any if self.numeral(text) else self.plain)(text.lower())
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        split = [self.split(t) for t in texts]
+        if len(self.parts) > self.BOUND:
+            self.parts.clear()
+        new = list(set(filterfalse(self.parts.__contains__, chain.from_iterable(filter(None, split)))))
+        for lo in range(0, len(new), 8192):
+            self.encode_parts(new[lo : lo + 8192])
+        return [self.encode(t).tobytes() if own is None else b"".join(map(self.parts.__getitem__, own)) for t, own in zip(texts, split)]
+
+    def encode_parts(self, parts: list[str]) -> None:
+        ids = self.encode(" ".join(parts))
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(stops) == len(parts):
+            blob, at = ids.tobytes(), 0
+            for part, stop in zip(parts, stops):
+                self.parts[part], at = blob[at:stop], stop
+        else:
+            for part in parts:
+                self.parts[part] = self.encode(part).tobytes()
 
 
 def tokenize_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -79,18 +110,11 @@ def tokenize_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
     cache = TokenCache(path)
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            texts = [(t or "").encode().split() for t in part.column(1).to_pylist()]
-            for words in texts:
-                if new := {w for w in words if w not in cache}:
-                    if len(cache) + len(new) > cache.BOUND:
-                        new = set(words)
-                    cache.learn(new)
-                # ids of this document are read before the cache may be cleared again
-                words[:] = [b"".join(map(cache.__getitem__, words)) + end]
+        for lo, size in slices(batch.column(1)):
+            part = batch.slice(lo, size)
             ids, start, length, total, row = [], [], [], [], []
-            for i, (blob,) in enumerate(texts):
+            for i, blob in enumerate(cache.texts([t or "" for t in part.column(1).to_pylist()])):
+                blob += end
                 n = len(blob) // 4
                 for a in range(0, n, capacity):
                     row.append(i)
