@@ -97,13 +97,14 @@ def exception_root_cause(spark, sf_dir):
 
 
 def product_per_account(spark, sf_dir):
-    """M1/A5: current account -> live product bundles -> product name (left-preserving)."""
-    acct = current_state(S.account_versions(spark, sf_dir)).select(F.col("account_id").alias("account_fk"), "status")
-    pb = _live_bundles(spark, sf_dir).groupBy("account_fk").agg(
-        F.count(F.lit(1)).alias("bundles"), F.count_distinct("product_name").alias("products")
-    )
-    return acct.join(pb, "account_fk", "left").select(
-        "account_fk", "status", F.coalesce("bundles", F.lit(0)).alias("bundles"), F.coalesce("products", F.lit(0)).alias("products")
+    """M1/A5: live tariffs of current accounts: name, start, contract end and end, one row per bundle."""
+    acct = current_state(S.account_versions(spark, sf_dir)).select(F.col("account_id").alias("account_fk"))
+    return _live_bundles(spark, sf_dir).join(acct, "account_fk").select(
+        F.col("account_fk").cast("string").alias("account_number"),
+        F.col("product_name").alias("tariff_name"),
+        F.col("from_dttm").alias("tariff_start"),
+        F.col("contracted_to").alias("contract_end_date"),
+        F.col("to_dttm").alias("tariff_end"),
     )
 
 
@@ -231,11 +232,10 @@ group by 1""",
     "product_per_account": with_views(
         ["account_versions", "product_bundle"],
         f"""
-select a.account_id as account_fk, a.status, coalesce(p.bundles, 0) as bundles, coalesce(p.products, 0) as products
-from account_versions a
-left join (select account_fk, count(*) as bundles, count(distinct product_name) as products
-           from product_bundle where {_LIVE} group by 1) p on p.account_fk = a.account_id
-where a.effective_to = timestamp '9999-01-01'""",
+select cast(b.account_fk as varchar) as account_number, b.product_name as tariff_name,
+       b.from_dttm as tariff_start, b.contracted_to as contract_end_date, b.to_dttm as tariff_end
+from (select * from product_bundle where {_LIVE}) b
+where exists (select 1 from account_versions a where a.account_id = b.account_fk and a.effective_to = timestamp '9999-01-01')""",
     ),
 }
 

@@ -246,22 +246,46 @@ def self_service_by_type(spark, sf_dir):
 
 
 def daily_email_trend(spark, sf_dir):
-    """Inbound e-mail per day: total, auto-responded, agent handled, dropped."""
+    """Inbound e-mail per day: total, filtered, agent handled, auto-responded (closed by the flow, not filtered) and its rate."""
     from ..operators.temporal import trend
 
     c = D.in_days(contacts(spark, sf_dir).where(R.base_filter("EMAIL")), EVENTS_AS_OF, EVENTS_DAYS)
-    return trend(
+    filtered = F.coalesce(F.col("queue_name") == "Dropped Emails", F.lit(False))
+    per_day = trend(
         c,
         "ts",
         "day",
         [
-            F.count(F.lit(1)).alias("total"),
-            count_if(R.email_deflected()).alias("auto_responded"),
+            F.count(F.lit(1)).alias("total_emails"),
+            count_if(filtered).alias("spam_ooo_filtered"),
             count_if(R.agent_handled()).alias("agent_handled"),
-            count_if(F.col("queue_name") == "Dropped Emails").alias("dropped"),
+            count_if((F.col("disconnect_reason") == "CONTACT_FLOW_DISCONNECT") & ~filtered).alias("auto_responded"),
         ],
         name="date",
-    ).orderBy(F.col("date").desc())
+    )
+    return per_day.withColumn("deflection_rate_pct", pct("auto_responded", "total_emails", 1)).orderBy(F.col("date").desc())
+
+
+def voice_daily_deflection(spark, sf_dir):
+    """K8: inbound voice per day: contacts, reached agent, true deflections, abandonments and both rates."""
+    from ..operators.temporal import trend
+
+    c = D.in_days(contacts(spark, sf_dir).where(R.base_filter("VOICE")), EVENTS_AS_OF, EVENTS_DAYS)
+    lost = F.col("agent_ts").isNull() & (F.col("selfservice").isNull() | F.col("selfservice").isin("rejected", "error"))
+    per_day = trend(
+        c,
+        "ts",
+        "day",
+        [
+            F.count(F.lit(1)).alias("total_contacts"),
+            count_if(F.col("agent_ts").isNotNull()).alias("reached_agent"),
+            count_if(F.col("selfservice").isin(*R.SELF_SERVICE_LIST_A)).alias("true_deflections"),
+            count_if(lost).alias("abandonments"),
+        ],
+        name="date",
+    )
+    rates = {"deflection_rate_pct": pct("true_deflections", "total_contacts", 1), "abandonment_rate_pct": pct("abandonments", "total_contacts", 1)}
+    return per_day.withColumns(rates).orderBy(F.col("date").desc())
 
 
 def auto_response_by_intent(spark, sf_dir):
@@ -289,6 +313,7 @@ QUERIES = {
     "email_outcome_breakdown": email_outcome_breakdown,
     "self_service_by_type": self_service_by_type,
     "daily_email_trend": daily_email_trend,
+    "voice_daily_deflection": voice_daily_deflection,
     "channel_take_rates": channel_take_rates,
     "channel_intent_breakdown": channel_intent_breakdown,
     "deflected_completion": deflected_completion,
@@ -588,13 +613,28 @@ group by 1, 2""",
 ORACLE["daily_email_trend"] = with_views(
     ["contacts"],
     f"""
-select cast(ts as date) as date, count(*) as total,
-  count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent in ({EMAIL_INTENTS})
-                   and queue_name is null) as auto_responded,
-  count(*) filter (where agent_ts is not null) as agent_handled,
-  count(*) filter (where queue_name = 'Dropped Emails') as dropped
-from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
-group by 1""",
+select date, total_emails, spam_ooo_filtered, agent_handled, auto_responded,
+       round(cast(auto_responded as double) * 100.0 / cast(total_emails as double), 1) as deflection_rate_pct
+from (
+  select cast(ts as date) as date, count(*) as total_emails,
+    count(*) filter (where queue_name = 'Dropped Emails') as spam_ooo_filtered,
+    count(*) filter (where agent_ts is not null) as agent_handled,
+    count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and queue_name is distinct from 'Dropped Emails') as auto_responded
+  from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
+  group by 1)""",
+)
+
+ORACLE["voice_daily_deflection"] = with_views(
+    ["contacts"],
+    f"""
+select *, round(cast(true_deflections as double) * 100.0 / cast(total_contacts as double), 1) as deflection_rate_pct,
+       round(cast(abandonments as double) * 100.0 / cast(total_contacts as double), 1) as abandonment_rate_pct
+from (
+  select cast(ts as date) as date, count(*) as total_contacts, count(agent_ts) as reached_agent,
+    count(*) filter (where selfservice in ({LIST_A})) as true_deflections,
+    count(*) filter (where agent_ts is null and coalesce(selfservice, 'error') in ('rejected', 'error')) as abandonments
+  from contacts where channel = 'VOICE' and initiation = 'INBOUND' and {WINDOW_SQL}
+  group by 1)""",
 )
 
 ORACLE["auto_response_by_intent"] = with_views(

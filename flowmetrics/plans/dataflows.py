@@ -52,9 +52,9 @@ def settlement_sums(spark, sf_dir):
 
 
 def settlement_by_gsp(spark, sf_dir):
-    """records and consumption per grid supply point."""
+    """records and consumption per grid supply point and its name."""
     s = _since(settlement(spark, sf_dir), "inserted_ts")
-    return s.groupBy("gsp").agg(F.count(F.lit(1)).alias("records"), F.sum("total").cast("decimal(38,2)").alias("total_kwh")).orderBy(
+    return s.groupBy("gsp", "gsp_name").agg(F.count(F.lit(1)).alias("records"), F.sum("total").cast("decimal(38,2)").alias("total_kwh")).orderBy(
         F.col("total_kwh").desc(), "gsp"
     )
 
@@ -87,9 +87,9 @@ def gas_rejections_by_reason(spark, sf_dir):
 
 
 def gas_rejection_trend(spark, sf_dir):
-    """F12 (A16): gas rejections per month."""
+    """F12 (A16): gas rejections per day."""
     r = _since(gas_rejections(spark, sf_dir), "received_date")
-    return trend(r, "received_date", "month", [F.count(F.lit(1)).alias("rejections")]).orderBy(F.col("month").desc())
+    return trend(r, "received_date", "day", [F.count(F.lit(1)).alias("total_rejections")], name="date").orderBy(F.col("date").desc())
 
 
 QUERIES = {
@@ -124,7 +124,7 @@ from settlement where inserted_ts >= {S} group by 1, 2""",
     ),
     "settlement_by_gsp": with_views(
         ["settlement"],
-        f"select gsp, count(*) as records, sum(total) as total_kwh from settlement where inserted_ts >= {S} group by 1",
+        f"select gsp, gsp_name, count(*) as records, sum(total) as total_kwh from settlement where inserted_ts >= {S} group by 1, 2",
     ),
     "supplier_switch_counts": with_views(
         ["supplier_switches"],
@@ -146,6 +146,6 @@ from gas_rejections where received_date >= {S} group by 1, 2, 3""",
 )
 ORACLE["gas_rejection_trend"] = with_views(
     ["gas_rejections"],
-    f"""select cast(date_trunc('month', received_date) as date) as month, count(*) as rejections
+    f"""select cast(received_date as date) as date, count(*) as total_rejections
 from gas_rejections where received_date >= {S} group by 1""",
 )

@@ -68,17 +68,17 @@ def app_vs_web(spark, sf_dir):
     p = (
         _recent_journeys(spark, sf_dir)
         .groupBy("kpi_name")
-        .pivot("db_source", ["APP", "WEB"])
+        .pivot("channel", ["App", "Web"])
         .agg(count_if(F.col("success_status") == "Y").alias("success"), F.count(F.lit(1)).alias("total"))
     )
     return p.select(
         "kpi_name",
-        F.coalesce("APP_success", F.lit(0)).alias("app_success"),
-        F.coalesce("APP_total", F.lit(0)).alias("app_total"),
-        pct("APP_success", "APP_total", 2).alias("app_rate"),
-        F.coalesce("WEB_success", F.lit(0)).alias("web_success"),
-        F.coalesce("WEB_total", F.lit(0)).alias("web_total"),
-        pct("WEB_success", "WEB_total", 2).alias("web_rate"),
+        F.coalesce("App_success", F.lit(0)).alias("app_success"),
+        F.coalesce("App_total", F.lit(0)).alias("app_total"),
+        pct("App_success", "App_total", 2).alias("app_rate"),
+        F.coalesce("Web_success", F.lit(0)).alias("web_success"),
+        F.coalesce("Web_total", F.lit(0)).alias("web_total"),
+        pct("Web_success", "Web_total", 2).alias("web_rate"),
     ).orderBy("kpi_name")
 
 
@@ -196,12 +196,12 @@ from journeys where created_date >= date '2024-01-01' group by 1, 2""",
     "app_vs_web": with_views(
         ["journeys"],
         f"""select kpi_name,
-  count(*) filter (where db_source = 'APP' and success_status = 'Y') as app_success,
-  count(*) filter (where db_source = 'APP') as app_total,
-  {_p("count(*) filter (where db_source = 'APP' and success_status = 'Y')", "count(*) filter (where db_source = 'APP')", 2)} as app_rate,
-  count(*) filter (where db_source = 'WEB' and success_status = 'Y') as web_success,
-  count(*) filter (where db_source = 'WEB') as web_total,
-  {_p("count(*) filter (where db_source = 'WEB' and success_status = 'Y')", "count(*) filter (where db_source = 'WEB')", 2)} as web_rate
+  count(*) filter (where channel = 'App' and success_status = 'Y') as app_success,
+  count(*) filter (where channel = 'App') as app_total,
+  {_p("count(*) filter (where channel = 'App' and success_status = 'Y')", "count(*) filter (where channel = 'App')", 2)} as app_rate,
+  count(*) filter (where channel = 'Web' and success_status = 'Y') as web_success,
+  count(*) filter (where channel = 'Web') as web_total,
+  {_p("count(*) filter (where channel = 'Web' and success_status = 'Y')", "count(*) filter (where channel = 'Web')", 2)} as web_rate
 from journeys where created_date >= date '2024-01-01' group by 1""",
     ),
 }

@@ -158,12 +158,12 @@ def recent_exceptions(spark, sf_dir):
 
 
 def daily_data_volume(spark, sf_dir):
-    """The 30 days with the most feed data (files and MB), a top-k report."""
+    """Feed files and MB of the 30 latest days, a top-k report."""
     f = _recent(feed_files(spark, sf_dir), "received_ts")
     return (
         f.groupBy(F.to_date("received_ts").alias("date"))
         .agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size_bytes") / 1024 / 1024, 3).alias("total_mb"))
-        .orderBy(F.col("total_mb").desc(), "date")
+        .orderBy(F.col("date").desc())
         .limit(30)
     )
 
@@ -311,7 +311,7 @@ order by created_dttm desc, id desc limit 100""",
 ORACLE["daily_data_volume"] = with_views(
     ["feed_files"],
     f"""select cast(received_ts as date) as date, count(*) as files, round(sum(size_bytes) / 1024 / 1024, 3) as total_mb
-from feed_files where {R} group by 1 order by total_mb desc, date limit 30""",
+from feed_files where {R} group by 1 order by date desc limit 30""",
 )
 
 ORACLE["latest_feed_files"] = with_views(

@@ -66,7 +66,7 @@ def customer_link(spark, sf_dir):
 
 
 def daily_contacts_trend(spark, sf_dir):
-    """Contacts, parties and deflections per day and channel."""
+    """Contacts, parties and deflections per day and channel."""
     c = in_days(S.contacts(spark, sf_dir), EVENTS_AS_OF, EVENTS_DAYS)
     return T.trend(
         c,
@@ -110,8 +110,13 @@ def weekly_change(spark, sf_dir):
     )
 
 
+def new_customers_per_month(spark, sf_dir):
+    """New customers per month of creation."""
+    return T.trend(S.marketing_master(spark, sf_dir), "acc_created_dt", "month", [F.count(F.lit(1)).alias("new_customers")]).orderBy("month")
+
+
 def monthly_orders_trend(spark, sf_dir):
-    """New orders and distinct customers per month."""
+    """Orders and distinct customers per month."""
     o = table(spark, sf_dir, "orders")
     return T.trend(
         o,
@@ -229,6 +234,7 @@ QUERIES = {
     "weekly_deflection_trend": weekly_deflection_trend,
     "weekly_change": weekly_change,
     "monthly_orders_trend": monthly_orders_trend,
+    "new_customers_per_month": new_customers_per_month,
     "month_end_status": month_end_status,
     "payment_success_rate": payment_success_rate,
     "contacts_by_channel": contacts_by_channel,
@@ -419,3 +425,8 @@ from cases where is_complaint = true
 }
 
 _ = ORDERS_AS_OF
+
+ORACLE["new_customers_per_month"] = with_views(
+    ["master"],
+    "select cast(date_trunc('month', acc_created_dt) as date) as month, count(*) as new_customers from master group by 1",
+)

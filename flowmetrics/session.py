@@ -9,7 +9,6 @@ tests, the bench) and never override one the cluster already supplies.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -48,31 +47,3 @@ def apply_defaults(spark: SparkSession) -> None:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we point it at a fresh
-    scratch folder.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns checkpointing
-        return spark.conf.get("spark.checkpoint.dir", "") or ""
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        # A cluster without a shared checkpoint folder: never fall back to a
-        # machine-local path; nothing in the library needs one to run.
-        return ""
-    path = tempfile.mkdtemp(prefix="flowmetrics-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    return path

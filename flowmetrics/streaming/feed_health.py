@@ -1,14 +1,18 @@
 """Structured Streaming feed health (streaming form of A34, feeding A33).
 
 Files arriving in a landing folder are read with ``readStream``; counts are
-kept per (day window, group) in the state store.  The result table is small
-(days x groups), so it is emitted in *complete* mode and each micro-batch
-overwrites the published table: the published table is always the exact
-batch answer for everything seen so far.  The watermark bounds how late a
-file may arrive and still be counted.
-
-Checkpoints live under the cluster's shared ``spark.checkpoint.dir`` so a
-restarted driver or lost executor resumes from the last committed batch.
+kept per (day, group) in the state store and emitted in *update* mode: each
+micro-batch carries the days that changed, and state of days older than the
+watermark is dropped, so it stays bounded by the lateness allowed.  A batch
+is written as a version of its own, named by its number; a rerun of a batch
+overwrites its own version only, and a reader takes the latest count of each
+day and group, so it never sees a table half written.
+
+Days are days of the wall clock of ``ts`` (a timestamp without time zone):
+the watermark runs on the start of that day, whatever the session's zone.
+
+The caller passes the checkpoint folder, which on a cluster must be shared;
+a restarted driver then resumes from the last committed batch.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from pyspark.sql.types import StructType
 
 from ..functions.core import count_if
 from ..operators.health import z_score_anomalies
-from ..session import ensure_checkpoint_dir
 
 
 def read_landing(spark: SparkSession, path: str, schema: StructType, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -38,32 +41,39 @@ def daily_feed_health(
     ok: str = "SUCCESS",
     lateness: str = "2 days",
 ) -> DataFrame:
-    """Per day x group: total, successful and failed files (tumbling 1-day window)."""
-    s = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", lateness)
-    agg = s.groupBy(F.window("_t", "1 day").alias("_w"), *by).agg(
+    """Per wall-clock day x group: total, successful and failed files."""
+    agg = _by_day(stream, ts, lateness).groupBy("_day", *by).agg(
         F.count(F.lit(1)).alias("total_files"),
         count_if(F.col(status) == ok).alias("successful"),
         count_if(F.col(status) != ok).alias("failed"),
     )
-    return agg.select(F.to_date(F.col("_w.start")).alias("date"), *by, "total_files", "successful", "failed")
+    return agg.select(F.to_date("_day").alias("date"), *by, "total_files", "successful", "failed")
 
 
-def publish_complete(df: DataFrame, out_path: str, name: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Run ``df`` in complete mode, overwriting ``out_path`` with each batch's full result."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    if not checkpoint and not base:
-        raise ValueError("set spark.checkpoint.dir to a shared folder or pass checkpoint= for streaming state")
-    ckpt = checkpoint or f"{base.rstrip('/')}/streams/{name}"
+def _by_day(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """Adds ``_day``, the start of the row's day, which carries the watermark."""
+    return stream.withColumn("_day", F.to_date(ts).cast("timestamp")).withWatermark("_day", lateness)
+
+
+def publish(df: DataFrame, out_path: str, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Run ``df`` in update mode, each batch a version ``batch=N`` under ``out_path``; read with ``published``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
 
-    w = df.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(write).queryName(name)
+    w = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def published(spark: SparkSession, out_path: str, keys: Sequence[str]) -> DataFrame:
+    """The latest version of each key of a published stream (one aggregation, combined before the shuffle)."""
+    rows = spark.read.parquet(out_path)
+    values = [c for c in rows.columns if c not in keys and c != "batch"]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
+    return latest.select(*keys, "_latest.*")
+
+
 def daily_flow_counts(
     stream: DataFrame, ts: str = "received_ts", flow: str = "flow", status: str = "status", ok: str = "SUCCESS", lateness: str = "2 days"
 ) -> DataFrame:
@@ -73,9 +83,9 @@ def daily_flow_counts(
     it runs as a batch over the published counts
     (``anomalies_from_counts``) rather than inside the stream.
     """
-    s = stream.where(F.col(status) == ok).withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", lateness)
-    agg = s.groupBy(F.window("_t", "1 day").alias("_w"), flow).agg(F.count(F.lit(1)).alias("file_count"))
-    return agg.select(F.to_date(F.col("_w.start")).alias("date"), flow, "file_count")
+    s = _by_day(stream.where(F.col(status) == ok), ts, lateness)
+    agg = s.groupBy("_day", flow).agg(F.count(F.lit(1)).alias("file_count"))
+    return agg.select(F.to_date("_day").alias("date"), flow, "file_count")
 
 
 def anomalies_from_counts(counts: DataFrame, today, flow: str = "flow", threshold: float = 2.0) -> DataFrame:
