@@ -104,7 +104,9 @@ def exists_after_many(
     key = F.col(key) if isinstance(key, str) else key
 
     s = subjects.select("*", key.alias("_ek"), (pos + F.lit(lo)).alias("_eq"), F.lit(-1).alias("_eset"))
-    s = s.withColumn("_eb", F.floor(F.col("_eq") / F.lit(bucket)))
+    # a subject without a key never matches: dealt by a hash, such rows do not meet in one window
+    own = F.floor(F.col("_eq") / F.lit(bucket))
+    s = s.withColumn("_eb", F.when(F.col("_ek").isNotNull(), own).otherwise(F.xxhash64(*subjects.columns)))
     cands = None
     for i, (_, frame, ck, cp) in enumerate(candidate_sets):
         ck = F.col(ck) if isinstance(ck, str) else ck

@@ -17,7 +17,9 @@ WINDOW_SQL = "ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'"
 def _voice_classified(spark, sf_dir):
     c = contacts(spark, sf_dir).where(base_filter("VOICE")).withColumn("day", F.to_date("ts"))
     report = in_days(c, EVENTS_AS_OF, EVENTS_DAYS)
-    flagged = seen_in_previous_days(report, "endpoint", "day", lo=5, hi=1, history=c)
+    # only days that a reported contact can look back to: the scan is pruned on both ends
+    history = in_days(c, EVENTS_AS_OF, EVENTS_DAYS + 5, 2)
+    flagged = seen_in_previous_days(report, "endpoint", "day", lo=5, hi=1, history=history)
     return flagged.select("*", *[v.alias(k) for k, v in FR.voice_stages().items()])
 
 
@@ -52,7 +54,13 @@ def chat_flow_node_totals(spark, sf_dir):
     return flow_node_totals(_chained(spark, sf_dir, "CHAT", FR.chat_stages()))
 
 
+def email_flow_node_totals(spark, sf_dir):
+    """E-mail node totals."""
+    return flow_node_totals(_chained(spark, sf_dir, "EMAIL", FR.email_stages()))
+
+
 QUERIES = {
+    "email_flow_node_totals": email_flow_node_totals,
     "voice_flow_links": voice_flow_links,
     "voice_flow_node_totals": voice_flow_node_totals,
     "email_flow_links": email_flow_links,
@@ -191,5 +199,6 @@ ORACLE = {
     "voice_flow_node_totals": with_views(["contacts"], _NODE_TOTALS, _VOICE_CLASSIFIED),
     "email_flow_links": with_views(["contacts"], "select source, target, value, stage from links", _EMAIL_LINKS + "," + _CHAIN),
     "chat_flow_links": with_views(["contacts"], "select source, target, value, stage from links", _CHAT_LINKS + "," + _CHAIN),
+    "email_flow_node_totals": with_views(["contacts"], _NODE_TOTALS, _EMAIL_LINKS + "," + _CHAIN),
     "chat_flow_node_totals": with_views(["contacts"], _NODE_TOTALS, _CHAT_LINKS + "," + _CHAIN),
 }

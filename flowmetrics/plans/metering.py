@@ -116,7 +116,14 @@ def referrals_per_month(spark, sf_dir):
     return trend(r, "created_at", "month", [F.count(F.lit(1)).alias("referrals")]).orderBy(F.col("month").desc())
 
 
+def referrals_per_day(spark, sf_dir):
+    """E20 (A16): current referrals per day."""
+    r = current_state(referrals(spark, sf_dir))
+    return trend(r, "created_at", "day", [F.count(F.lit(1)).alias("referrals")], name="date").orderBy(F.col("date").desc())
+
+
 QUERIES = {
+    "referrals_per_day": referrals_per_day,
     "bill_period_status": bill_period_status,
     "referrals_per_month": referrals_per_month,
     "daily_journey_kpis": daily_journey_kpis,
@@ -183,3 +190,7 @@ ORACLE["referrals_per_month"] = with_views(
     ["referrals"],
     f"select cast(date_trunc('month', created_at) as date) as month, count(*) as referrals from referrals where {CUR} group by 1",
 )
+
+ORACLE["referrals_per_day"] = with_views(
+    ["referrals"], f"select cast(created_at as date) as date, count(*) as referrals from referrals where {CUR} group by 1"
+)
