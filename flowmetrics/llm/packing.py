@@ -48,7 +48,7 @@ class TokenCache:
     another way are encoded whole.
     """
 
-    BOUND = 400_000
+    BOUND = 800_000
     #: How the tokenizer file splits a lower-cased text, and the same for texts whose only numerals are decimal digits.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]+|_+)+"
@@ -102,12 +102,23 @@ class TokenCache:
                 self.parts[part] = self.encode(part).tobytes()
 
 
+def worker_cache(path: str) -> TokenCache:
+    """The cache of this Python worker, which serves one task after another."""
+    import sys
+    from types import ModuleType
+
+    held = vars(sys.modules.setdefault("_llm_token_caches", ModuleType("_llm_token_caches")))
+    if path not in held:
+        held[path] = TokenCache(path)
+    return held[path]
+
+
 def tokenize_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Whole windows and the rest of each document, with their ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    cache = TokenCache(path)
+    cache = worker_cache(path)
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         for lo, size in slices(batch.column(1)):
