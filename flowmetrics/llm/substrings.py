@@ -74,7 +74,7 @@ def seed_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, sche
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(rid, did, window fingerprints, window starts) for all windows that cover a shared seed."""
+    """(rid, did, distinct window fingerprints, their starts) for all windows that cover a shared seed."""
     table = word_table()
     for batch in batches:
         for lo, n in slices(batch.column(2)):
@@ -90,8 +90,16 @@ def window_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, sc
             use = np.cumsum(wanted)[at] > 0
             codes, at = codes[use], at[use]
             row = row_of(at, words.first)
-            counts = np.searchsorted(row, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(codes.view(np.int64), counts, pa.int64()), lists(at - words.first[row], counts, pa.int64())], schema=schema)
+            # a window that recurs inside a document is one entry with several starts
+            order = np.lexsort((codes, row))
+            codes, row, at = codes[order], row[order], at[order]
+            new = np.ones(len(codes), bool)
+            new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+            begin = np.flatnonzero(new)
+            counts = np.searchsorted(row[begin], np.arange(n + 1))
+            starts = lists(at - words.first[row], np.append(begin, len(codes)), pa.int64())
+            starts = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), starts)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(codes[begin].view(np.int64), counts, pa.int64()), starts], schema=schema)
 
 
 def removal_batches(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -152,13 +160,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     places = seeds.join(shared, F.col("seed") == F.col("common")).groupBy(F.col("rid").alias("owner")).agg(F.collect_set("place").alias("places"))
     holders = materialize(keyed.join(places, F.col("rid") == F.col("owner")).select("rid", "did", "text", "places"), "holders")
 
-    window_shape = "rid long, did long, code array<long>, start array<long>"
+    window_shape = "rid long, did long, code array<long>, start array<array<long>>"
     window_arrow = _arrow(spark, window_shape)
     windows = holders.mapInArrow(lambda it: window_batches(it, seed, length, window_arrow), window_shape)
     windows = windows.select("rid", "did", F.explode(F.arrays_zip("code", "start")).alias("w")).select("rid", "did", F.col("w.code").alias("code"), F.col("w.start").alias("start"))
     earliest = windows.groupBy(F.col("code").alias("same")).agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("same", "lo")
     repeated = windows.join(earliest, (F.col("code") == F.col("same")) & (F.col("did") > F.col("lo")))
-    starts = repeated.groupBy(F.col("rid").alias("owner")).agg(F.collect_set("start").alias("starts"))
+    starts = repeated.groupBy(F.col("rid").alias("owner")).agg(F.array_distinct(F.flatten(F.collect_list("start"))).alias("starts"))
 
     cut_shape = "cut_rid long, repeats array<struct<start:long,end:long>>, n_cut long, cut_sha256 string"
     cut_arrow = _arrow(spark, cut_shape)
