@@ -48,6 +48,19 @@ def winnow(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, span: int) ->
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def grouped(codes: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Per row its distinct fingerprints and, for each, its places: one that recurs inside a document is one entry."""
+    row = row_of(at, first)
+    order = np.lexsort((at, codes, row))
+    codes, row, at = codes[order], row[order], at[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
+    counts = np.searchsorted(row[begin], np.arange(len(first)))
+    places = lists(at - first[row], np.append(begin, len(codes)), pa.int64())
+    return lists(codes[begin].view(np.int64), counts, pa.int64()), pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), places)
+
+
 def seed_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(rid, did, n_words, words_sha256, seeds) per document; columns 0-2 are rid, did, text."""
     table = word_table()
@@ -57,17 +70,16 @@ def seed_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, sche
             words = Words.of(part.column(2), table)
             codes, at = grams(words.hashes(), words.first, seed)
             chosen = winnow(codes, at, words.first, length - seed + 1)
-            row = row_of(at[chosen], words.first)
             shas = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in part.column(2).to_pylist()]
-            counts = np.searchsorted(row, np.arange(n + 1))
+            seeds, places = grouped(codes[chosen], at[chosen], words.first)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array(np.diff(words.first), pa.int64()),
                     pa.array(shas),
-                    lists(codes[chosen].view(np.int64), counts, pa.int64()),
-                    lists(at[chosen] - words.first[row], counts, pa.int64()),
+                    seeds,
+                    places,
                 ],
                 schema=schema,
             )
@@ -89,17 +101,8 @@ def window_batches(batches: Iterator[pa.RecordBatch], seed: int, length: int, sc
                 np.add.at(wanted, np.minimum(places + 1, end), -1)
             use = np.cumsum(wanted)[at] > 0
             codes, at = codes[use], at[use]
-            row = row_of(at, words.first)
-            # a window that recurs inside a document is one entry with several starts
-            order = np.lexsort((codes, row))
-            codes, row, at = codes[order], row[order], at[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
-            begin = np.flatnonzero(new)
-            counts = np.searchsorted(row[begin], np.arange(n + 1))
-            starts = lists(at - words.first[row], np.append(begin, len(codes)), pa.int64())
-            starts = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), starts)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(codes[begin].view(np.int64), counts, pa.int64()), starts], schema=schema)
+            found, starts = grouped(codes, at, words.first)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found, starts], schema=schema)
 
 
 def removal_batches(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     keyed = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), text.alias("text"), "doc_id")
-    shape = "rid long, did long, n_words long, words_sha256 string, seed array<long>, place array<long>"
+    shape = "rid long, did long, n_words long, words_sha256 string, seed array<long>, place array<array<long>>"
     arrow = _arrow(spark, shape)
     found = materialize(keyed.select("rid", "did", "text").mapInArrow(lambda it: seed_batches(it, seed, length, arrow), shape), "seeds")
     facts = found.select("rid", "did", "n_words", "words_sha256")
@@ -157,7 +160,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
 
     seeds = marked.where("not copied").select("rid", "did", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("rid", "did", F.col("s.seed").alias("seed"), F.col("s.place").alias("place"))
     shared = seeds.groupBy(F.col("seed").alias("common")).agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("common")
-    places = seeds.join(shared, F.col("seed") == F.col("common")).groupBy(F.col("rid").alias("owner")).agg(F.collect_set("place").alias("places"))
+    places = seeds.join(shared, F.col("seed") == F.col("common")).groupBy(F.col("rid").alias("owner")).agg(F.array_distinct(F.flatten(F.collect_list("place"))).alias("places"))
     holders = materialize(keyed.join(places, F.col("rid") == F.col("owner")).select("rid", "did", "text", "places"), "holders")
 
     window_shape = "rid long, did long, code array<long>, start array<array<long>>"
