@@ -19,7 +19,10 @@ bucket still holds several components, eight, 64, ... of its members outside
 the largest component.  A hub is compared with all members of other
 components and then retires, so when a bucket is done every pair in it is
 either compared or in one component: links are complete for the classes,
-and a group of n near copies costs about n comparisons.  Minima and counts
+and a group of n near copies costs about n comparisons.  Shingles that no
+other candidate bag holds bound a bag's similarity to any other from above:
+bags that cannot reach the threshold leave before the buckets are compared,
+and pairs that cannot are not formed.  Both cuts are exact.  Minima and counts
 combine before the shuffle; joins are plain equi-joins that Spark splits on
 skew.
 """
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from .graph import link_buckets
 from .store import materialize
@@ -158,6 +161,28 @@ def similar_batches(batches: Iterator[pa.RecordBatch], threshold: float, schema:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=schema)
 
 
+def value_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(node, value) of every value of (node, bag)."""
+    for batch in batches:
+        for node, bag in zip(batch.column(0).to_pylist(), batch.column(1)):
+            values = np.frombuffer(bag.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], schema=schema)
+
+
+def reachable(threshold: float):
+    """Whether bags of given sizes and numbers of own values (held by no other bag) can be links.
+
+    Two bags share at most what neither has for itself, which bounds their
+    similarity from above.
+    """
+
+    def possible(n: Column, own: Column, other_n: Column, other_own: Column) -> Column:
+        common = F.least(n - own, other_n - other_own)
+        return common >= threshold * (n + other_n - common)
+
+    return possible
+
+
 def _arrow(spark, shape: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -196,7 +221,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     bag_arrow = _arrow(spark, "node long, bag binary")
     texts = keyed.select("rid", "text").join(speakers, F.col("rid") == F.col("speaker")).select("node", "text")
     bags = materialize(texts.mapInArrow(lambda it: bag_batches(it, shingle, bag_arrow), "node long, bag binary").dropDuplicates(["node"]), "bags")
-    labels = link_buckets(members.select("key", "node"), lambda pairs: _verify(pairs, bags, threshold))
+    value_arrow = _arrow(spark, "node long, value long")
+    values = bags.mapInArrow(lambda it: value_batches(it, value_arrow), "node long, value long")
+    lonely = values.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").groupBy(F.col("lo").alias("owner")).agg(F.count("*").alias("own"))
+    facts = bags.select(F.col("node").alias("sized"), (F.octet_length("bag") / 8).cast("long").alias("n")).join(lonely, F.col("sized") == F.col("owner"), "left").select("sized", "n", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    # a bag whose own values alone keep it from the threshold links with none
+    linkable = materialize(facts.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "linkable")
+    weighed = materialize(members.select("key", "node").join(linkable, F.col("node") == F.col("sized")).select("key", "node", "n", "own"), "weighed")
+    labels = link_buckets(weighed, lambda pairs: _verify(pairs, bags, threshold), reachable(threshold))
 
     named = labels.select(F.col("node").alias("named"), "component")
     worded = found.where("n_words > 0").join(named, F.col("node") == F.col("named"), "left").select("rid", "did", F.coalesce("component", "node").alias("component"))
