@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -228,6 +229,64 @@ def test_fuzzy_lines(spark):
     assert collected(lines.drop_repeated_lines(table.where("doc_id > 2")), "doc_id", "text") == [(3, "quite another line"), (4, "keep 1"), (5, "!!!\n!!!")]
 
 
+def planted(rng, vocabulary, words, change):
+    """Pairs (line, near line) of about ``words`` words, near by ``change`` of a list of words."""
+    for _ in range(40):
+        line = [rng.choice(vocabulary) for _ in range(words)]
+        yield " ".join(line), " ".join(change(list(line)))
+
+
+def test_near_lines_of_any_length(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+
+    def one_word(line):  # a short word for a short word, in the middle
+        at = min(range(1, len(line) - 1), key=lambda i: len(line[i]))
+        line[at] = "zzz"
+        return line
+
+    def one_letter(line):
+        at = rng.randrange(len(line))
+        line[at] = line[at][:1] + "q" + line[at][2:]
+        return line
+
+    plans = [(3, one_letter), (4, one_letter), (10, one_word), (20, one_word), (40, one_word), (100, one_word)]
+    pairs = [(words, a, b) for words, change in plans for a, b in planted(rng, vocabulary, words, change) if a != b]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [(words, a, b) for words, a, b in pairs if edits(a, b) <= 0.1 * max(len(a), len(b))]
+    texts = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair[1:])]
+    got = dict(collected(lines.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "removed"))
+    assert not any(got[2 * i] for i in range(len(pairs)))  # unlike lines stay
+    found, planned = Counter(), Counter(words for words, _, _ in pairs)
+    for i, (words, _, _) in enumerate(pairs):
+        found[words] += got[2 * i + 1] == [0]
+    assert min(planned.values()) >= 20
+    assert all(found[words] >= 0.95 * n for words, n in planned.items()), (found, planned)
+
+
+def test_one_edit_keys_meet():
+    rng = random.Random(3)
+    for _ in range(300):
+        line = "".join(rng.choice("abé ") for _ in range(rng.randint(9, 19)))
+        at = rng.randrange(len(line))
+        for other in (line[:at] + line[at + 1 :], line[:at] + "x" + line[at:], line[:at] + "x" + line[at + 1 :]):
+            assert set(lines.one_edit_keys(line)) & set(lines.one_edit_keys(other))
+
+
+def test_band_keys_do_not_depend_on_the_batch():
+    normals = [x.encode() for x in ("one line of words here", "a second line, not like it", "ünï cödé " * 30, "z" * 18)] * 3000
+    together = lines.band_keys(normals, 4)
+    assert all((together[i] == lines.band_keys([normals[i]], 4)[0]).all() for i in (0, 1, 2, 3, 5000, 11999))
+
+
 def test_block_keys_meet_within_the_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
