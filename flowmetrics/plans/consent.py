@@ -156,6 +156,13 @@ def customer_consent_summary(spark, sf_dir):
     )
 
 
+def customer_consent(spark, sf_dir):
+    """One row per customer; opted in if any of its active accounts is."""
+    a = _active(spark, sf_dir).where(F.col("customer_number").isNotNull())
+    opted_in = F.max(F.when(F.col("subscription_status") == "Subscribed", 1).otherwise(0)) == 1
+    return a.groupBy("customer_number").agg(F.when(opted_in, "Opted In").otherwise("Opted Out").alias("customer_consent"))
+
+
 def kpi_summary(spark, sf_dir):
     """Customers, accounts, opted-in accounts and opt-in rate of active accounts."""
     a = _active(spark, sf_dir)
@@ -236,6 +243,7 @@ QUERIES = {
     "consent_consistency": consent_consistency,
     "conflict_examples": conflict_examples,
     "customer_consent_summary": customer_consent_summary,
+    "customer_consent": customer_consent,
 }
 
 _CONSENT = """case when subscription_status = 'Subscribed' then 'Opted In'
@@ -442,6 +450,12 @@ group by customer_consent""",
     ),
 }
 
+ORACLE["customer_consent"] = with_views(
+    ["master"],
+    """
+select customer_number, case when bool_or(coalesce(subscription_status = 'Subscribed', false)) then 'Opted In' else 'Opted Out' end as customer_consent
+from master where acc_status = 'Active' and customer_number is not null group by 1""",
+)
 ORACLE["kpi_summary"] = with_views(
     ["master"],
     """
