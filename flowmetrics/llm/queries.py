@@ -1,11 +1,11 @@
-"""Registered queries of the training-data operators: op1 to op10, with production parameters over whole tables."""
+"""Registered queries of the training-data operators: op1 to op13, with production parameters over whole tables."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, secrets, substrings
+from . import bagminhash, decontaminate, interpolation, langid, lines, merkle, ordinal, outliers, packing, secrets, substrings, whitening
 from .store import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,9 +82,67 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_interpolated_lm, op3_secret_scan, op4_substring_dedup, op5_decontaminate, op6_language_id, op7_line_dedup, op8_ordinal_quality, op9_pack, op10_quality_rules)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents; every third one tampered with."""
+    return merkle.manifest(documents(spark, sf_dir)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang", "place")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on their eight leading components, each scaled to variance one; deviation is null beyond 64 bits."""
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_interpolated_lm, op3_secret_scan, op4_substring_dedup, op5_decontaminate, op6_language_id, op7_line_dedup, op8_ordinal_quality, op9_pack, op10_quality_rules, op11_merkle_manifest, op13_embedding_whitening)}
+
+def _merkle_sql(levels: int = 7, upper: int = 3) -> str:
+    """Trees level by level: 8**levels leaves a language and 8**upper languages at most."""
+    field = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')".format
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    shifts = ", ".join(["-1"] * 8)
+    parts = [
+        f"""WITH d AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), {shifts}]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 3 = 0 AS tampered FROM d
+), l0 AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN tampered THEN {leaf("low")} ELSE {leaf("text")} END AS changed FROM crc
+), n0 AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS h, [] :: VARCHAR[] AS lefts, [] :: VARCHAR[] AS rights FROM l0
+)"""
+    ]
+    at, group = "n0", "lang"
+
+    def rise(i: int) -> None:
+        # one level: nodes by place, runs of eight, every leaf with its siblings there; a single node stays
+        nonlocal at
+        parts.append(f"""t{i} AS (SELECT DISTINCT {group} AS g, p, h FROM {at}), c{i} AS (SELECT g, count(*) AS n FROM t{i} GROUP BY g),
+r{i} AS (SELECT g, p // 8 AS q, list(h ORDER BY p) AS hs FROM t{i} GROUP BY g, p // 8),
+x{i} AS (
+  SELECT a.* EXCLUDE (p, h, lefts, rights), p // 8 AS p, CASE WHEN n = 1 THEN h ELSE sha256(array_to_string(hs, '')) END AS h,
+    CASE WHEN n = 1 THEN lefts ELSE list_append(lefts, array_to_string(hs[1:p % 8], '')) END AS lefts,
+    CASE WHEN n = 1 THEN rights ELSE list_append(rights, array_to_string(hs[p % 8 + 2:], '')) END AS rights
+  FROM {at} a JOIN c{i} ON a.{group} IS NOT DISTINCT FROM c{i}.g JOIN r{i} ON a.{group} IS NOT DISTINCT FROM r{i}.g AND a.p // 8 = r{i}.q
+)""")
+        at = f"x{i}"
+
+    for i in range(levels):
+        rise(i)
+    parts.append(f"""ranks AS (SELECT lang AS of, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM (SELECT DISTINCT lang FROM l0)),
+u AS (SELECT {at}.* EXCLUDE (p), h AS subroot, rank AS p, 0 AS whole FROM {at} JOIN ranks ON lang IS NOT DISTINCT FROM of)""")
+    at, group = "u", "whole"
+    for i in range(levels, levels + upper):
+        rise(i)
+    folds = "list_reduce(list_prepend({'l': changed, 'r': ''}, list_transform(range(1, len(lefts) + 1), lambda i: {'l': lefts[i], 'r': rights[i]})), lambda a, b: {'l': sha256(b.l || a.l || b.r), 'r': ''}).l"
+    proof = "sha256(array_to_string(list_transform(range(1, len(lefts) + 1), lambda i: lefts[i] || rights[i]), ''))"
+    parts.append(f"f AS (SELECT *, {folds} AS folded_root, {proof} AS proof_sha256 FROM {at})")
+    place = "row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1"
+    return ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified, lang, {place} AS place FROM f"
+
 
 ORACLE = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op4_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
