@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, interpolation, langid, lines, merkle, ordinal, outliers, packing, secrets, substrings, whitening
+from . import bagminhash, decontaminate, interpolation, jaccard, langid, lines, merkle, ordinal, outliers, packing, secrets, substrings, whitening
 from .store import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,13 +87,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang", "place")
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a similarity of 0.85 or more."""
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on their eight leading components, each scaled to variance one; deviation is null beyond 64 bits."""
     white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_interpolated_lm, op3_secret_scan, op4_substring_dedup, op5_decontaminate, op6_language_id, op7_line_dedup, op8_ordinal_quality, op9_pack, op10_quality_rules, op11_merkle_manifest, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_interpolated_lm, op3_secret_scan, op4_substring_dedup, op5_decontaminate, op6_language_id, op7_line_dedup, op8_ordinal_quality, op9_pack, op10_quality_rules, op11_merkle_manifest, op12_ngram_jaccard, op13_embedding_whitening)}
 
 def _merkle_sql(levels: int = 7, upper: int = 3) -> str:
     """Trees level by level: 8**levels leaves a language and 8**upper languages at most."""
