@@ -32,8 +32,8 @@ components that the counts admit, and retires.  No link is lost, and a group
 of n near copies takes about n comparisons.
 
 Scale: occurrences are counted per block of documents and exchanged by hash
-range, as distinct fingerprints (64 bits) rather than rows; equal sets are
-one node (128 bits); the corpus is read once.
+range, as distinct fingerprints rather than rows; shingles have 64 bits,
+equal sets are one node of 128 bits; the corpus is read once.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .graph import components
-from .interpolation import planes, six, thick, thin, unplanes, unsix
+from .interpolation import planes, thick, thin, unplanes
 from .store import materialize
 from .textops import U64, Words, grams, mix, row_of, sequences, slices, word_table
 
@@ -69,6 +69,16 @@ SETS = "doc_id {id}, n_shingles long, node binary, shingles binary"
 RELATED = "node binary, leader binary, n long, common long, leader_n long, lacks binary, more binary, size long"
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed byte planes, after their number."""
+    return np.array([len(codes)], "<u8").tobytes() + pa.compress(planes(codes), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    return unplanes(pa.decompress(blob[8:], decompressed_size=4 * n, codec="zstd", asbytes=True))
+
+
 def arrow(df: DataFrame, shape: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
@@ -81,7 +91,7 @@ def block_batches(batches: Iterator[pa.RecordBatch], block_words: int, schema: p
     def row() -> pa.RecordBatch:
         vocabulary, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        values = [pa.array([0], pa.int64()), one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([planes(codes)], pa.binary())]
+        values = [pa.array([0], pa.int64()), one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([packed(codes)], pa.binary())]
         return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema)], schema=schema)
 
     for batch in batches:
@@ -102,7 +112,7 @@ def block_batches(batches: Iterator[pa.RecordBatch], block_words: int, schema: p
 def sets_of(words, vocabulary: bytes, codes: bytes, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(row, shingle) of every document's set, sorted by shingle, then row, and the number of rows."""
     first = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
-    hashes = np.frombuffer(vocabulary, "<u8")[unplanes(codes)]
+    hashes = np.frombuffer(vocabulary, "<u8")[unpacked(codes)]
     values, at = grams(hashes, first, shingle)
     row = row_of(at, first)
     size = np.diff(first)
@@ -124,7 +134,11 @@ def runs(values: np.ndarray) -> np.ndarray:
 
 
 def ask_batches(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Distinct shingles of each block by shard, and in how many of its documents each is."""
+    """Distinct shingles of each block by shard, and in how many of its documents each is.
+
+    32 bits go besides the shard's.  Two shingles that share them count as
+    one, which puts both a little later in the order, for all sets alike.
+    """
     for batch in batches:
         for row in batch.to_pylist():
             _, values, _ = sets_of(row["words"], row["vocabulary"], row["codes"], shingle)
@@ -134,7 +148,7 @@ def ask_batches(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, sche
             distinct, count = values[begin[:-1]], np.diff(begin)
             edges = np.arange(1 << bits, dtype=U64) << U64(64 - bits) if bits else np.zeros(1, U64)
             cut = np.append(np.searchsorted(distinct, edges), len(distinct))
-            out = [(row["block"], i, six(distinct[a:b]), thin(count[a:b])) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
+            out = [(row["block"], i, distinct[a:b].astype("<u4").tobytes(), thin(count[a:b])) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
@@ -143,7 +157,7 @@ def reply_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
     held: list[tuple] = []
 
     def answer() -> pa.RecordBatch:
-        hashes = [unsix(r[2]) for r in held]
+        hashes = [np.frombuffer(r[2], "<u4") for r in held]
         distinct, code = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(code, np.concatenate([thick(r[3]) for r in held]), len(distinct)).astype(np.int64)
         replies = np.split(total[code], np.cumsum([len(h) for h in hashes])[:-1])
