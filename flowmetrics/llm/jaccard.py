@@ -394,7 +394,10 @@ def linked_classes(classes: DataFrame, percent: int) -> DataFrame:
     flips = often.join(groups, F.col("leader") == F.col("g")).where("2 * times > members + 1").groupBy(F.col("leader").alias("g")).agg(F.collect_list(F.when(F.col("kind") == 0, F.col("element"))).alias("drop"), F.collect_list(F.when(F.col("kind") == 1, F.col("element"))).alias("add"))
     follower_shape = "node binary, leader binary, n long, size long, lacks binary, more binary"
     follower_arrow = arrow(classes, follower_shape)
-    followers = near.join(flips, F.col("leader") == F.col("g"), "left").select("node", "leader", "n", "size", "lacks", "more", "drop", "add")
+    # many sets may follow one leader: its elements go to several tasks
+    flips = flips.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = (F.col("leader") == F.col("g")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") == F.col("salt"))
+    followers = near.join(flips, salted, "left").select("node", "leader", "n", "size", "lacks", "more", "drop", "add")
     followers = materialize(followers.mapInArrow(lambda it: correct_batches(it, follower_arrow), follower_shape), "followers")
 
     # followers that share nothing of their differences link through the one with the smallest f
