@@ -154,6 +154,15 @@ def deflected_any_channel() -> Column:
     )
 
 
+def deflection_taken() -> Column:
+    """Deflection as the weekly report counts it; a chat counts by its self-service route, not by how the bot closed it."""
+    return (
+        F.when(F.col("channel").isin("VOICE", "CHAT"), voice_deflected())
+        .when(F.col("channel") == "EMAIL", email_deflected())
+        .otherwise(F.lit(False))
+    )
+
+
 def offered() -> Column:
     """Eligible intent and (self-service or agent or queue)."""
     return in_list("intent", OFFERED_INTENTS) & (

@@ -170,112 +170,105 @@ def visit_success(spark, sf_dir):
         (F.col("kpi_name") == "Renewals") & (F.col("channel") == "Self Serve") & (F.col("success_status") == "Y")
         & (F.col("created_date") >= F.lit(SINCE_30D.date()))
     )
-    f = B.exists_within_days_many(
-        subjects,
-        "acct_num",
-        "deflection_date",
-        7,
-        [("visited", visits, "account_number", "visit_date"), ("completed_flag", done, "account_number", "created_date")],
+    # flags depend on account and day alone: one row for all contacts of an account's day
+    days = subjects.groupBy("channel", "acct_num", "deflection_date").agg(F.count(F.lit(1)).alias("n"))
+    f = B.visit_attribution(
+        days, "acct_num", "deflection_date", (visits, "account_number", "visit_date"),
+        {"completed_flag": (done, "account_number", "created_date")}, part_rows=None,
     )
-    f = B.exists_within_days(f, visits, "acct_num", "deflection_date", "same_day", 0, "account_number", "visit_date")
     # Subjects are one row per contact, so the documented COUNT(DISTINCT contactid)
-    # columns are plain counts / flag sums: no Expand of the rows per distinct.
+    # columns are sums of n: no Expand of the rows per distinct.
+    times = lambda cond: F.sum(F.when(F.col(cond), F.col("n")).otherwise(F.lit(0)))
     agg = f.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("trackable"),
-        F.sum(F.col("visited").cast("long")).alias("visited_page"),
-        F.sum(F.col("same_day").cast("long")).alias("visited_same_day"),
-        F.sum(F.col("completed_flag").cast("long")).alias("completed"),
+        F.sum("n").alias("trackable"),
+        times("visited").alias("visited_page"),
+        times("visited_same_day").alias("visited_same_day"),
+        times("completed_flag").alias("completed"),
     )
     return agg.select(
         "channel", "trackable", "visited_page", pct("visited_page", "trackable").alias("visited_pct"), "visited_same_day", "completed"
     )
 
 
-def post_deflection_funnel(spark, sf_dir):
-    """R3 (A29): weekly voice post-deflection funnel per deflection type.
+POST_DEFLECTION_HI = 8
+_TYPE_OF = (
+    ("renewalOnline", "Renewal"),
+    ("submitMeterReadingOnline", "MeterReading"),
+    ("makeACardPaymentOnline", "CardPayment"),
+    ("directDebitOnline", "DirectDebit"),
+    ("moveInOnline", "MovingIn"),
+    ("moveOutOnline", "MovingOut"),
+)
 
-    The OR-join on phone/e-mail (A28) becomes one range-existence sweep per
-    identifier, combined with OR: no nested-loop join.
-    """
+
+def _deflected_with_repeats(spark, sf_dir):
+    """Deflected voice contacts (contact_id, deflection_type, acct_num, contact_date) and their repeat-contact flags."""
     c = contacts(spark, sf_dir)
-    voice = c.where(R.base_filter("VOICE"))
-    dtype = classify(
-        [
-            (F.col("selfservice") == "renewalOnline", "Renewal"),
-            (F.col("selfservice") == "submitMeterReadingOnline", "MeterReading"),
-            (F.col("selfservice") == "makeACardPaymentOnline", "CardPayment"),
-            (F.col("selfservice") == "directDebitOnline", "DirectDebit"),
-            (F.col("selfservice") == "moveInOnline", "MovingIn"),
-            (F.col("selfservice") == "moveOutOnline", "MovingOut"),
-        ]
-    )
-    deflected = in_days(voice.where(R.voice_deflected()), EVENTS_AS_OF, SUBJECT_LO, 8).select(
+    dtype = classify([(F.col("selfservice") == route, name) for route, name in _TYPE_OF])
+    deflected = in_days(c.where(R.base_filter("VOICE") & R.voice_deflected()), EVENTS_AS_OF, SUBJECT_LO, POST_DEFLECTION_HI).select(
         "contact_id", F.col("endpoint").alias("phone"), F.to_date("ts").alias("contact_date"), "ts", dtype.alias("deflection_type")
     )
-    d = deflected.join(_phone_to_account(c), "phone", "left")
-    acct_email = (
+    mails = (
         _since(c.where((F.col("channel") == "EMAIL") & F.col("account").isNotNull() & F.col("endpoint").isNotNull()), "ts", SINCE_365D)
         .select(F.col("account").alias("acct_num"), F.col("endpoint").alias("email_addr"))
         .distinct()
     )
-    dm = d.join(acct_email, "acct_num", "left")
+    known = deflected.join(_phone_to_account(c), "phone", "left").join(mails, "acct_num", "left")
+    # no subject is looked up beyond its window, so older candidates are not read
     scope = R.base_filter("VOICE") | R.base_filter("EMAIL") | R.base_filter("CHAT")
-    cands = c.where(scope).select("endpoint", "ts", "channel")
-    lo, hi = 30 * 60, 3 * DAY
-
-    f = B.exists_within_ts_many(
-        dm,
-        "phone",
-        "ts",
-        hi,
-        lo,
-        [
-            ("r_phone", cands, "endpoint", "ts"),
-            ("r_voice", cands.where(F.col("channel") == "VOICE"), "endpoint", "ts"),
-            ("r_chat", cands.where(F.col("channel") == "CHAT"), "endpoint", "ts"),
-        ],
-    )
-    f = B.exists_within_ts_many(
-        f,
-        "email_addr",
-        "ts",
-        hi,
-        lo,
-        [("r_email", cands, "endpoint", "ts"), ("r_mail", cands.where(F.col("channel") == "EMAIL"), "endpoint", "ts")],
+    cands = _since(c.where(scope), "ts", SINCE_30D).select("endpoint", "ts", "channel")
+    channel = lambda name: F.col("channel") == name
+    return B.repeat_contacts(
+        known,
+        {"phone": "phone", "email": "email_addr"},
+        cands,
+        {"repeat_voice": ("phone", channel("VOICE")), "repeat_email": ("email", channel("EMAIL")), "repeat_chat": ("phone", channel("CHAT"))},
+        keep=["deflection_type", "acct_num", "contact_date"],
     )
-    per_contact = f.groupBy("contact_id", "deflection_type", "acct_num", "contact_date").agg(
-        F.max((F.col("r_phone") | F.col("r_email")).cast("int")).alias("had_repeat_contact"),
-        F.max(F.col("r_voice").cast("int")).alias("repeat_voice"),
-        F.max(F.col("r_mail").cast("int")).alias("repeat_email"),
-        F.max(F.col("r_chat").cast("int")).alias("repeat_chat"),
+
+
+def repeat_contacts(spark, sf_dir):
+    """Deflected voice contacts that came back within 3 days (30 minutes at least), by any identifier and per channel."""
+    flags = ["repeat_any", "repeat_voice", "repeat_email", "repeat_chat"]
+    found = _deflected_with_repeats(spark, sf_dir)
+    return found.select("contact_id", "deflection_type", *[F.col(f).cast("int").alias(f) for f in flags])
+
+
+def deflection_totals(spark, sf_dir):
+    """Counts of R3 per deflection type: deflected, trackable, visits, completions and repeat contacts."""
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    repeats = {"repeat_contact": "repeat_any", "repeat_via_voice": "repeat_voice", "repeat_via_email": "repeat_email", "repeat_via_chat": "repeat_chat"}
+    # later steps depend on account and day alone: one row for all contacts of an account's day
+    days = _deflected_with_repeats(spark, sf_dir).groupBy("deflection_type", "acct_num", "contact_date").agg(
+        F.count(F.lit(1)).alias("n"), *[count(flag).alias(name) for name, flag in repeats.items()]
     )
-    since21 = SINCE_30D
     visits = _visits(spark, sf_dir, ["Renewal%", "Submit Read%", "Payment%", "Direct Debit%"])
-    jn = journeys(spark, sf_dir).where((F.col("success_status") == "Y") & (F.col("created_date") >= F.lit(since21.date())))
-    o = B.exists_within_days_many(
-        per_contact,
-        "acct_num",
-        "contact_date",
-        7,
-        [
-            ("visited", visits, "account_number", "visit_date"),
-            ("self_serve", jn.where(F.col("channel") == "Self Serve"), "account_number", "created_date"),
-            ("via_agent", jn.where(F.col("channel") == "Agent"), "account_number", "created_date"),
-        ],
+    jn = journeys(spark, sf_dir).where((F.col("success_status") == "Y") & (F.col("created_date") >= F.lit(SINCE_30D.date())))
+    done = {"self_serve": F.col("channel") == "Self Serve", "via_agent": F.col("channel") == "Agent"}
+    o = B.exists_after_many(
+        days, "acct_num", B.day_number("contact_date"), -1, 7,
+        [("visited", visits, "account_number", B.day_number("visit_date")), (done, jn, "account_number", B.day_number("created_date"))],
+        part_rows=None,  # a row per account, day and type
     )
-    trackable = F.col("acct_num").isNotNull()
-    agg = o.groupBy("deflection_type").agg(
-        F.count(F.lit(1)).alias("total_deflected"),
-        F.sum(trackable.cast("long")).alias("trackable"),
-        F.sum(F.col("visited").cast("long")).alias("visited_page"),
-        F.sum(F.col("self_serve").cast("long")).alias("completed_self_serve"),
-        F.sum(F.col("had_repeat_contact").cast("long")).alias("repeat_contact"),
-        F.sum(F.col("repeat_voice").cast("long")).alias("repeat_via_voice"),
-        F.sum(F.col("repeat_email").cast("long")).alias("repeat_via_email"),
-        F.sum(F.col("repeat_chat").cast("long")).alias("repeat_via_chat"),
-        F.sum(F.col("via_agent").cast("long")).alias("completed_via_agent"),
-        F.sum((F.col("self_serve") | F.col("via_agent")).cast("long")).alias("total_completed"),
+    times = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0)))
+    return o.groupBy("deflection_type").agg(
+        F.sum("n").alias("total_deflected"),
+        times(F.col("acct_num").isNotNull()).alias("trackable"),
+        times(F.col("visited")).alias("visited_page"),
+        times(F.col("self_serve")).alias("completed_self_serve"),
+        *[F.sum(name).alias(name) for name in repeats],
+        times(F.col("via_agent")).alias("completed_via_agent"),
+        times(F.col("self_serve") | F.col("via_agent")).alias("total_completed"),
     )
+
+
+def post_deflection_funnel(spark, sf_dir):
+    """R3 (A29): weekly voice post-deflection funnel per deflection type.
+
+    The OR-join on phone/e-mail (A28) is one sweep over (contact,
+    identifier); visits and completions are one sweep over account days.
+    """
+    agg = deflection_totals(spark, sf_dir)
     t, n = F.col("trackable"), F.col("total_deflected")
     return agg.select(
         "deflection_type",
@@ -305,6 +298,7 @@ QUERIES = {
     "latest_account_per_party": latest_account_per_party,
     "renewal_deflection_funnel": renewal_deflection_funnel,
     "visit_success": visit_success,
+    "repeat_contacts": repeat_contacts,
     "post_deflection_funnel": post_deflection_funnel,
 }
 
@@ -323,6 +317,71 @@ def _pct(n, d):
     return f"round(cast({n} as double) * 100.0 / nullif(cast({d} as double), 0), 1)"
 
 
+_ROUTE_CASE = " ".join(f"when '{route}' then '{name}'" for route, name in _TYPE_OF)
+# one row per deflected voice contact, and one existence test per contact and window
+REPEAT_CTES = (
+    _P2A
+    + f""",
+subject as (
+  select v.contact_id, v.endpoint as phone, p.acct_num, v.ts, cast(v.ts as date) as day,
+         case v.selfservice {_ROUTE_CASE} end as deflection_type
+  from contacts v left join p2a p on p.phone = v.endpoint
+  where v.channel = 'VOICE' and v.initiation = 'INBOUND' and v.selfservice in ({LIST_B})
+    and v.ts >= timestamp '2024-01-01' and v.ts < timestamp '2024-01-24'
+),
+reach as (
+  select contact_id, endpoint, ts, channel from contacts
+  where (channel, initiation) in (('VOICE', 'INBOUND'), ('EMAIL', 'INBOUND'), ('CHAT', 'API'))
+),
+address as (
+  select distinct account, endpoint from contacts
+  where channel = 'EMAIL' and account is not null and endpoint is not null and ts >= timestamp '2023-01-31'
+)"""
+)
+_LATER = "r.contact_id <> s.contact_id and r.ts > s.ts + interval 30 minute and r.ts <= s.ts + interval 3 day"
+
+
+def _by_phone(cond="true"):
+    return f"exists (select 1 from reach r where r.endpoint = s.phone and {_LATER} and {cond})"
+
+
+def _by_mail(cond="true"):
+    return f"exists (select 1 from reach r join address a on a.endpoint = r.endpoint where a.account = s.acct_num and {_LATER} and {cond})"
+
+
+_REPEATS = f"""cast({_by_phone()} or {_by_mail()} as integer) as repeat_any,
+  cast({_by_phone("r.channel = 'VOICE'")} as integer) as repeat_voice,
+  cast({_by_mail("r.channel = 'EMAIL'")} as integer) as repeat_email,
+  cast({_by_phone("r.channel = 'CHAT'")} as integer) as repeat_chat"""
+
+
+def _journey(channel):
+    return f"""exists (select 1 from journeys j where j.account_number = s.acct_num and j.channel = '{channel}'
+    and j.success_status = 'Y' and j.created_date between s.day and s.day + 7)"""
+
+
+TOTAL_CTES = (
+    REPEAT_CTES
+    + f""",
+told as (
+  select s.deflection_type, s.acct_num, {_REPEATS},
+    exists (select 1 from web_events w where w.user_id = s.acct_num
+      and (w.event_name like 'Renewal%' or w.event_name like 'Submit Read%' or w.event_name like 'Payment%' or w.event_name like 'Direct Debit%')
+      and strptime(w.event_date, '%Y%m%d')::date between s.day and s.day + 7) as visited,
+    {_journey('Self Serve')} as by_self, {_journey('Agent')} as by_agent
+  from subject s
+),
+totals as (
+  select deflection_type, count(*) as total_deflected, count(acct_num) as trackable,
+    count(*) filter (where visited) as visited_page, count(*) filter (where by_self) as completed_self_serve,
+    cast(sum(repeat_any) as bigint) as repeat_contact, cast(sum(repeat_voice) as bigint) as repeat_via_voice,
+    cast(sum(repeat_email) as bigint) as repeat_via_email, cast(sum(repeat_chat) as bigint) as repeat_via_chat,
+    count(*) filter (where by_agent) as completed_via_agent, count(*) filter (where by_self or by_agent) as total_completed
+  from told group by deflection_type
+)"""
+)
+
+
 ORACLE = {
     "containment_by_outcome": with_views(
         ["contacts"],
@@ -434,74 +493,18 @@ from (
 ) a""",
         _P2A,
     ),
+    "repeat_contacts": with_views(["contacts"], f"select contact_id, deflection_type, {_REPEATS} from subject s", REPEAT_CTES),
     "post_deflection_funnel": with_views(
         ["contacts", "journeys", "web_events"],
         f"""
-select deflection_type, count(*) as total_deflected,
-  cast(sum(case when is_trackable then 1 else 0 end) as bigint) as trackable,
-  cast(sum(visited_page) as bigint) as visited_page,
-  {_pct('sum(visited_page)', 'sum(case when is_trackable then 1 else 0 end)')} as visited_page_pct,
-  cast(sum(completed_self_serve) as bigint) as completed_self_serve,
-  {_pct('sum(completed_self_serve)', 'sum(case when is_trackable then 1 else 0 end)')} as self_serve_pct,
-  cast(sum(had_repeat_contact) as bigint) as repeat_contact,
-  {_pct('sum(had_repeat_contact)', 'count(*)')} as repeat_rate_pct,
-  cast(sum(repeat_voice) as bigint) as repeat_via_voice,
-  cast(sum(repeat_email) as bigint) as repeat_via_email,
-  cast(sum(repeat_chat) as bigint) as repeat_via_chat,
-  {_pct('count(*) - sum(had_repeat_contact)', 'count(*)')} as containment_pct,
-  cast(sum(completed_via_agent) as bigint) as completed_via_agent,
-  {_pct('sum(completed_via_agent)', 'sum(case when is_trackable then 1 else 0 end)')} as agent_completion_pct,
-  cast(sum(case when completed_self_serve = 1 or completed_via_agent = 1 then 1 else 0 end) as bigint) as total_completed,
-  {_pct('sum(case when completed_self_serve = 1 or completed_via_agent = 1 then 1 else 0 end)', 'sum(case when is_trackable then 1 else 0 end)')} as total_completion_pct
-from (
-  select d.contact_id, d.deflection_type, d.acct_num is not null as is_trackable,
-    max(case when pv.visit_date between d.contact_date and d.contact_date + 7 then 1 else 0 end) as visited_page,
-    max(case when ss.created_date between d.contact_date and d.contact_date + 7 then 1 else 0 end) as completed_self_serve,
-    rc.had_repeat_contact, rc.repeat_voice, rc.repeat_email, rc.repeat_chat,
-    max(case when ac.created_date between d.contact_date and d.contact_date + 7 then 1 else 0 end) as completed_via_agent
-  from dwe d
-  join rc on d.contact_id = rc.original_contactid
-  left join (select user_id as account_number, strptime(event_date, '%Y%m%d')::date as visit_date
-             from web_events where event_date >= '20240101'
-               and (event_name like 'Renewal%' or event_name like 'Submit Read%' or event_name like 'Payment%'
-                    or event_name like 'Direct Debit%') and user_id is not null) pv on d.acct_num = pv.account_number
-  left join (select account_number, created_date from journeys where channel = 'Self Serve' and success_status = 'Y'
-             and created_date >= date '2024-01-01') ss on d.acct_num = ss.account_number
-  left join (select account_number, created_date from journeys where channel = 'Agent' and success_status = 'Y'
-             and created_date >= date '2024-01-01') ac on d.acct_num = ac.account_number
-  group by d.contact_id, d.deflection_type, d.acct_num, d.contact_date,
-           rc.had_repeat_contact, rc.repeat_voice, rc.repeat_email, rc.repeat_chat
-) o
-group by deflection_type""",
-        _P2A
-        + f""",
-vd as (
-  select contact_id, endpoint as phone, cast(ts as date) as contact_date, ts,
-    case selfservice when 'renewalOnline' then 'Renewal' when 'submitMeterReadingOnline' then 'MeterReading'
-      when 'makeACardPaymentOnline' then 'CardPayment' when 'directDebitOnline' then 'DirectDebit'
-      when 'moveInOnline' then 'MovingIn' when 'moveOutOnline' then 'MovingOut' end as deflection_type
-  from contacts where channel = 'VOICE' and initiation = 'INBOUND' and selfservice in ({LIST_B})
-    and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-24'
-),
-dwa as (select d.*, p.acct_num from vd d left join p2a p on d.phone = p.phone),
-a2e as (select distinct account as acct_num, endpoint as email_addr from contacts
-        where channel = 'EMAIL' and account is not null and endpoint is not null and ts >= timestamp '2023-01-31'),
-dwe as (select d.*, ae.email_addr from dwa d left join a2e ae on d.acct_num = ae.acct_num),
-rc as (
-  select d.contact_id as original_contactid,
-    max(case when c.contact_id != d.contact_id and c.ts > d.ts + interval 30 minute and c.ts <= d.ts + interval 3 day
-             and (c.endpoint = d.phone or c.endpoint = d.email_addr) then 1 else 0 end) as had_repeat_contact,
-    max(case when c.contact_id != d.contact_id and c.ts > d.ts + interval 30 minute and c.ts <= d.ts + interval 3 day
-             and c.endpoint = d.phone and c.channel = 'VOICE' then 1 else 0 end) as repeat_voice,
-    max(case when c.contact_id != d.contact_id and c.ts > d.ts + interval 30 minute and c.ts <= d.ts + interval 3 day
-             and c.endpoint = d.email_addr and c.channel = 'EMAIL' then 1 else 0 end) as repeat_email,
-    max(case when c.contact_id != d.contact_id and c.ts > d.ts + interval 30 minute and c.ts <= d.ts + interval 3 day
-             and c.endpoint = d.phone and c.channel = 'CHAT' then 1 else 0 end) as repeat_chat
-  from dwe d
-  left join contacts c on (c.endpoint = d.phone or c.endpoint = d.email_addr)
-    and ((c.channel = 'VOICE' and c.initiation = 'INBOUND') or (c.channel = 'EMAIL' and c.initiation = 'INBOUND')
-         or (c.channel = 'CHAT' and c.initiation = 'API'))
-  group by d.contact_id
-)""",
+select deflection_type, total_deflected, trackable, visited_page, {_pct('visited_page', 'trackable')} as visited_page_pct,
+       completed_self_serve, {_pct('completed_self_serve', 'trackable')} as self_serve_pct,
+       repeat_contact, {_pct('repeat_contact', 'total_deflected')} as repeat_rate_pct,
+       repeat_via_voice, repeat_via_email, repeat_via_chat,
+       {_pct('total_deflected - repeat_contact', 'total_deflected')} as containment_pct,
+       completed_via_agent, {_pct('completed_via_agent', 'trackable')} as agent_completion_pct,
+       total_completed, {_pct('total_completed', 'trackable')} as total_completion_pct
+from totals""",
+        TOTAL_CTES,
     ),
 }

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import contact_rules as R
 from ..functions.core import count_if, is_null_or_empty, literal_table, pct
 from ..functions.nested import explode_ids
-from ..operators import behaviour as B
 from ..operators.deflection import in_days
 from ..sources.standins import contacts, marketing_master, billing_account
 from ..operators.temporal import current_state
+from .behaviour import TOTAL_CTES, deflection_totals
 from .common import EVENTS_AS_OF, EVENTS_DAYS, sql_list, with_views
 
 # --- fixed values that must equal the documented definitions -------------
@@ -118,27 +118,27 @@ def eligibility_by_channel(spark, sf_dir):
 
 
 def rag_status(spark, sf_dir):
-    """Monitoring metrics with Green / Amber / Red bands (repeat-contact band inverted)."""
+    """The seven monitoring metrics with Green / Amber / Red bands (repeat-contact band inverted); Unknown without a value."""
     c = _window(spark, sf_dir)
-    voice = c.where(R.base_filter("VOICE"))
-    email = c.where(R.base_filter("EMAIL"))
-    v = voice.agg(
-        pct(count_if(F.col("intent").isNotNull()), F.count(F.lit(1))).alias("Intent Detection Rate"),
-        pct(count_if(R.voice_deflected() & R.in_list("intent", R.OFFERED_INTENTS)), count_if(R.in_list("intent", R.OFFERED_INTENTS))).alias("Voice Take Rate"),
+    voice, email = R.base_filter("VOICE"), R.base_filter("EMAIL")
+    offered, mailable = voice & R.in_list("intent", R.OFFERED_INTENTS), email & R.in_list("intent", R.EMAIL_DEFLECTABLE_INTENTS)
+    taken = c.agg(
+        pct(count_if(voice & F.col("intent").isNotNull()), count_if(voice)).alias("Intent Detection Rate"),
+        pct(count_if(offered & R.voice_deflected()), count_if(offered)).alias("Voice Take Rate"),
+        pct(count_if(email & R.email_deflected()), count_if(mailable)).alias("Email Take Rate"),
     )
-    e = email.agg(
-        pct(count_if(R.email_deflected()), count_if(R.in_list("intent", R.EMAIL_DEFLECTABLE_INTENTS))).alias("Email Take Rate")
-    )
-    subjects = in_days(voice.where(R.voice_deflected()), EVENTS_AS_OF, 30, 4)
-    f = B.exists_within_ts(subjects, voice, "endpoint", "ts", "rep", 3 * 86400)
-    rc = f.agg(pct(count_if(F.col("rep")), F.count(F.lit(1))).alias("Repeat Contact Rate"))
-    metrics = (
-        v.selectExpr("stack(2, 'Intent Detection Rate', `Intent Detection Rate`, 'Voice Take Rate', `Voice Take Rate`) as (metric, value)")
-        .unionByName(e.selectExpr("'Email Take Rate' as metric", "`Email Take Rate` as value"))
-        .unionByName(rc.selectExpr("'Repeat Contact Rate' as metric", "`Repeat Contact Rate` as value"))
+    total = deflection_totals(spark, sf_dir)
+    total = total.agg(*[F.sum(n).alias(n) for n in ("total_deflected", "trackable", "visited_page", "repeat_contact", "total_completed")])
+    after = total.select(
+        pct("visited_page", "trackable").alias("Page Visit Rate"),
+        pct(F.col("total_deflected") - F.col("repeat_contact"), "total_deflected").alias("Containment Rate"),
+        pct("repeat_contact", "total_deflected").alias("Repeat Contact Rate"),
+        pct("total_completed", "trackable").alias("Total Completion"),
     )
+    metrics = taken.unpivot([], taken.columns, "metric", "value").unionByName(after.unpivot([], after.columns, "metric", "value"))
     th = literal_table(spark, RAG_THRESHOLDS, ["metric", "green", "amber", "higher_is_better"])
-    j = metrics.join(F.broadcast(th), "metric")
+    # seven rows of metrics: every threshold keeps its row
+    j = th.join(F.broadcast(metrics), "metric", "left")
     hib = F.col("higher_is_better")
     status = (
         F.when(F.col("value").isNull(), "Unknown")
@@ -262,26 +262,31 @@ where {WINDOW_SQL} and c.intent is not null
 group by 1, 2""",
     ),
     "rag_status": with_views(
-        ["contacts"],
+        ["contacts", "journeys", "web_events"],
         f"""
-select m.metric, m.value,
+select t.metric, m.value,
   case when m.value is null then 'Unknown'
        when t.hib and m.value > t.green then 'Green' when t.hib and m.value >= t.amber then 'Amber' when t.hib then 'Red'
        when m.value < t.green then 'Green' when m.value <= t.amber then 'Amber' else 'Red' end as status
-from (
-  select 'Intent Detection Rate' as metric, {_p("count(*) filter (where intent is not null)", "count(*)")} as value from voice
+from (values {_RAG}) t(metric, green, amber, hib)
+left join (
+  select 'Intent Detection Rate' as metric, {_p("count(intent)", "count(*)")} as value from voice
+  union all
+  select 'Voice Take Rate', {_p(f"count(*) filter (where selfservice in ({sql_list(R.SELF_SERVICE_LIST_B)}))", "count(*)")}
+  from voice where intent in ({sql_list(R.OFFERED_INTENTS)})
+  union all
+  select 'Email Take Rate', {_p("count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and queue_name is null)", "count(*)")}
+  from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL} and intent in ({sql_list(R.EMAIL_DEFLECTABLE_INTENTS)})
+  union all
+  select 'Page Visit Rate', {_p("sum(visited_page)", "sum(trackable)")} from totals
   union all
-  select 'Voice Take Rate', {_p(f"count(*) filter (where selfservice in ({sql_list(R.SELF_SERVICE_LIST_B)}) and intent in ({sql_list(R.OFFERED_INTENTS)}))", f"count(*) filter (where intent in ({sql_list(R.OFFERED_INTENTS)}))")} from voice
+  select 'Containment Rate', {_p("sum(total_deflected) - sum(repeat_contact)", "sum(total_deflected)")} from totals
   union all
-  select 'Email Take Rate', {_p(f"count(*) filter (where disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent in ({sql_list(R.EMAIL_DEFLECTABLE_INTENTS)}) and queue_name is null)", f"count(*) filter (where intent in ({sql_list(R.EMAIL_DEFLECTABLE_INTENTS)}))")}
-  from contacts where channel = 'EMAIL' and initiation = 'INBOUND' and {WINDOW_SQL}
+  select 'Repeat Contact Rate', {_p("sum(repeat_contact)", "sum(total_deflected)")} from totals
   union all
-  select 'Repeat Contact Rate', {_p("sum(rep)", "count(*)")} from (
-    select case when exists (select 1 from voice v2 where v2.endpoint = s.endpoint and v2.ts > s.ts
-                             and v2.ts <= s.ts + interval 3 day) then 1 else 0 end as rep
-    from voice s where selfservice in ({sql_list(R.SELF_SERVICE_LIST_B)}) and s.ts < timestamp '2024-01-28') r
-) m join (values {_RAG}) t(metric, green, amber, hib) on m.metric = t.metric""",
-        f"voice as (select * from contacts where channel = 'VOICE' and initiation = 'INBOUND' and {WINDOW_SQL})",
+  select 'Total Completion', {_p("sum(total_completed)", "sum(trackable)")} from totals
+) m on m.metric = t.metric""",
+        f"voice as (select * from contacts where channel = 'VOICE' and initiation = 'INBOUND' and {WINDOW_SQL})," + TOTAL_CTES,
     ),
     "account_number_explode": with_views(
         ["contacts"],

@@ -6,13 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.contact_rules import base_filter, deflected_any_channel
+from ..functions.contact_rules import EMAIL_DEFLECTABLE_INTENTS, SELF_SERVICE_LIST_B, base_filter, deflected_any_channel, deflection_taken
 from ..functions.core import count_if, pct, week_label
 from ..operators import temporal as T
 from ..operators.deflection import in_days
 from ..sources import standins as S
 from ..sources.tables import table
-from .common import EVENTS_AS_OF, EVENTS_DAYS, ORDERS_AS_OF, with_views
+from .common import EVENTS_AS_OF, EVENTS_DAYS, ORDERS_AS_OF, sql_list, with_views
 
 T0 = dt.datetime(1998, 1, 1)
 T1 = dt.datetime(2001, 1, 1)
@@ -83,7 +83,7 @@ def daily_contacts_trend(spark, sf_dir):
 
 
 def weekly_deflection_trend(spark, sf_dir):
-    """Weekly contacts and deflection rate per channel, ISO week labels."""
+    """Weekly contacts, detected intents and deflections taken per channel, ISO week labels."""
     c = S.contacts(spark, sf_dir)
     scope = base_filter("VOICE") | base_filter("EMAIL") | base_filter("CHAT")
     c = in_days(c.where(scope), EVENTS_AS_OF, EVENTS_DAYS)
@@ -91,23 +91,26 @@ def weekly_deflection_trend(spark, sf_dir):
         c,
         "ts",
         "week",
-        [F.count(F.lit(1)).alias("contacts"), count_if(deflected_any_channel()).alias("deflected")],
+        [
+            F.count(F.lit(1)).alias("total_contacts"),
+            count_if(F.col("intent").isNotNull()).alias("intent_detected"),
+            count_if(deflection_taken()).alias("deflection_taken"),
+        ],
         by=["channel"],
         name="week_start",
     )
     return (
         agg.withColumn("week_label", week_label("week_start"))
-        .withColumn("deflection_rate_pct", pct("deflected", "contacts"))
-        .orderBy("week_start", "channel")
+        .withColumn("take_rate_pct", pct("deflection_taken", "total_contacts"))
+        .orderBy(F.col("week_start").desc(), "channel")
     )
 
 
 def weekly_change(spark, sf_dir):
-    """Week-over-week change of contacts and deflection rate per channel."""
-    w = weekly_deflection_trend(spark, sf_dir).drop("week_label")
-    return T.wow_change(w, "week_start", ["channel"], "contacts", rate="deflection_rate_pct").orderBy(
-        "channel", "week_start"
-    )
+    """Week-over-week change of contacts, deflection volume and take rate per channel."""
+    w = weekly_deflection_trend(spark, sf_dir).drop("week_label", "intent_detected")
+    w = T.wow_change(w, "week_start", ["channel"], "total_contacts", rate="take_rate_pct")
+    return T.wow_change(w, "week_start", ["channel"], "deflection_taken").orderBy("channel", "week_start")
 
 
 def new_customers_per_month(spark, sf_dir):
@@ -256,17 +259,19 @@ _DEFLECTED_SQL = f"""case
     and disconnect_reason = 'CONTACT_FLOW_DISCONNECT' and intent is not null, false)
   else false end"""
 
+_ROUTES = sql_list(SELF_SERVICE_LIST_B)
 _WEEKLY_SQL = f"""
-select week_start, channel, contacts, deflected,
+select week_start, channel, total_contacts, intent_detected, deflection_taken,
        cast(year(week_start) as varchar) || '-W' || lpad(cast(weekofyear(week_start) as varchar), 2, '0') as week_label,
-       round(cast(deflected as double) * 100.0 / contacts, 1) as deflection_rate_pct
+       round(cast(deflection_taken as double) * 100.0 / total_contacts, 1) as take_rate_pct
 from (
-  select cast(date_trunc('week', ts) as date) as week_start, channel, count(*) as contacts,
-         count(*) filter (where {_DEFLECTED_SQL}) as deflected
+  select cast(date_trunc('week', ts) as date) as week_start, channel, count(*) as total_contacts,
+         count(intent) as intent_detected,
+         count(*) filter (where case when channel in ('VOICE', 'CHAT') then selfservice in ({_ROUTES})
+           else intent in ({sql_list(EMAIL_DEFLECTABLE_INTENTS)}) and disconnect_reason = 'CONTACT_FLOW_DISCONNECT'
+                and queue_name is null end) as deflection_taken
   from contacts
-  where {WINDOW_SQL}
-    and ((channel = 'VOICE' and initiation = 'INBOUND') or (channel = 'EMAIL' and initiation = 'INBOUND')
-         or (channel = 'CHAT' and initiation = 'API'))
+  where {WINDOW_SQL} and (channel, initiation) in (('VOICE', 'INBOUND'), ('EMAIL', 'INBOUND'), ('CHAT', 'API'))
   group by 1, 2
 ) w"""
 
@@ -358,10 +363,12 @@ group by 1, 2""",
     "weekly_change": with_views(
         ["contacts"],
         f"""
-select week_start, channel, contacts, deflected, deflection_rate_pct,
-       lag(contacts) over w as prev_contacts,
-       round(cast(contacts - lag(contacts) over w as double) * 100.0 / cast(lag(contacts) over w as double), 1) as contacts_change_pct,
-       round(deflection_rate_pct - lag(deflection_rate_pct) over w, 1) as deflection_rate_pct_change_pp
+select week_start, channel, total_contacts, deflection_taken, take_rate_pct,
+       lag(total_contacts) over w as prev_total_contacts,
+       round(cast(total_contacts - lag(total_contacts) over w as double) * 100.0 / cast(lag(total_contacts) over w as double), 1) as total_contacts_change_pct,
+       round(take_rate_pct - lag(take_rate_pct) over w, 1) as take_rate_pct_change_pp,
+       lag(deflection_taken) over w as prev_deflection_taken,
+       round(cast(deflection_taken - lag(deflection_taken) over w as double) * 100.0 / nullif(cast(lag(deflection_taken) over w as double), 0), 1) as deflection_taken_change_pct
 from ({_WEEKLY_SQL}) x
 window w as (partition by channel order by week_start)""",
     ),
