@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import classify, col, pct
+from ..functions.core import classify, col, count_if, pct, week_label
 
 # --- fixed values that must equal the documented definitions -------------
 PENDING_STATUSES = ("BOOKED", "RESCHEDULED", "STARTED", "ON_SITE", "ON_ROUTE", "PAUSED")
@@ -150,6 +150,22 @@ def conversion_stats(weights: DataFrame) -> DataFrame:
     ).orderBy("entry_path", "offer_channel")
 
 
+def calendar_bucket(c: str | Column) -> Column:
+    """First day of the part of an ISO week that lies in one month.
+
+    Week label and month of a date are those of its bucket, and the bucket
+    of the earliest of several dates is the earliest of their buckets; so
+    dates may be reduced to buckets before they are joined or compared.
+    """
+    c = col(c).cast("date")
+    return F.greatest(F.trunc(c, "week"), F.trunc(c, "month"))
+
+
+def bucket_labels(bucket: str, week: str, month: str, missing: str = "N/A") -> list[Column]:
+    """Week label and month of a calendar bucket."""
+    return [F.coalesce(week_label(bucket), F.lit(missing)).alias(week), F.coalesce(F.date_format(bucket, "yyyy-MM"), F.lit(missing)).alias(month)]
+
+
 def funnel_with_dims(
     waiting: DataFrame,
     offers: DataFrame,
@@ -160,48 +176,40 @@ def funnel_with_dims(
 
     ``waiting`` (key, registration_date), ``offers`` (key, offer_channel,
     offer_date), ``bookings`` (key, booking_date, appointment_date,
-    outcome).  Each side is reduced to DISTINCT tuples before the left joins
-    (the result is a COUNT DISTINCT, so join duplicates cannot matter); the
-    per-account pairing is then bounded by distinct dates, not by rows.
-    Stages are emitted with one ``explode`` and counted in one aggregate.
+    outcome).  The dimensions are weeks and months, so each side is first
+    reduced to distinct calendar buckets per account: what meets in the
+    joins of an account is bounded by the calendar, however many rows it
+    has.  An account is then counted once per cell of the dimensions, where
+    it is already partitioned by account, and the four stages are four
+    counts of the cell: labels and stage rows are made from the result.
     """
-    from ..functions.core import week_label
-
-    wl = waiting.select(key, "registration_date").distinct()
-    o = offers.select(key, "offer_channel", "offer_date").distinct()
-    b = bookings.select(key, "booking_date", "appointment_date", "outcome").distinct()
-    o = o.withColumn("_offered", F.lit(True))
-    b = b.withColumn("_booked", F.lit(True))
-    j = wl.join(o, key, "left").join(b, key, "left")
-    first = first_touch("registration_date", "offer_date", "booking_date")
-    month = lambda c: F.date_format(c, "yyyy-MM")
-    dims = [
-        F.coalesce(F.col("offer_channel"), F.lit("Not Yet Offered")).alias("offer_channel"),
-        F.coalesce(week_label(first), F.lit("N/A")).alias("first_contact_week"),
-        F.coalesce(month(first), F.lit("N/A")).alias("first_contact_month"),
-        F.coalesce(week_label("offer_date"), F.lit("N/A")).alias("offer_week"),
-        F.coalesce(month("offer_date"), F.lit("N/A")).alias("offer_month"),
-        F.coalesce(week_label("registration_date"), F.lit("N/A")).alias("registration_week"),
-        F.coalesce(week_label("appointment_date"), F.lit("N/A")).alias("appointment_week"),
-        F.coalesce(month("appointment_date"), F.lit("N/A")).alias("appointment_month"),
-    ]
-    names = [
-        "offer_channel", "first_contact_week", "first_contact_month", "offer_week", "offer_month",
-        "registration_week", "appointment_week", "appointment_month",
-    ]
-    stages = F.array_compact(
-        F.array(
-            F.lit(1),
-            F.when(F.col("_offered"), F.lit(2)),
-            F.when(F.col("_booked"), F.lit(3)),
-            F.when(F.col("outcome") == "Completed", F.lit(4)),
-        )
-    )
-    rows = j.where(first.isNotNull()).select(key, *dims, F.explode(stages).alias("stage_number"))
-    labels = {1: "1. SMBP No Slots → Waitlist", 2: "2. Offered Slot", 3: "3. Booked", 4: "4. Completed"}
-    name = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])[F.col("stage_number")]
+    wl = waiting.select(key, calendar_bucket("registration_date").alias("_r")).distinct()
+    o = offers.where(F.col(key).isNotNull()).select(key, "offer_channel", calendar_bucket("offer_date").alias("_o")).distinct()
+    done = F.coalesce(F.col("outcome") == "Completed", F.lit(False))
+    b = bookings.where(F.col(key).isNotNull()).select(key, calendar_bucket("booking_date").alias("_b"), calendar_bucket("appointment_date").alias("_a"), done.alias("_done"))
+    b = b.groupBy(key, "_b", "_a").agg(F.bool_or("_done").alias("_done"))
+    j = wl.join(o.withColumn("_offered", F.lit(True)), key, "left").join(b.withColumn("_booked", F.lit(True)), key, "left")
+    # a week alone may hold two buckets, so the registration is grouped by its label
+    cell = ["offer_channel", "_first", "_o", "registration_week", "_a"]
+    j = j.withColumns({"_first": F.least("_r", "_o", "_b"), "registration_week": week_label("_r")}).where(F.col("_first").isNotNull())
+    per_account = j.groupBy(key, *cell).agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in ("_offered", "_booked", "_done")])
+    counts = [F.col(key).isNotNull(), F.col("_offered"), F.col("_booked"), F.col("_done")]
+    cells = per_account.groupBy(*cell).agg(*[count_if(c).alias(f"_s{i}") for i, c in enumerate(counts, 1)])
+    names = ["1. SMBP No Slots → Waitlist", "2. Offered Slot", "3. Booked", "4. Completed"]
+    stages = [F.struct(F.lit(i).alias("number"), F.lit(n).alias("name"), F.col(f"_s{i}").alias("customers")) for i, n in enumerate(names, 1)]
+    # every cell has its first stage, and each later one that an account reached
+    taken = F.array_compact(F.array(stages[0], *[F.when(F.col(f"_s{i}") > 0, st) for i, st in enumerate(stages[1:], 2)]))
     return (
-        rows.groupBy("stage_number", name.alias("stage_name"), *names)
-        .agg(F.count_distinct(key).alias("customers"))
+        cells.select(*cell, F.explode(taken).alias("_s"))
+        .select(
+            F.col("_s.number").alias("stage_number"),
+            F.col("_s.name").alias("stage_name"),
+            F.coalesce("offer_channel", F.lit("Not Yet Offered")).alias("offer_channel"),
+            *bucket_labels("_first", "first_contact_week", "first_contact_month"),
+            *bucket_labels("_o", "offer_week", "offer_month"),
+            F.coalesce("registration_week", F.lit("N/A")).alias("registration_week"),
+            *bucket_labels("_a", "appointment_week", "appointment_month"),
+            F.col("_s.customers").alias("customers"),
+        )
         .orderBy("stage_number", "offer_channel", "first_contact_week")
     )
