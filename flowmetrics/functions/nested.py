@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .core import col
 
@@ -74,17 +75,25 @@ def explode_ids(df: DataFrame, c: str, name: str = "account_number", sep: str =
     )
 
 
-def load_sharded(spark: SparkSession, path: str, first: str, last: str, column: str = "event_date") -> DataFrame:
+def load_sharded(spark: SparkSession, path: str, first: str | Column | None = None, last: str | Column | None = None, column: str = "event_date") -> DataFrame:
     """Read a table partitioned by ``column=YYYYMMDD`` for a suffix range.
 
-    The partition column is read as a string (type inference would make it
-    an integer), so the range filter prunes partitions at planning time.
+    The schema is given with the partition column as a string (inference
+    would make it an integer), so the session's settings stay as they are
+    and the range prunes folders.  A bound may be a scalar subquery, for
+    example over the shards themselves: folders are then pruned when the
+    query runs.  Bounds are inclusive; None leaves a side open.
     """
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        df = spark.read.option("basePath", path).parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return df.where(F.col(column).between(first, last))
+    found = spark.read.option("basePath", path).parquet(path).schema
+    fields = [StructField(column, StringType()) if f.name == column else f for f in found.fields]
+    df = spark.read.schema(StructType(fields)).option("basePath", path).parquet(path)
+    suffix = F.col(column)
+    for bound, test in ((first, suffix.__ge__), (last, suffix.__le__)):
+        if bound is not None:
+            df = df.where(test(bound))
+    return df
+
+
+def latest_shard(spark: SparkSession, path: str, column: str = "event_date") -> Column:
+    """Scalar subquery for the last suffix of a sharded table; reads folder names and counts only."""
+    return load_sharded(spark, path, column=column).select(F.max(column)).scalar()

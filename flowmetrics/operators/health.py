@@ -115,10 +115,31 @@ def keyword_filter(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame
     return df.where(cond)
 
 
-def timeline(sources: Sequence[tuple[str, DataFrame]], key: str, ts: str, columns: Sequence[str]) -> DataFrame:
-    """Union of per-source event rows tagged with their source."""
+def timeline(
+    sources: Sequence[tuple[str, DataFrame]], key: str, ts: str, columns: Sequence[str], row_key: str | None = None,
+    value=None, limit: int | None = None,
+) -> DataFrame:
+    """Union of per-source event rows tagged with their source, in one total order.
+
+    With ``value`` the timeline is that of one entity: the test on ``key``
+    goes into each source before the union, so it reaches every scan.  With
+    ``row_key`` (a row's key within its source) the order is newest first,
+    then source as listed, then row key: total over unlike sources, also
+    among rows of one instant.  ``limit`` keeps the first rows of that order;
+    a source can give no more than that many of them, so each is cut to its
+    own first rows before the union.
+    """
     out = None
-    for name, df in sources:
-        part = df.select(F.lit(name).alias("source"), F.col(key).alias(key), F.col(ts).alias(ts), *[F.col(c) for c in columns])
+    for rank, (name, df) in enumerate(sources):
+        part = df if value is None else df.where(F.col(key) == F.lit(value))
+        if limit is not None:
+            part = part.orderBy(F.col(ts).desc_nulls_last(), row_key).limit(limit)
+        ordered = [] if row_key is None else [F.lit(rank).alias("_rank"), F.col(row_key).alias("_row")]
+        part = part.select(F.lit(name).alias("source"), F.col(key).alias(key), F.col(ts).alias(ts), *[F.col(c) for c in columns], *ordered)
         out = part if out is None else out.unionByName(part)
-    return out
+    if row_key is None:
+        return out
+    out = out.orderBy(F.col(ts).desc_nulls_last(), "_rank", "_row")
+    if limit is not None:
+        out = out.limit(limit)
+    return out.drop("_rank", "_row")

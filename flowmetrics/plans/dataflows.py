@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ntz
 
+from ..operators.health import timeline
 from ..operators.temporal import trend
 from ..sources.standins import elec_readings, gas_meters, gas_rejections, settlement, supplier_switches
 from .common import with_views
@@ -92,7 +93,27 @@ def gas_rejection_trend(spark, sf_dir):
     return trend(r, "received_date", "day", [F.count(F.lit(1)).alias("total_rejections")], name="date").orderBy(F.col("date").desc())
 
 
+#: Default keys of the lookups; callers pass their own.
+ELEC_POINT, GAS_POINT = 1, 1
+
+
+def meter_point_timeline(spark, sf_dir, point_id=ELEC_POINT):
+    """F16 (A35): readings and supplier switches of one electricity supply point, newest first."""
+    r = elec_readings(spark, sf_dir).withColumnsRenamed({"validation_status": "status", "reading_no": "row_no"})
+    s = supplier_switches(spark, sf_dir).withColumnRenamed("rejection_code", "status").withColumn("row_no", F.lit(0))
+    sources = [("D0010", _since(r, "received_date")), ("D0300", _since(s, "received_date"))]
+    return timeline(sources, "point_id", "received_date", ["status", "meter_reading"], "row_no", point_id)
+
+
+def gas_point_returns(spark, sf_dir, point_id=GAS_POINT):
+    """F17 (A35): rejected flows of one gas supply point, newest first."""
+    r = _since(gas_rejections(spark, sf_dir), "received_date")
+    return timeline([("RET", r)], "point_id", "received_date", ["reason_for_return", "meter_reading"], "return_id", point_id)
+
+
 QUERIES = {
+    "meter_point_timeline": meter_point_timeline,
+    "gas_point_returns": gas_point_returns,
     "gas_meters_by_status": gas_meters_by_status,
     "gas_rejections_by_reason": gas_rejections_by_reason,
     "gas_rejection_trend": gas_rejection_trend,
@@ -106,6 +127,21 @@ QUERIES = {
 
 S = "timestamp '1994-01-01'"
 ORACLE = {
+    "meter_point_timeline": with_views(
+        ["elec_readings", "supplier_switches"],
+        f"""
+select 'D0010' as source, point_id, received_date, validation_status as status, meter_reading
+from elec_readings where point_id = {ELEC_POINT} and received_date >= timestamp '1994-01-01'
+union all
+select 'D0300', point_id, received_date, rejection_code, meter_reading
+from supplier_switches where point_id = {ELEC_POINT} and received_date >= timestamp '1994-01-01'""",
+    ),
+    "gas_point_returns": with_views(
+        ["gas_rejections"],
+        f"""
+select 'RET' as source, point_id, received_date, reason_for_return, meter_reading
+from gas_rejections where point_id = {GAS_POINT} and received_date >= timestamp '1994-01-01'""",
+    ),
     "readings_by_validation": with_views(
         ["elec_readings"],
         f"""select cast(received_date as date) as date, validation_status, count(*) as readings, count(distinct mpan) as unique_mpans

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.nested import availability_features, event_param, session_key
+from ..functions.nested import availability_features, event_param, latest_shard, load_sharded, session_key
 from ..operators.temporal import current_state
+from ..sources.sinks import shared_path, write_sharded
 from ..sources.standins import web_events, waiting_list
 from .common import with_views
 
@@ -28,6 +29,23 @@ def sharded_event_counts(spark, sf_dir):
     )
 
 
+def recent_shards(spark, sf_dir, days=7):
+    """E11 over date shards (A41, S2): the last ``days`` days of the sharded table, all other folders pruned.
+
+    The given table is first laid out in one folder per day; the range is
+    counted from its latest shard, by a scalar subquery.
+    """
+    path = shared_path(spark, "web-events")
+    write_sharded(web_events(spark, sf_dir), path)
+    first = F.date_format(F.date_sub(F.to_date(latest_shard(spark, path), "yyyyMMdd"), days - 1), "yyyyMMdd")
+    return (
+        load_sharded(spark, path, first)
+        .groupBy("event_date")
+        .agg(F.count(F.lit(1)).alias("total_events"), F.count_distinct("user_pseudo_id").alias("unique_users"))
+        .orderBy(F.col("event_date").desc())
+    )
+
+
 def top_event_types(spark, sf_dir):
     """Top-30 event names."""
     return (
@@ -141,6 +159,7 @@ def availability_profile(spark, sf_dir):
 
 QUERIES = {
     "sharded_event_counts": sharded_event_counts,
+    "recent_shards": recent_shards,
     "top_event_types": top_event_types,
     "traffic_by_platform": traffic_by_platform,
     "traffic_by_device": traffic_by_device,
@@ -166,6 +185,11 @@ _AM = " or ".join(_slot(d, "am") for d in _DAYS)
 _PM = " or ".join(_slot(d, "pm") for d in _DAYS)
 
 ORACLE = {
+    "recent_shards": with_views(
+        ["web_events"],
+        """select event_date, count(*) as total_events, count(distinct user_pseudo_id) as unique_users from web_events
+where event_date >= strftime(strptime((select max(event_date) from web_events), '%Y%m%d') - interval 6 day, '%Y%m%d') group by 1""",
+    ),
     "sharded_event_counts": with_views(
         ["web_events"],
         f"select event_date, count(*) as total_events, count(distinct user_pseudo_id) as unique_users from web_events where {S} group by 1",

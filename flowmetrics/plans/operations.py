@@ -122,6 +122,17 @@ def account_timeline(spark, sf_dir):
     )
 
 
+#: Default key of the account lookup; callers pass their own.
+ACCOUNT = 1
+
+
+def account_errors(spark, sf_dir, account_id=ACCOUNT, limit=100):
+    """The newest errors of one account (a top-k report); ties by source row."""
+    e = app_errors(spark, sf_dir).where(F.col("is_error") == F.lit(True)).withColumnRenamed("error_type", "event")
+    found = H.timeline([("App Error", e)], "account_id", "created_at", ["event", "description", "trace_id"], "error_id", account_id, limit)
+    return found.drop("source")
+
+
 def error_timeline(spark, sf_dir):
     """Errors per day and error type."""
     return trend(_errors(spark, sf_dir), "created_at", "day", [F.count(F.lit(1)).alias("errors")], by=["error_type"], name="date").orderBy(
@@ -192,6 +203,7 @@ QUERIES = {
     "error_contact_rate": error_contact_rate,
     "keyword_cases": keyword_cases,
     "account_timeline": account_timeline,
+    "account_errors": account_errors,
 }
 
 R = "received_ts >= timestamp '2024-01-01'"
@@ -281,6 +293,12 @@ group by e.error_type""",
         f"""
 select case_id, account, level_1 as category, level_2 as subcategory, created_at from cases
 where (lower(level_1) like '%error%' or lower(level_1) like '%app%' or lower(level_2) like '%technical%') and {C}""",
+    ),
+    "account_errors": with_views(
+        ["app_errors"],
+        f"""
+select account_id, created_at, error_type as event, description, trace_id
+from app_errors where is_error and account_id = {ACCOUNT} order by created_at desc, error_id limit 100""",
     ),
     "account_timeline": with_views(
         ["app_errors", "cases"],

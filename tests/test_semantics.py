@@ -152,3 +152,27 @@ def test_session_key_is_null_when_a_part_is_null(spark):
     )
     assert [r.s for r in df.select(session_key().alias("s")).collect()] == ["u17", None, None]
     assert df.agg(F.count_distinct(session_key()).alias("n")).first().n == 1
+
+
+def test_entity_timeline_is_totally_ordered_and_cut_per_source(spark):
+    from flowmetrics.operators.health import timeline
+
+    a = spark.createDataFrame([(1, 5, 2, "a2"), (1, 5, 1, "a1"), (1, 9, 3, "a3"), (2, 9, 4, "x"), (1, None, 7, "late")], "k int, t int, id int, v string")
+    b = spark.createDataFrame([(1, 5, 1, "b1"), (1, 7, 2, "b2"), (None, 7, 3, "x")], "k int, t int, id int, v string")
+    whole = timeline([("A", a), ("B", b)], "k", "t", ["v"], "id", 1)
+    want = ["a3", "b2", "a1", "a2", "b1", "late"]
+    assert [r.v for r in whole.collect()] == want and whole.columns == ["source", "k", "t", "v"]
+    for n in range(7):
+        assert [r.v for r in timeline([("A", a), ("B", b)], "k", "t", ["v"], "id", 1, n).collect()] == want[:n]
+    assert timeline([("A", a), ("B", b)], "k", "t", ["v"]).count() == 8
+
+
+def test_keyed_lookups_push_the_key_into_every_scan(spark):
+    from flowmetrics.plans.dataflows import gas_point_returns, meter_point_timeline
+    from flowmetrics.plans.operations import account_errors
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for query, column, scans in ((account_errors, "user_id", 1), (meter_point_timeline, "key", 2), (gas_point_returns, "o_custkey", 1)):
+        plan = query(spark, "/root/testdata/sf0.001", 3)._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in plan.split("PushedFilters")[1:] if f"{column},3)" in line.split("ReadSchema")[0]]
+        assert len(pushed) == scans, plan

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from flowmetrics.functions.nested import load_sharded
+from flowmetrics.functions.nested import latest_shard, load_sharded
 from flowmetrics.sources.sinks import write_extract, write_json, write_sharded
 from flowmetrics.sources.standins import web_events
 
@@ -25,6 +25,21 @@ def test_sharded_write_and_pruned_range_read(spark):
     assert got.count() == exp > 0
 
 
+def test_range_from_the_latest_shard_prunes_when_it_runs(spark):
+    scratch = tempfile.mkdtemp(prefix="flowmetrics-shards-", dir="/tmp")
+    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled", None)
+    df = spark.range(400).select(F.col("id"), F.date_format(F.date_add(F.lit("2024-12-20").cast("date"), (F.col("id") % 20).cast("int")), "yyyyMMdd").alias("event_date"))
+    write_sharded(df, f"{scratch}/t")
+    assert spark.range(1).select(latest_shard(spark, f"{scratch}/t")).first()[0] == "20250108"
+    first = F.date_format(F.date_sub(F.to_date(latest_shard(spark, f"{scratch}/t"), "yyyyMMdd"), 2), "yyyyMMdd")
+    got = load_sharded(spark, f"{scratch}/t", first)
+    assert sorted({r.event_date for r in got.collect()}) == ["20250106", "20250107", "20250108"] and got.count() == 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "subquery" in plan.lower()
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled", None) == before
+    assert load_sharded(spark, f"{scratch}/t", last="20241220").count() == 20
+
+
 def test_json_export_round_trip(spark):
     scratch = tempfile.mkdtemp(prefix="flowmetrics-json-", dir="/tmp")
     df = spark.range(5).select(F.col("id").cast("string").alias("metric"), (F.col("id") * 2).alias("value"))
