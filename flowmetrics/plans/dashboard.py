@@ -194,6 +194,8 @@ wt as (
   group by 1, 2
 )"""
 
+TREND_CTE = _WT
+
 ORACLE = {
     "dashboard_weekly_summary": with_views(["master"], "select * from ws", _WS),
     "dashboard_renewal_cohort": with_views(["master"], "select * from rc", _RC),

@@ -9,10 +9,12 @@ from ..functions import contact_rules as R
 from ..functions.core import count_if, is_null_or_empty, literal_table, pct
 from ..functions.nested import explode_ids
 from ..operators.deflection import in_days
-from ..sources.standins import contacts, marketing_master, billing_account
+from ..operators.reconcile import account_audit, flag_checks, trend_check
+from ..sources.standins import billing_account, cancellations, contacts, customer_setting, marketing_master, product_bundle
 from ..operators.temporal import current_state
 from .behaviour import TOTAL_CTES, deflection_totals
 from .common import EVENTS_AS_OF, EVENTS_DAYS, sql_list, with_views
+from .dashboard import TREND_CTE, dashboard_weekly_trend
 
 # --- fixed values that must equal the documented definitions -------------
 # (intent, VOICE, CHAT, EMAIL) deflection eligibility.
@@ -162,26 +164,34 @@ def account_number_explode(spark, sf_dir):
 
 
 def reconcile_master(spark, sf_dir):
-    """Reconciliation checks (totals, join completeness, flag sums)."""
-    m = marketing_master(spark, sf_dir)
-    ba = current_state(billing_account(spark, sf_dir)).select(F.col("number").alias("account_number"), F.lit(1).alias("_hit")).distinct()
-    j = m.join(ba, "account_number", "left")
-    agg = j.agg(
-        F.count(F.lit(1)).alias("master_rows"),
-        F.count_distinct("account_number").alias("distinct_accounts"),
-        count_if(F.col("_hit").isNotNull()).alias("linked_accounts"),
-        count_if(F.col("acc_status") == "Active").alias("active"),
-        count_if(F.col("acc_status") != "Active").alias("not_active"),
-        count_if(F.col("acc_status").isNull()).alias("status_null"),
+    """The five checks of the marketing master, with differences both ways and an example of each."""
+    setting = current_state(customer_setting(spark, sf_dir)).where(F.col("deleted").isNull()).select("id").distinct()
+    linked = (
+        current_state(billing_account(spark, sf_dir)).select(F.col("number").alias("account_number"), F.col("settings_id").alias("id"))
+        .join(setting, "id").select("account_number", F.lit(True).alias("linked"))
     )
-    checks = agg.selectExpr(
-        "stack(3,"
-        " 'grain: one row per account', cast(master_rows as double), cast(distinct_accounts as double),"
-        " 'join completeness: master -> billing account', cast(master_rows as double), cast(linked_accounts as double),"
-        " 'status split sums to total', cast(master_rows as double), cast(active + not_active + status_null as double)"
-        ") as (check_name, expected, actual)"
+    text = F.col("account_number").cast("string").alias("account_number")
+    follow_on = current_state(product_bundle(spark, sf_dir)).where((F.col("cancel_fl") != "Y") & (F.col("follow_on_fl") == "Y"))
+    follow_on = follow_on.withColumn("account_number", F.col("account_fk")).select(text, F.lit(True).alias("follow_on"))
+    cancelled = current_state(cancellations(spark, sf_dir)).where(F.col("deleted_at").isNull() & (F.col("type") == "Full"))
+    cancelled = cancelled.withColumn("account_number", F.col("billing_account_id")).select(text, F.lit(True).alias("cancelled"))
+    renewed = F.coalesce((F.col("ele_rnwl_status") == "Renewed"), F.lit(False)) | F.coalesce(F.col("gas_rnwl_status") == "Renewed", F.lit(False))
+    m = marketing_master(spark, sf_dir).select(
+        "account_number", F.lit(True).alias("in_master"), renewed.alias("renewed"),
+        (F.col("acc_status").isin("Closing", "Final") & ~renewed).alias("churned"),
     )
-    return checks.withColumn("passed", F.col("expected") == F.col("actual"))
+    audit = account_audit(m, [linked, follow_on, cancelled])
+    checks = flag_checks(
+        audit,
+        [
+            ("join completeness: linked to a customer setting", F.col("in_master"), F.col("in_master") & F.col("linked")),
+            ("renewal logic: renewed against follow-on bundles", F.col("renewed"), F.col("follow_on")),
+            ("churn: churned against full cancellations", F.col("churned"), F.col("cancelled")),
+        ],
+        grain="total counts: one row per account",
+    )
+    weeks = dashboard_weekly_trend(spark, sf_dir).groupBy("week_start").agg(F.sum("contracts_ended").alias("ended"))
+    return checks.unionByName(trend_check(weeks, "week_start", "ended", "trend: week over week within half"))
 
 
 QUERIES = {
@@ -297,22 +307,44 @@ from (select contact_id, trim(unnest(string_split(account_numbers, ','))) as acc
 where account_number != '' group by 1""",
     ),
     "reconcile_master": with_views(
-        ["master", "billing_account"],
+        ["master", "billing_account", "customer_setting", "product_bundle", "cancellations", "account_versions"],
         """
-select check_name, expected, actual, expected = actual as passed from (
-  select 'grain: one row per account' as check_name, cast(count(*) as double) as expected,
-         cast(count(distinct m.account_number) as double) as actual, 1 as o
-  from master m
+select 'total counts: one row per account' as check_name, count(*) as expected, count(distinct coalesce(account_number, '')) as actual,
+  count(*) - count(distinct coalesce(account_number, '')) as missing, 0 as unexpected,
+  (select min(account_number) from (select account_number from master group by 1 having count(*) > 1) d) as example_missing,
+  cast(null as varchar) as example_unexpected, count(*) = count(distinct coalesce(account_number, '')) as passed
+from master
+union all
+select name, count(*) filter (where e), count(*) filter (where f), count(*) filter (where e and not f), count(*) filter (where f and not e),
+  min(acct) filter (where e and not f), min(acct) filter (where f and not e), bool_and(e = f)
+from (
+  select 'join completeness: linked to a customer setting' as name, acct, acct in (select acct from said) as e,
+    acct in (select acct from said) and acct in (select acct from linked) as f from everyone
   union all
-  select 'join completeness: master -> billing account', cast(count(*) as double),
-         cast(count(*) filter (where b.number is not null) as double), 2
-  from master m left join (select distinct number from billing_account where effective_to = timestamp '9999-01-01') b
-    on m.account_number = b.number
+  select 'renewal logic: renewed against follow-on bundles', acct, acct in (select acct from said where renewed), acct in (select acct from followed) from everyone
   union all
-  select 'status split sums to total', cast(count(*) as double),
-         cast(count(*) filter (where acc_status = 'Active') + count(*) filter (where acc_status != 'Active')
-              + count(*) filter (where acc_status is null) as double), 3
+  select 'churn: churned against full cancellations', acct, acct in (select acct from said where churned), acct in (select acct from left_us) from everyone
+) t group by name
+union all
+select 'trend: week over week within half', count(*), count(*) filter (where calm), count(*) filter (where not calm), 0,
+  min(cast(week_start as varchar)) filter (where not calm), null, bool_and(calm)
+from (select week_start, abs(ended - before) <= 0.5 * before as calm
+      from (select week_start, sum(contracts_ended) as ended, lag(sum(contracts_ended)) over (order by week_start) as before from wt group by 1) x
+      where before is not null) y""",
+        TREND_CTE + """,
+said as (
+  select account_number as acct, ele_rnwl_status is not distinct from 'Renewed' or gas_rnwl_status is not distinct from 'Renewed' as renewed,
+    acc_status in ('Closing', 'Final') and not renewed as churned
   from master
-) x""",
+),
+linked as (
+  select number as acct from billing_account b join customer_setting s on s.id = b.settings_id
+  where b.effective_to = timestamp '9999-01-01' and s.effective_to = timestamp '9999-01-01' and s.deleted is null
+),
+followed as (select cast(account_fk as varchar) as acct from product_bundle
+             where effective_to = timestamp '9999-01-01' and cancel_fl != 'Y' and follow_on_fl = 'Y' and account_fk is not null),
+left_us as (select cast(billing_account_id as varchar) as acct from cancellations
+            where effective_to = timestamp '9999-01-01' and deleted_at is null and type = 'Full' and billing_account_id is not null),
+everyone as (select acct from said union select acct from linked union select acct from followed union select acct from left_us)""",
     ),
 }
