@@ -109,32 +109,82 @@ def cohort_movement(spark, sf_dir):
     ).orderBy("consent_status")
 
 
-def dashboard_export(spark, sf_dir):
-    """The typed sections as one long string-valued table for the dashboard.
+#: Metrics of each section, in the order of the values its rows carry.
+SECTIONS = {
+    "weekly_summary": ("account_count", "renewed_count", "active_at_period_start", "joined_during_period", "left_during_period"),
+    "renewal_cohort": ("contracts_ended", "renewed", "churned"),
+    "interests": ("total", "ev_interest", "smart_meter_interest", "ev_tariff_consent", "any_interest"),
+    "weekly_trend": ("contracts_ended", "renewed"),
+}
+INTEREST_FLAGS = ("intend_to_buy_ev", "smart_meter_interest", "ev_tariff_marketing_consent")
+
+
+def dashboard_rows(master, interests, bundles, since=SINCE, as_of=ORDERS_AS_OF):
+    """What each account adds to the sections: (section, group_key, v1..v5), in one pass over each table.
 
-    Rows ``(section, group_key, metric, value)``; each section is unpivoted
-    with ``stack`` and the parts are unioned by name.  Write it with
-    ``df.write.json(path)`` to feed the dashboard.
+    ``master`` has one row per account; ``interests`` (account_number, the
+    flags) one per account; ``bundles`` (account_number, weeks) one per
+    account with its contract weeks and renewals, an array bounded by the
+    trend's weeks.  An account the master lacks counts in the trend, as
+    opted out.
     """
+    j = master.withColumn("_known", F.lit(True)).join(interests, "account_number", "left").join(bundles, "account_number", "full")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    known, status = yes(F.col("_known")), F.col("acc_status")
+    created, closed = F.to_date("acc_created_dt"), F.to_date("acc_closed_dt")
+    active = yes(status == "Active")
+    gone = yes(status.isin("Closing", "Final"))
+    left = gone & yes(closed >= F.lit(since)) & F.col("subscription_status").isNotNull()
+    is_renewed = yes(F.col("ele_rnwl_status") == "Renewed") | yes(F.col("gas_rnwl_status") == "Renewed")
+    followed = is_renewed | F.col("ele_next_tariff").isNotNull() | F.col("gas_next_tarif").isNotNull()
+    ended = yes(C.ended_between(since, as_of)) & yes(status.isin(*C.ENDED_ACCOUNT_STATUSES))
+    flags = [yes(F.col(f)) for f in INTEREST_FLAGS]
+    consent = C.consent_status()
 
-    def longform(df, section, key, metrics):
-        args = ", ".join(f"'{m}', cast({m} as string)" for m in metrics)
-        return df.selectExpr(
-            f"'{section}' as section", f"coalesce(cast({key} as string), 'NULL') as group_key",
-            f"stack({len(metrics)}, {args}) as (metric, value)",
-        )
-
-    parts = [
-        longform(dashboard_weekly_summary(spark, sf_dir), "weekly_summary", "subscription_status",
-                 ["account_count", "renewed_count", "active_at_period_start", "joined_during_period", "left_during_period"]),
-        longform(dashboard_renewal_cohort(spark, sf_dir), "renewal_cohort", "consent_status", ["contracts_ended", "renewed", "churned"]),
-        longform(dashboard_weekly_trend(spark, sf_dir).withColumn("k", F.concat_ws("|", F.col("week_start").cast("string"), "consent_status")),
-                 "weekly_trend", "k", ["contracts_ended", "renewed"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def part(section, key, cond, *values):
+        value = [v.cast("long") for v in values] + [F.lit(0).cast("long")] * (5 - len(values))
+        return F.when(cond, F.struct(F.lit(section).alias("section"), key.cast("string").alias("group_key"), *[v.alias(f"v{i}") for i, v in enumerate(value, 1)]))
+
+    always = F.lit(True)
+    trend = F.transform(
+        F.coalesce("weeks", F.array().cast("array<struct<week:date,renewed:bigint>>")),
+        lambda w: part("weekly_trend", F.concat_ws("|", w["week"].cast("string"), C.consent_status(three_way=False)), always, F.lit(1), w["renewed"]),
+    )
+    parts = F.array(
+        part("weekly_summary", F.col("subscription_status"), active | left, active, active & is_renewed, active & yes(created < F.lit(since)), active & yes(created >= F.lit(since)), left),
+        part("renewal_cohort", consent, ended, always, followed, gone & ~is_renewed),
+        part("interests", consent, active, always, *flags, flags[0] | flags[1] | flags[2]),
+    )
+    parts = F.when(known, F.array_compact(parts)).otherwise(F.array_compact(F.array(part("", consent, F.lit(False)))))
+    return j.select(F.inline(F.concat(parts, trend)))
+
+
+def dashboard_export(spark, sf_dir):
+    """The four sections as one long string-valued table for the dashboard.
+
+    Rows ``(section, group_key, metric, value)``: every account adds to its
+    sections in one pass, one aggregate sums them, and the sums are unpivoted.
+    Write it with ``df.write.json(path)`` to feed the dashboard.
+    """
+    setting = current_state(S.customer_setting(spark, sf_dir)).where(F.col("deleted").isNull())
+    interests = current_state(S.billing_account(spark, sf_dir)).select(F.col("number").alias("account_number"), F.col("settings_id").alias("id")).join(setting, "id").select("account_number", *INTEREST_FLAGS)
+    lo = ORDERS_AS_OF - dt.timedelta(weeks=TREND_WEEKS)
+    pb = current_state(S.product_bundle(spark, sf_dir)).where((F.col("cancel_fl") != "Y") & F.to_date("contracted_to").between(F.lit(lo), F.lit(ORDERS_AS_OF)))
+    accounts = current_state(S.account_versions(spark, sf_dir)).select(F.col("account_id").alias("account_fk")).distinct()
+    weeks = pb.join(accounts, "account_fk").groupBy("account_fk", week_start("contracted_to").alias("week")).agg(count_if(F.col("follow_on_fl") == "Y").alias("renewed"))
+    bundles = weeks.groupBy(F.col("account_fk").cast("string").alias("account_number")).agg(F.collect_list(F.struct("week", "renewed")).alias("weeks"))
+    sums = dashboard_rows(S.marketing_master(spark, sf_dir), interests, bundles).groupBy("section", "group_key").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(1, 6)])
+    # a status that only accounts which left still have is no group of the summary
+    sums = sums.where((F.col("section") != "weekly_summary") | (F.col("v1") > 0))
+    row = lambda m, v: F.struct(F.lit(m).alias("metric"), v.cast("string").alias("value"))
+    metrics = None
+    for section, names in SECTIONS.items():
+        rows = [row(m, F.col(f"v{i}")) for i, m in enumerate(names, 1)]
+        if section == "interests":
+            rows.append(row("any_interest_pct", pct("v5", "v1")))
+        cond = F.col("section") == section
+        metrics = F.when(cond, F.array(*rows)) if metrics is None else metrics.when(cond, F.array(*rows))
+    return sums.select("section", F.coalesce("group_key", F.lit("NULL")).alias("group_key"), F.inline(metrics))
 
 
 QUERIES = {
@@ -221,23 +271,40 @@ from (
 ) a group by consent_status""",
     ),
     "dashboard_export": with_views(
-        ["master", "product_bundle", "account_versions"],
+        ["master", "product_bundle", "account_versions", "billing_account", "customer_setting"],
         """
-select 'weekly_summary' as section, coalesce(subscription_status, 'NULL') as group_key, metric, value from ws,
-  (values ('account_count'), ('renewed_count'), ('active_at_period_start'), ('joined_during_period'), ('left_during_period')) v(metric)
-  cross join lateral (select case metric when 'account_count' then cast(account_count as varchar)
-    when 'renewed_count' then cast(renewed_count as varchar) when 'active_at_period_start' then cast(active_at_period_start as varchar)
-    when 'joined_during_period' then cast(joined_during_period as varchar) else cast(left_during_period as varchar) end as value) x
-union all
-select 'renewal_cohort', coalesce(consent_status, 'NULL'), metric,
-  case metric when 'contracts_ended' then cast(contracts_ended as varchar) when 'renewed' then cast(renewed as varchar)
-    else cast(churned as varchar) end
-from rc, (values ('contracts_ended'), ('renewed'), ('churned')) v(metric)
-union all
-select 'weekly_trend', cast(week_start as varchar) || '|' || consent_status, metric,
-  case metric when 'contracts_ended' then cast(contracts_ended as varchar) else cast(renewed as varchar) end
-from wt, (values ('contracts_ended'), ('renewed')) v(metric)""",
-        _WS + "," + _RC + "," + _WT,
+unpivot (
+  select 'weekly_summary' as section, coalesce(subscription_status, 'NULL') as group_key, cast(account_count as varchar) as account_count,
+    cast(renewed_count as varchar) as renewed_count, cast(active_at_period_start as varchar) as active_at_period_start,
+    cast(joined_during_period as varchar) as joined_during_period, cast(left_during_period as varchar) as left_during_period
+  from ws
+) on columns(* exclude (section, group_key)) into name metric value value
+union all from (unpivot (
+  select 'renewal_cohort' as section, coalesce(consent_status, 'NULL') as group_key, cast(contracts_ended as varchar) as contracts_ended,
+    cast(renewed as varchar) as renewed, cast(churned as varchar) as churned
+  from rc
+) on columns(* exclude (section, group_key)) into name metric value value)
+union all from (unpivot (
+  select 'interests' as section, consent_status as group_key, cast(count(*) as varchar) as total,
+    cast(count(*) filter (where intend_to_buy_ev) as varchar) as ev_interest,
+    cast(count(*) filter (where smart_meter_interest) as varchar) as smart_meter_interest,
+    cast(count(*) filter (where ev_tariff_marketing_consent) as varchar) as ev_tariff_consent,
+    cast(count(*) filter (where intend_to_buy_ev or smart_meter_interest or ev_tariff_marketing_consent) as varchar) as any_interest,
+    cast(round(cast(count(*) filter (where intend_to_buy_ev or smart_meter_interest or ev_tariff_marketing_consent) as double) * 100.0 / count(*), 1) as varchar) as any_interest_pct
+  from told group by 2
+) on columns(* exclude (section, group_key)) into name metric value value)
+union all from (unpivot (
+  select 'weekly_trend' as section, cast(week_start as varchar) || '|' || consent_status as group_key,
+    cast(contracts_ended as varchar) as contracts_ended, cast(renewed as varchar) as renewed
+  from wt
+) on columns(* exclude (section, group_key)) into name metric value value)""",
+        _WS + "," + _RC + "," + _WT + f""",
+told as (
+  select {_CONSENT} as consent_status, s.* from master m
+  left join billing_account b on b.number = m.account_number and b.effective_to = timestamp '9999-01-01'
+  left join customer_setting s on s.id = b.settings_id and s.effective_to = timestamp '9999-01-01' and s.deleted is null
+  where m.acc_status = 'Active'
+)""",
     ),
 }
 
