@@ -37,7 +37,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from .graph import link_buckets
-from .store import materialize
+from .store import materialize, set_aside
 from .textops import U64, Words, grams, lists, mix, row_of, sequences, slices, word_table
 
 SHINGLE = 5
@@ -242,5 +242,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near copies: one row of each class, same columns; equal rows stay once."""
     keepers = near_duplicates(docs, threshold).where("kept").select(F.col("rid").alias("_keeper")).distinct()
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", F.col("text").cast("string")))
-    return keyed.join(keepers, F.col("_rid") == F.col("_keeper")).dropDuplicates(["_rid"]).select(*docs.columns)
+    inner, back = set_aside(docs, ("doc_id", "text"))
+    keyed = inner.withColumn("_rid", F.xxhash64("doc_id", F.col("text").cast("string")))
+    return keyed.join(keepers, F.col("_rid") == F.col("_keeper")).dropDuplicates(["_rid"]).select(*back)

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .store import broadcast, materialize
+from .store import broadcast, materialize, set_aside
 from .textops import Words, slices, word_table
 
 SPAN = 10
@@ -274,14 +274,15 @@ def cut_batches(batches: Iterator[pa.RecordBatch], text_at: int, hit_at: int, ke
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` without contaminated spans, and without documents of which more than ``max_coverage`` is hit.
 
-    Same columns; other rows stay as they are.
+    Same columns, whatever they are called; other rows stay as they are.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs, back = set_aside(docs, ("doc_id", "text"))
     found = find_hits(docs, benchmark, span)
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     found = found.where(n_hit <= max_coverage * F.col("n_words"))
     names = found.columns
     keep = [names.index(c) for c in docs.columns]
     arrow = to_arrow_schema(docs.schema)
-    return found.mapInArrow(lambda it: cut_batches(it, names.index("text"), names.index("hit"), keep, arrow), docs.schema)
+    return found.mapInArrow(lambda it: cut_batches(it, names.index("text"), names.index("hit"), keep, arrow), docs.schema).select(*back)

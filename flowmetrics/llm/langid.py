@@ -6,9 +6,10 @@ any language (with word edges marked), trying five characters, then four,
 and so on.  A text's language is the one with the largest sum.
 
 The model is fitted on a bounded sample: about ``DOCS_PER_LANGUAGE``
-labelled documents of each of the ``MAX_LANGUAGES`` most frequent
-languages, chosen by a hash; ``WORDS_PER_LANGUAGE`` words and ``MAX_GRAMS``
-n-grams are kept, which bounds the broadcast.  Every text is scored whole,
+different labelled texts of every language, chosen by a hash; at most
+``WORDS_PER_LANGUAGE`` words a language and ``MAX_GRAMS`` n-grams are kept,
+fewer with very many languages (``CELLS`` numbers in either table), which
+bounds the broadcast and drops no language.  Every text is scored whole,
 where it is read, without a shuffle.
 """
 
@@ -28,14 +29,23 @@ from pyspark.sql import DataFrame, Window
 from .store import broadcast
 
 DOCS_PER_LANGUAGE = 2000
-MAX_LANGUAGES = 100
 WORDS_PER_LANGUAGE = 20_000
 MAX_GRAMS = 150_000
+CELLS = 16_000_000
 LONGEST = 5
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), lower-cased."""
+    found = LETTERS.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    # LETTERS lets numerals such as one half pass
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f" {word} "
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -56,7 +66,7 @@ class Model:
                 for g in grams_of(word, size):
                     grams[g][at[language]] += n
         self.words, self.word_table = self._logs(words)
-        kept = sorted(grams, key=lambda g: (len(g) > 1, -grams[g].sum(), g))[:MAX_GRAMS]
+        kept = sorted(grams, key=lambda g: (len(g) > 1, -grams[g].sum(), g))[: min(MAX_GRAMS, CELLS // max(1, len(at)))]
         by_size = [{g: grams[g] for g in kept if len(g) == size} for size in range(LONGEST + 1)]
         self.grams, tables = {}, []
         for part in by_size:  # frequencies among n-grams of one length
@@ -107,7 +117,7 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema)
     for batch in batches:
         names, scores = [], []
         for text in batch.column(1):
-            words = LETTERS.findall((text.as_py() or "").lower())
+            words = words_of(text.as_py() or "")
             if not words or not fitted.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -122,11 +132,14 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema)
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> Model:
     """Model of ``labelled`` (text, lang); rows without text or lang are ignored."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    # one row a language; copies of a text count once
+    sizes = rows.select("lang", "digest").distinct().groupBy("lang").count().collect()
+    words_per_language = max(1, min(words_per_language, CELLS // max(1, len(sizes)) ** 2))
     if not sizes:
         return Model([])
     shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1 << 20, math.ceil(docs_per_language / r["count"] * (1 << 20)))) for r in sizes], "lang string, share long")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share"))
+    sample = rows.join(shares, "lang").where(F.pmod("digest", F.lit(1 << 20)) < F.col("share")).dropDuplicates(["lang", "digest"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))

@@ -6,8 +6,8 @@ of symbols and shapes present, weighted by inverse document frequency in the sam
 length.  From the link follow the expected grade and the tail probability
 P(grade >= cut) by which documents are selected.
 
-The fit sees a bounded sample, about ``SAMPLE`` labelled documents chosen
-by a hash of the text; the weights (2**``BITS``) bound the broadcast.  All
+The fit sees a bounded sample, at most ``SAMPLE`` different labelled texts
+chosen by a hash of the text; the weights (2**``BITS``) bound the broadcast.  All
 documents are scored whole, where they are read.
 """
 
@@ -137,8 +137,11 @@ def fit(rated: DataFrame, grades: int, sample: int = SAMPLE) -> CumulativeLink:
 
     spark = rated.sparkSession
     rows = rated.select(F.col("grade").cast("int").alias("grade"), F.col("text").cast("string").alias("text")).where(f"text is not null and grade between 0 and {grades - 1}")
-    share = min(1 << 20, -(-sample * (1 << 20) // max(1, rows.count())))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    # copies of a text count once a grade; the limit is hard
+    share = min(1 << 20, -(-sample * (1 << 20) // max(1, rows.select("grade", "digest").distinct().count())))
+    chosen = rows.where(F.pmod("digest", F.lit(1 << 20)) < share).dropDuplicates(["grade", "digest"])
+    chosen = chosen.orderBy("digest", "grade").limit(sample).select("grade", "text")
     shape = spark.createDataFrame([], "grade int, buckets array<long>").schema
     arrow = to_arrow_schema(shape)
     found = chosen.mapInArrow(lambda it: feature_batches(it, arrow), shape).sort("grade", F.hash("buckets")).toArrow()

@@ -32,7 +32,7 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from .store import materialize
+from .store import materialize, set_aside
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -289,5 +289,6 @@ def assess(docs: DataFrame, tail: float = TAIL) -> DataFrame:
 
 
 def keep_regular(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with the columns of ``docs``."""
-    return assess(docs, tail).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that ``assess`` keeps, with the columns of ``docs``, whatever the others are called."""
+    inner, back = set_aside(docs, ("text", "lang", "source"))
+    return assess(inner, tail).where("kept").select(*back)

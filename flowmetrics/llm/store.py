@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyspark.sql.functions as F
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def set_aside(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but the needed ones under names that nothing else uses, and the columns that undo it."""
+    mark = uuid.uuid4().hex
+    names = {c: c if c in needed else f"_{mark}_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def broadcast(spark: SparkSession, model) -> Broadcast:
     """Broadcast a fitted model of bounded size, classes by value: ``pickle.loads(x.value)`` gives it back."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

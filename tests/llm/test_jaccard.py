@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from flowmetrics.llm import jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,7 +60,7 @@ def test_extra_columns_and_empty_table(docs, clashing, empty):
     import pyspark.sql.functions as F
 
     more = clashing.withColumns({c: F.lit("x") for c in ("block", "shard", "shingles", "leader", "named", "n", "hub", "a", "b")})
-    assert found(more) == found(docs)
+    assert found(more) == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert found(empty) == []
 
 
@@ -101,9 +99,8 @@ def families(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_families(spark, seed):
-    rng = random.Random(seed)
+def test_families(spark):
+    rng = random.Random(1)
     rows = [(i, " ".join(w)) for i, w in enumerate(families(rng))]
     rng.shuffle(rows)
     assert found(table(spark, rows), block_words=3000) == brute(rows)

@@ -15,6 +15,7 @@ from flowmetrics.llm import bagminhash, decontaminate, interpolation, langid, li
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 1 << 62
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def fold(text):
@@ -401,7 +402,41 @@ def test_clashing_columns(clashing):
     assert bagminhash.near_duplicates(clashing).count() == n
     assert interpolation.score(clashing, queries._fold(7) != 2).count() == n
     assert lines.repeated_lines(clashing).count() == n
-    assert lines.drop_repeated_lines(clashing).columns == clashing.columns
-    assert outliers.keep_regular(clashing).columns == clashing.columns
-    benchmark = clashing.select(F.col("doc_id").alias("item_id"), "text").limit(1)
-    assert decontaminate.decontaminate(clashing, benchmark).columns == clashing.columns
+
+
+@pytest.mark.parametrize("stage", [bagminhash.keep_one, lines.drop_repeated_lines, outliers.keep_regular, decontaminate.decontaminate])
+def test_stages_keep_clashing_columns(docs, clashing, stage):
+    more = clashing.withColumns({c: F.lit("x") for c in ("_rid", "_keeper", "_owner", "_removed", "g_lang", "size", "end")})
+    rest = [docs.where("length(text) < 200").select(F.col("doc_id").alias("item_id"), "text").limit(3)] if stage is decontaminate.decontaminate else []
+    got, plain = stage(more, *rest), stage(docs, *rest)
+    assert got.columns == more.columns
+    own = docs.columns
+    rows = [r.asDict() for r in got.collect()]
+    assert all(v == "x" for r in rows for c, v in r.items() if c not in own)
+    assert ordered(tuple(r[c] for c in own) for r in rows) == collected(plain, *own)
+
+
+def test_letterless_texts_are_undetermined(spark):
+    model = langid.fit(spark.createDataFrame([("the house", "en"), ("das haus", "de")], "text string, lang string"))
+    odd = ["½ ²", "Ⅷ ⅷ", "①②", "12 %", "_ _"]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate([*odd, "the½house"])], "doc_id long, text string"), model)
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["und"] * len(odd) + ["en"]
+    assert langid.words_of("Ab½cD 1e_f") == ["ab", "cd", "e", "f"]
+
+
+def test_every_language_is_learned(spark):
+    name = lambda i: "wort" + LETTERS[i // 26] + LETTERS[i % 26]
+    many = [(f"{name(i)} {name(i)}x", f"l{i:03}") for i in range(130)]
+    copies = [("immer nur derselbe text", "copied")] * 5000
+    model = langid.fit(spark.createDataFrame(many + copies, "text string, lang string"), docs_per_language=50)
+    assert model.languages == sorted({lang for _, lang in many} | {"copied"})
+    got = langid.predict(spark.createDataFrame([(0, "derselbe text"), (1, name(128))], "doc_id long, text string"), model)
+    assert collected(got, "doc_id", "lang_pred") == [(0, "copied"), (1, "l128")]
+
+
+def test_ordinal_sample_has_a_hard_limit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordinal.CumulativeLink, "fit", lambda self, grade, row, bucket: seen.append(grade) or self)
+    rows = [("one text that holds a third of all rows", 2)] * 1000 + [(f"text number {i} word{i}", i % 2) for i in range(2000)]
+    ordinal.fit(spark.createDataFrame(rows, "text string, grade int"), grades=3, sample=300)
+    assert 200 <= len(seen[0]) <= 300 and (seen[0] == 2).sum() <= 1
