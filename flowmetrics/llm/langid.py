@@ -40,7 +40,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def words_of(text: str) -> list[str]:
     """Runs of letters (Unicode category L), lower-cased."""
     found = LETTERS.findall(text.lower())
-    if "".join(found).isalpha() or not found:
+    if text.isascii() or "".join(found).isalpha() or not found:
         return found
     # LETTERS lets numerals such as one half pass
     return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
