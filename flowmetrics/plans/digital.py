@@ -8,15 +8,11 @@ from ..functions.nested import availability_features, event_param, latest_shard,
 from ..operators.temporal import current_state
 from ..sources.sinks import shared_path, write_sharded
 from ..sources.standins import web_events, waiting_list
-from .common import with_views
-
-# Shard suffix range: every day of the table (as_of - 30 .. as_of - 1).
-FIRST, LAST = "20240101", "20240130"
+from .common import EVENT_DAYS, with_views
 
 
 def _shards(spark, sf_dir):
-    w = web_events(spark, sf_dir)
-    return w.where(F.col("event_date").between(FIRST, LAST))
+    return EVENT_DAYS.rows(web_events(spark, sf_dir), "event_ts")
 
 
 def sharded_event_counts(spark, sf_dir):
@@ -172,7 +168,7 @@ QUERIES = {
     "availability_profile": availability_profile,
 }
 
-S = f"event_date between '{FIRST}' and '{LAST}'"
+S = EVENT_DAYS.sql("web_events", "event_ts")
 
 
 def _slot(day, part):

@@ -6,20 +6,16 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.core import ntz
-
 from ..operators import health as H
 from ..operators.temporal import trend
 from ..sources.standins import app_errors, cases, feed_files, server_exceptions
-from .common import with_views
+from .common import EVENT_DAYS, with_views
 
-NOW = dt.datetime(2024, 1, 31)
 TODAY = dt.date(2024, 1, 30)
-SINCE_30D = NOW - dt.timedelta(days=30)
 
 
 def _recent(df, column):
-    return df.where(F.col(column) >= ntz(SINCE_30D))
+    return EVENT_DAYS.rows(df, column)
 
 
 def feed_health(spark, sf_dir):
@@ -65,7 +61,7 @@ def volume_anomalies(spark, sf_dir):
 
 
 def _errors(spark, sf_dir):
-    return _recent(app_errors(spark, sf_dir).where(F.col("is_error") == F.lit(True)), "created_at")
+    return _recent(app_errors(spark, sf_dir), "created_at").where(F.col("is_error") == F.lit(True))
 
 
 def errors_by_type(spark, sf_dir):
@@ -206,9 +202,9 @@ QUERIES = {
     "account_errors": account_errors,
 }
 
-R = "received_ts >= timestamp '2024-01-01'"
-E = "is_error = true and created_at >= timestamp '2024-01-01'"
-C = "created_at >= timestamp '2024-01-01'"
+R = EVENT_DAYS.sql("feed_files", "received_ts")
+E = "is_error = true and " + EVENT_DAYS.sql("app_errors", "created_at")
+C = EVENT_DAYS.sql("cases", "created_at")
 
 ORACLE = {
     "feed_health": with_views(
@@ -310,7 +306,7 @@ select 'Support Case', account, created_at, level_1, level_2 from cases where {C
     ),
 }
 
-X = "created_dttm >= timestamp '2024-01-01'"
+X = EVENT_DAYS.sql("server_exceptions", "created_dttm")
 ORACLE["error_timeline"] = with_views(
     ["app_errors"], f"select cast(created_at as date) as date, error_type, count(*) as errors from app_errors where {E} group by 1, 2"
 )
