@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from ..functions.core import ntz
-
 from ..operators.health import timeline
 from ..operators.temporal import trend
 from ..sources.standins import elec_readings, gas_meters, gas_rejections, settlement, supplier_switches
-from .common import with_views
+from .common import LookBack, with_views
 
-# Every day of the line-item and order history.
-SINCE = dt.datetime(1994, 1, 1)
+# Ten years back from a table's latest row: every day of the line-item and order history given.
+HISTORY = LookBack(3653)
 
 
 def _since(df, column):
-    return df.where(F.col(column) >= ntz(SINCE))
+    return HISTORY.rows(df, column)
 
 
 def readings_by_validation(spark, sf_dir):
@@ -101,13 +97,13 @@ def meter_point_timeline(spark, sf_dir, point_id=ELEC_POINT):
     """F16 (A35): readings and supplier switches of one electricity supply point, newest first."""
     r = elec_readings(spark, sf_dir).withColumnsRenamed({"validation_status": "status", "reading_no": "row_no"})
     s = supplier_switches(spark, sf_dir).withColumnRenamed("rejection_code", "status").withColumn("row_no", F.lit(0))
-    sources = [("D0010", _since(r, "received_date")), ("D0300", _since(s, "received_date"))]
+    sources = [("D0010", r), ("D0300", s)]
     return timeline(sources, "point_id", "received_date", ["status", "meter_reading"], "row_no", point_id)
 
 
 def gas_point_returns(spark, sf_dir, point_id=GAS_POINT):
     """F17 (A35): rejected flows of one gas supply point, newest first."""
-    r = _since(gas_rejections(spark, sf_dir), "received_date")
+    r = gas_rejections(spark, sf_dir)
     return timeline([("RET", r)], "point_id", "received_date", ["reason_for_return", "meter_reading"], "return_id", point_id)
 
 
@@ -125,52 +121,51 @@ QUERIES = {
     "switch_rejections": switch_rejections,
 }
 
-S = "timestamp '1994-01-01'"
 ORACLE = {
     "meter_point_timeline": with_views(
         ["elec_readings", "supplier_switches"],
         f"""
 select 'D0010' as source, point_id, received_date, validation_status as status, meter_reading
-from elec_readings where point_id = {ELEC_POINT} and received_date >= timestamp '1994-01-01'
+from elec_readings where point_id = {ELEC_POINT}
 union all
 select 'D0300', point_id, received_date, rejection_code, meter_reading
-from supplier_switches where point_id = {ELEC_POINT} and received_date >= timestamp '1994-01-01'""",
+from supplier_switches where point_id = {ELEC_POINT}""",
     ),
     "gas_point_returns": with_views(
         ["gas_rejections"],
         f"""
 select 'RET' as source, point_id, received_date, reason_for_return, meter_reading
-from gas_rejections where point_id = {GAS_POINT} and received_date >= timestamp '1994-01-01'""",
+from gas_rejections where point_id = {GAS_POINT}""",
     ),
     "readings_by_validation": with_views(
         ["elec_readings"],
         f"""select cast(received_date as date) as date, validation_status, count(*) as readings, count(distinct mpan) as unique_mpans
-from elec_readings where received_date >= {S} group by 1, 2""",
+from elec_readings where {HISTORY.sql("elec_readings", "received_date")} group by 1, 2""",
     ),
     "failed_read_reasons": with_views(
         ["elec_readings"],
         f"""select failed_read_reason, count(*) as count from elec_readings
-where received_date >= {S} and failed_read_reason is not null group by 1""",
+where {HISTORY.sql("elec_readings", "received_date")} and failed_read_reason is not null group by 1""",
     ),
     "settlement_sums": with_views(
         ["settlement"],
         f"""select settlement_date, settlement_code, count(*) as records, sum(total) as total_consumption,
        sum(aa) as total_aa, sum(eac) as total_eac
-from settlement where inserted_ts >= {S} group by 1, 2""",
+from settlement where {HISTORY.sql("settlement", "inserted_ts")} group by 1, 2""",
     ),
     "settlement_by_gsp": with_views(
         ["settlement"],
-        f"select gsp, gsp_name, count(*) as records, sum(total) as total_kwh from settlement where inserted_ts >= {S} group by 1, 2",
+        f"select gsp, gsp_name, count(*) as records, sum(total) as total_kwh from settlement where {HISTORY.sql("settlement", "inserted_ts")} group by 1, 2",
     ),
     "supplier_switch_counts": with_views(
         ["supplier_switches"],
         f"""select cast(received_date as date) as date, from_supplier, to_supplier, count(*) as switches
-from supplier_switches where received_date >= {S} group by 1, 2, 3""",
+from supplier_switches where {HISTORY.sql("supplier_switches", "received_date")} group by 1, 2, 3""",
     ),
     "switch_rejections": with_views(
         ["supplier_switches"],
         f"""select rejection_code, count(*) as rejections from supplier_switches
-where received_date >= {S} and rejection_code is not null group by 1""",
+where {HISTORY.sql("supplier_switches", "received_date")} and rejection_code is not null group by 1""",
     ),
 }
 
@@ -178,10 +173,10 @@ ORACLE["gas_meters_by_status"] = with_views(["gas_meters"], "select meter_status
 ORACLE["gas_rejections_by_reason"] = with_views(
     ["gas_rejections"],
     f"""select cast(received_date as date) as date, reason_for_return, acceptance_code, count(*) as rejections
-from gas_rejections where received_date >= {S} group by 1, 2, 3""",
+from gas_rejections where {HISTORY.sql("gas_rejections", "received_date")} group by 1, 2, 3""",
 )
 ORACLE["gas_rejection_trend"] = with_views(
     ["gas_rejections"],
     f"""select cast(received_date as date) as date, count(*) as total_rejections
-from gas_rejections where received_date >= {S} group by 1""",
+from gas_rejections where {HISTORY.sql("gas_rejections", "received_date")} group by 1""",
 )
