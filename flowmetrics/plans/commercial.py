@@ -12,7 +12,7 @@ from ..operators import links as L
 from ..operators.temporal import current_state
 from ..sources import standins as S
 from ..sources.tables import table
-from .common import with_views
+from .common import HISTORY, with_views
 
 NOW = dt.datetime(2001, 8, 2)
 MAPPING_AT = dt.datetime(1998, 1, 1)
@@ -108,9 +108,6 @@ def product_per_account(spark, sf_dir):
     )
 
 
-SINCE = dt.datetime(1994, 1, 1)
-
-
 def renewal_status(spark, sf_dir):
     """M6: live, not-deleted, not-cancelled renewals by status (``cancelled = FALSE`` drops NULL)."""
     r = current_state(S.renewals(spark, sf_dir)).where(F.col("deleted").isNull() & (F.col("cancelled") == F.lit(False)))
@@ -119,15 +116,13 @@ def renewal_status(spark, sf_dir):
 
 def enrolment_status(spark, sf_dir):
     """M7: enrolments by status since the period start."""
-    e = current_state(S.enrolments(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
+    e = HISTORY.rows(current_state(S.enrolments(spark, sf_dir)), "created_at")
     return e.groupBy("status").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "status")
 
 
 def broker_renewals(spark, sf_dir):
     """M8: renewals by broker x status."""
-    r = current_state(S.renewals(spark, sf_dir)).where(
-        F.col("deleted").isNull() & (F.col("created_at") >= ntz(SINCE))
-    )
+    r = HISTORY.rows(current_state(S.renewals(spark, sf_dir)), "created_at").where(F.col("deleted").isNull())
     return r.groupBy("broker", "status").agg(F.count(F.lit(1)).alias("count")).orderBy("broker", F.col("count").desc(), "status")
 
 
@@ -246,13 +241,13 @@ where effective_to = timestamp '9999-01-01' and deleted is null and cancelled =
 )
 ORACLE["enrolment_status"] = with_views(
     ["enrolments"],
-    """select status, count(*) as count from enrolments
-where effective_to = timestamp '9999-01-01' and created_at >= timestamp '1994-01-01' group by 1""",
+    f"""select status, count(*) as count from enrolments
+where effective_to = timestamp '9999-01-01' and {HISTORY.sql("enrolments", "created_at")} group by 1""",
 )
 ORACLE["broker_renewals"] = with_views(
     ["renewals"],
-    """select broker, status, count(*) as count from renewals
-where effective_to = timestamp '9999-01-01' and deleted is null and created_at >= timestamp '1994-01-01' group by 1, 2""",
+    f"""select broker, status, count(*) as count from renewals
+where effective_to = timestamp '9999-01-01' and deleted is null and {HISTORY.sql("renewals", "created_at")} group by 1, 2""",
 )
 
 ORACLE["accounts_by_payment_method"] = with_views(

@@ -37,6 +37,8 @@ class LookBack:
 
 #: Every day of the event tables given; the documented queries take 7 to 30 days.
 EVENT_DAYS = LookBack(EVENTS_DAYS)
+#: Ten years: every day of the order and line-item history given.
+HISTORY = LookBack(3653)
 
 
 def with_views(names: list[str], body: str, extra_ctes: str = "") -> str:

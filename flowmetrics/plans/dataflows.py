@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.health import timeline
 from ..operators.temporal import trend
 from ..sources.standins import elec_readings, gas_meters, gas_rejections, settlement, supplier_switches
-from .common import LookBack, with_views
-
-# Ten years back from a table's latest row: every day of the line-item and order history given.
-HISTORY = LookBack(3653)
+from .common import HISTORY, with_views
 
 
 def _since(df, column):

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.temporal import current_state, latest_snapshot, trend
 from ..sources.standins import billing_account, dca_allocation, dunning, pastdue, pastdue_payment
 from ..sources.tables import table
-from .common import ORDERS_AS_OF, with_views
-
-SINCE = ORDERS_AS_OF - dt.timedelta(days=1095)
+from .common import HISTORY, ORDERS_AS_OF, with_views
 
 
 def dca_accounts_by_status(spark, sf_dir):
@@ -26,7 +24,7 @@ def dca_accounts_by_status(spark, sf_dir):
 
 def dca_allocations_over_time(spark, sf_dir):
     """B3 (A16): accounts allocated per day and agency."""
-    a = current_state(dca_allocation(spark, sf_dir)).where(F.col("job_run_date") >= F.lit(SINCE))
+    a = HISTORY.rows(current_state(dca_allocation(spark, sf_dir)), "job_run_date")
     return trend(a, "job_run_date", "day", [F.count_distinct("account_number").alias("accounts_allocated")], by=["dca_id"], name="allocation_date").orderBy(
         F.col("allocation_date").desc(), "dca_id"
     )
@@ -44,7 +42,7 @@ def pastdue_by_status(spark, sf_dir):
 
 def collected_per_day(spark, sf_dir):
     """B6 (AG8): payments and amount collected per landing day (string amounts cast to double)."""
-    p = pastdue_payment(spark, sf_dir).where(F.col("landed_date") >= F.lit(SINCE))
+    p = HISTORY.rows(pastdue_payment(spark, sf_dir), "landed_date")
     return trend(
         p,
         "landed_date",
@@ -118,7 +116,7 @@ ORACLE = {
     "dca_allocations_over_time": with_views(
         ["dca_allocation"],
         f"""select job_run_date as allocation_date, dca_id, count(distinct account_number) as accounts_allocated
-from dca_allocation where {CUR} and job_run_date >= date '1998-08-03' group by 1, 2""",
+from dca_allocation where {CUR} and {HISTORY.sql("dca_allocation", "job_run_date")} group by 1, 2""",
     ),
     "pastdue_by_status": with_views(
         ["pastdue"],
@@ -127,8 +125,8 @@ from pastdue where landed_date = (select max(landed_date) from pastdue) group by
     ),
     "collected_per_day": with_views(
         ["pastdue_payment"],
-        """select landed_date as date, count(*) as payments, round(sum(cast(amount as double)), 2) as total_collected
-from pastdue_payment where landed_date >= date '1998-08-03' group by 1""",
+        f"""select landed_date as date, count(*) as payments, round(sum(cast(amount as double)), 2) as total_collected
+from pastdue_payment where {HISTORY.sql("pastdue_payment", "landed_date")} group by 1""",
     ),
     "active_dunning": with_views(
         ["dunning"], f"select count(*) as active_dunning_instances from dunning where {CUR} and cancel_fl != 'Y'"

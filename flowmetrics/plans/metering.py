@@ -6,18 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.core import ntz
-
 from ..functions.core import count_if
 from ..operators.temporal import current_state, latest_snapshot, trend
 from ..sources.standins import bill_periods, bills, journeys, meter_reading, referrals
-from .common import EVENTS_AS_OF, EVENTS_DAYS, with_views
-
-SINCE = dt.datetime(1994, 1, 1)
+from .common import EVENTS_AS_OF, EVENTS_DAYS, HISTORY, with_views
 
 
 def _readings(spark, sf_dir):
-    return current_state(meter_reading(spark, sf_dir)).where(F.col("created_at") >= ntz(SINCE))
+    return HISTORY.rows(current_state(meter_reading(spark, sf_dir)), "created_at")
 
 
 def readings_by_source(spark, sf_dir):
@@ -37,7 +33,7 @@ def reading_status_workflow(spark, sf_dir):
 
 def reads_consumption_by_source(spark, sf_dir):
     """OP9 (AG7): reads and exact decimal consumption per source."""
-    r = meter_reading(spark, sf_dir).where(F.col("read_date") >= F.lit(SINCE.date()))
+    r = HISTORY.rows(meter_reading(spark, sf_dir), "read_date")
     return r.groupBy("source").agg(F.count(F.lit(1)).alias("reads"), F.sum("consumption").cast("decimal(38,2)").alias("total_consumption")).orderBy(
         F.col("reads").desc()
     )
@@ -51,7 +47,7 @@ def daily_submissions(spark, sf_dir):
 
 
 def _bills(spark, sf_dir):
-    return current_state(bills(spark, sf_dir)).where(F.col("created_dttm") >= ntz(SINCE))
+    return HISTORY.rows(current_state(bills(spark, sf_dir)), "created_dttm")
 
 
 def bills_per_day(spark, sf_dir):
@@ -138,8 +134,8 @@ QUERIES = {
 }
 
 CUR = "effective_to = timestamp '9999-01-01'"
-RS = "created_at >= timestamp '1994-01-01'"
-BS = "created_dttm >= timestamp '1994-01-01'"
+RS = HISTORY.sql("meter_reading", "created_at")
+BS = HISTORY.sql("bills", "created_dttm")
 ORACLE = {
     "readings_by_source": with_views(
         ["meter_reading"], f"select source, count(*) as readings from meter_reading where {CUR} and {RS} group by 1"
@@ -150,7 +146,7 @@ ORACLE = {
     "reads_consumption_by_source": with_views(
         ["meter_reading"],
         "select source, count(*) as reads, sum(consumption) as total_consumption from meter_reading "
-        "where read_date >= date '1994-01-01' group by 1",
+        f"where {HISTORY.sql('meter_reading', 'read_date')} group by 1",
     ),
     "daily_submissions": with_views(
         ["meter_reading"],
