@@ -18,7 +18,6 @@ concatenated and cut again, so each block pads one window at most.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, filterfalse
@@ -35,75 +34,161 @@ from .textops import slices
 CAPACITY = 2048
 END_ID = 1
 BLOCK_PIECES = 8192
+#: bytes of text tokenised at once
+SLICE = 1 << 22
 PIECE = "doc_id {id}, start long, length long, doc_tokens long, ids binary"
 
 
 class TokenCache:
-    """Ids (uint32 bytes) by part of a text, bounded.
-
-    A text is lower-cased and split as the tokenizer does it (``SPLIT``);
-    the ids of a text are those of its parts one after another, and the last
-    id of each part carries the end mark, so many new parts are encoded in
-    one call and told apart by it.  Texts that normalisation could change in
-    another way are encoded whole.
+    """Ids of many texts at once, each distinct part encoded once while it is held, bounded.
+
+    Texts are lower-cased and split as the tokenizer does it (``SPLIT``), all
+    texts of a batch in one array of characters; equal parts are brought
+    together by Arrow's dictionary encoding and their ids gathered by part
+    number.  The last id of each part carries the end mark, so many new parts
+    are encoded in one call and told apart by it.  Texts that normalisation
+    could change in another way are encoded whole.
     """
 
-    BOUND = 800_000
-    #: How the tokenizer file splits a lower-cased text, and the same for texts whose only numerals are decimal digits.
+    #: Parts that are held, and characters in them.
+    BOUND = 400_000
+    CHARACTERS = 1 << 24
+    #: How the tokenizer file splits a lower-cased text.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]+|_+)+"
-    NUMERAL = r"[\p{No}\p{Nl}]"
     #: Controls that Python counts as white space and the tokenizer does not, letters lower-cased by context, special tokens.
-    ODD = r"[\x1c-\x1f\u0130\u03a3]|<\|"
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u0130", "\u03a3", "<|")
+    SPACE, LETTER, NUMERAL, OTHER = range(4)
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())["model"]
         # the same model without its own cache: every part comes once
         self.tokenizer.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
-        self.plain, self.any, self.odd, self.numeral = re.compile(self.PLAIN).findall, regex.compile(self.SPLIT).findall, re.compile(self.ODD).search, regex.compile(self.NUMERAL).search
+        # for parts that are lower-cased and split already
+        self.inner = Tokenizer(self.tokenizer.model)
+        self.inner.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def split(self, text: str) -> list[str] | None:
-        if text.isascii():
-            return None if self.odd(text) else self.plain(text.lower())
-        if self.odd(text) or not is_normalized("NFC", text):
-            return None
-        return (self.any if self.numeral(text) else self.plain)(text.lower())
+        self.kinds = np.full(0x110000, self.OTHER, np.uint8)
+        # all characters but the surrogates, which no text holds
+        characters = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+        for kind, pattern in ((self.SPACE, r"\s+"), (self.LETTER, r"\p{L}+"), (self.NUMERAL, r"\p{N}+")):
+            for run in regex.finditer(pattern, characters):
+                low, high = (x + 0x800 if x >= 0xD800 else x for x in run.span())
+                self.kinds[low:high] = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.characters = 0
+        self.ids, self.first = np.zeros(1 << 16, "<u4"), np.zeros(self.BOUND + 1, np.int64)
+
+    def encode(self, text: str, inner: bool = False) -> np.ndarray:
+        tokenizer = self.inner if inner else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def splits(self, text: str) -> bool:
+        """Whether lower-casing and splitting is all that the tokenizer does to a text."""
+        return (text.isascii() or is_normalized("NFC", text)) and not any(x in text for x in self.ODD)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        split = [self.split(t) for t in texts]
-        if len(self.parts) > self.BOUND:
-            self.parts.clear()
-        new = list(set(filterfalse(self.parts.__contains__, chain.from_iterable(filter(None, split)))))
+        plain = [self.splits(t) for t in texts]
+        ids, stops = self.plain_ids([t.lower() for t, ok in zip(texts, plain) if ok])
+        blob, edges, out = ids.tobytes(), iter(zip([0, *(stops * 4).tolist()], (stops * 4).tolist())), []
+        for text, ok in zip(texts, plain):
+            if ok:
+                low, high = next(edges)
+                out.append(blob[low:high])
+            else:
+                out.append(self.encode(text).tobytes())
+        return out
+
+    def plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lower-cased texts, and where those of each text stop."""
+        joined = " ".join(texts) + " "
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kinds = self.kinds[points]
+        begins = self.begins(points, kinds)
+        solid = kinds != self.SPACE
+        parts = self.part_array(joined, points, solid, begins)
+        # parts whose first character comes before the blank after a text
+        until = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+        coded = parts.dictionary_encode()
+        known = self.known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        lo, n = self.first[known], self.first[known + 1] - self.first[known]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(stops[-1]) + np.repeat(lo - stops[:-1], n)]
+        return ids, stops[until]
+
+    def begins(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Where parts begin: at a change of kind, at each numeral, behind a short form."""
+        new = np.empty(len(kinds), bool)
+        new[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=new[1:])
+        mark = np.flatnonzero(points == ord("'"))
+        # an apostrophe alone in its run, before letters, takes the letters of a short form
+        mark = mark[new[mark] & (kinds[mark + 1] == self.LETTER)]
+        next_, after = points[mark + 1], points[np.minimum(mark + 2, len(points) - 1)]
+        is_ = lambda x, letters: np.isin(x, [ord(c) for c in letters])
+        one = is_(next_, "stmd")
+        two = (is_(next_, "rv") & is_(after, "e")) | (is_(next_, "l") & is_(after, "l"))
+        short = mark[one | two]
+        stop = short + np.where(one[one | two], 2, 3)
+        new |= kinds == self.NUMERAL
+        new[short + 1] = False
+        new[stop] = True
+        return np.flatnonzero(new & (kinds != self.SPACE))
+
+    @staticmethod
+    def part_array(joined: str, points: np.ndarray, solid: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The parts, which are what is left between white space, end to end."""
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        before = np.zeros(len(points) + 1, np.int64)
+        if len(raw) == len(points):
+            np.cumsum(solid, out=before[1:])
+            raw = raw[solid]
+        else:
+            width = np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            np.cumsum(width * solid, out=before[1:])
+            raw = raw[np.repeat(solid, width)]
+        offsets = np.append(before[begins], len(raw)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw)))
+
+    def known(self, parts: list[str]) -> np.ndarray:
+        """The number of each part, new ones encoded."""
+        if len(self.numbers) + len(parts) > self.BOUND or self.characters > self.CHARACTERS:
+            self.clear()
+            if len(parts) > self.BOUND:
+                self.first = np.zeros(len(parts) + 1, np.int64)
+        new = list(filterfalse(self.numbers.__contains__, parts))
         for lo in range(0, len(new), 8192):
             self.encode_parts(new[lo : lo + 8192])
-        return [self.encode(t).tobytes() if own is None else b"".join(map(self.parts.__getitem__, own)) for t, own in zip(texts, split)]
+        return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
 
     def encode_parts(self, parts: list[str]) -> None:
-        ids = self.encode(" ".join(parts))
-        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(stops) == len(parts):
-            blob, at = ids.tobytes(), 0
-            for part, stop in zip(parts, stops):
-                self.parts[part], at = blob[at:stop], stop
-        else:
-            for part in parts:
-                self.parts[part] = self.encode(part).tobytes()
+        joined = " ".join(parts)
+        ids = self.encode(joined, True)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts):
+            own = [self.encode(part, True) for part in parts]
+            ids, stops = np.concatenate(own), np.cumsum([len(x) for x in own])
+        count = len(self.numbers)
+        used = self.first[count]
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[used : used + len(ids)] = ids
+        self.first[count + 1 : count + 1 + len(parts)] = used + stops
+        self.characters += len(joined)
+        self.numbers.update(zip(parts, range(count, count + len(parts))))
 
 
 def worker_cache(path: str) -> TokenCache:
-    """The cache of this Python worker, which serves one task after another."""
+    """The cache of this Python worker, which serves one task after another; its bounds keep it small."""
     import sys
     from types import ModuleType
 
@@ -121,7 +206,7 @@ def tokenize_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
     cache = worker_cache(path)
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
-        for lo, size in slices(batch.column(1)):
+        for lo, size in slices(batch.column(1), SLICE):
             part = batch.slice(lo, size)
             ids, start, length, total, row = [], [], [], [], []
             for i, blob in enumerate(cache.texts([t or "" for t in part.column(1).to_pylist()])):

@@ -440,3 +440,17 @@ def test_ordinal_sample_has_a_hard_limit(spark, monkeypatch):
     rows = [("one text that holds a third of all rows", 2)] * 1000 + [(f"text number {i} word{i}", i % 2) for i in range(2000)]
     ordinal.fit(spark.createDataFrame(rows, "text string, grade int"), grades=3, sample=300)
     assert 200 <= len(seen[0]) <= 300 and (seen[0] == 2).sum() <= 1
+
+
+def test_token_cache_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    cache = packing.TokenCache(queries.tokenizer_path())
+    cache.BOUND = 40  # cleared over and over; one batch holds more parts
+    rng = random.Random(5)
+    bits = ["'", "'s", "'re", "'l", "ll", "s", "t", "ve", "m", "B", "é", "ß", "中", "文", "1", "²", "½", "٣", " ", "\n", "_", "-", "..", "́", "İ", "<|", "\x1f", "\x00", "​", "😀", "Σ", "\x85", "\t"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(rng.choice([0, 1, 60]))]
+        got = [np.frombuffer(x, "<u4").tolist() for x in cache.texts(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
