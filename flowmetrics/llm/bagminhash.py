@@ -42,6 +42,8 @@ from .textops import U64, Words, grams, lists, mix, row_of, sequences, slices, w
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: 64-bit words of the bits kept of a bag
+BIT_WORDS = 16
 BANDS = 24
 ROWS = 6
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
@@ -132,7 +134,7 @@ def signature_batches(batches: Iterator[pa.RecordBatch], shingle: int, bands: in
 
 
 def bag_batches(batches: Iterator[pa.RecordBatch], shingle: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(node, bag) of (node, text): one sorted 64-bit value per shingle occurrence, so bags compare as sets."""
+    """(node, bag, bits) of (node, text): one sorted 64-bit value per shingle occurrence, so bags compare as sets, and the bits that values set."""
     table = word_table(fold_case=True)
     for batch in batches:
         for lo, n in slices(batch.column(1)):
@@ -143,7 +145,10 @@ def bag_batches(batches: Iterator[pa.RecordBatch], shingle: int, schema: pa.Sche
             rows = np.repeat(row, counts)
             values = values[np.lexsort((values, rows))]
             edges = np.searchsorted(rows, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], schema=schema)
+            bits = np.zeros((n, BIT_WORDS), U64)
+            np.bitwise_or.at(bits, (rows, (values >> U64(32)).astype(np.int64) % BIT_WORDS), U64(1) << (values >> U64(58)))
+            words = lists(bits.ravel().view(np.int64), np.arange(n + 1) * BIT_WORDS, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()), words], schema=schema)
 
 
 def similar_batches(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -170,15 +175,20 @@ def value_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
 
 
 def reachable(threshold: float):
-    """Whether bags of given sizes and numbers of own values (held by no other bag) can be links.
+    """Whether two bags can be links, by size, number of own values (held by no other bag) and bits.
 
-    Two bags share at most what neither has for itself, which bounds their
-    similarity from above.
+    A bag lacks the other's own values, and a value for every bit that the
+    other sets and it does not; both bound what they share, and so their
+    similarity, from above.
     """
 
-    def possible(n: Column, own: Column, other_n: Column, other_own: Column) -> Column:
-        common = F.least(n - own, other_n - other_own)
-        return common >= threshold * (n + other_n - common)
+    def possible(fact: Column, other: Column) -> Column:
+        def beyond(x: Column, y: Column) -> Column:
+            apart = sum((F.bit_count(x["bits"][i].bitwiseAND(F.bitwise_not(y["bits"][i]))) for i in range(BIT_WORDS)), F.lit(0))
+            return x["n"] - F.greatest(x["own"], apart)
+
+        common = F.least(beyond(fact, other), beyond(other, fact))
+        return common >= threshold * (fact["n"] + other["n"] - common)
 
     return possible
 
@@ -218,16 +228,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     crowded = spread.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
     members = materialize(spread.join(crowded, F.col("key") == F.col("k"), "left_semi"), "buckets")
     speakers = members.groupBy("speaker").agg(F.any_value("node").alias("node"))
-    bag_arrow = _arrow(spark, "node long, bag binary")
+    bag_shape = "node long, bag binary, bits array<long>"
+    bag_arrow = _arrow(spark, bag_shape)
     texts = keyed.select("rid", "text").join(speakers, F.col("rid") == F.col("speaker")).select("node", "text")
-    bags = materialize(texts.mapInArrow(lambda it: bag_batches(it, shingle, bag_arrow), "node long, bag binary").dropDuplicates(["node"]), "bags")
+    bags = materialize(texts.mapInArrow(lambda it: bag_batches(it, shingle, bag_arrow), bag_shape).dropDuplicates(["node"]), "bags")
     value_arrow = _arrow(spark, "node long, value long")
-    values = bags.mapInArrow(lambda it: value_batches(it, value_arrow), "node long, value long")
+    values = bags.select("node", "bag").mapInArrow(lambda it: value_batches(it, value_arrow), "node long, value long")
     lonely = values.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").groupBy(F.col("lo").alias("owner")).agg(F.count("*").alias("own"))
-    facts = bags.select(F.col("node").alias("sized"), (F.octet_length("bag") / 8).cast("long").alias("n")).join(lonely, F.col("sized") == F.col("owner"), "left").select("sized", "n", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    facts = bags.select(F.col("node").alias("sized"), (F.octet_length("bag") / 8).cast("long").alias("n"), "bits").join(lonely, F.col("sized") == F.col("owner"), "left").select("sized", "n", F.coalesce("own", F.lit(0).cast("long")).alias("own"), "bits")
     # a bag whose own values alone keep it from the threshold links with none
     linkable = materialize(facts.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "linkable")
-    weighed = materialize(members.select("key", "node").join(linkable, F.col("node") == F.col("sized")).select("key", "node", "n", "own"), "weighed")
+    weighed = materialize(members.select("key", "node").join(linkable, F.col("node") == F.col("sized")).select("key", "node", F.struct("n", "own", "bits").alias("fact")), "weighed")
     labels = link_buckets(weighed, lambda pairs: _verify(pairs, bags, threshold), reachable(threshold))
 
     named = labels.select(F.col("node").alias("named"), "component")

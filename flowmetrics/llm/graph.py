@@ -36,50 +36,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[..., Column] | None = None) -> DataFrame:
-    """(node, component) of the nodes that verified links connect; members: (key, node) rows of buckets, with n and own if ``possible`` is given.
+    """(node, component) of the nodes that verified links connect; members: (key, node) rows of buckets, with a column ``fact`` about the node if ``possible`` is given.
 
     ``verify`` takes candidate pairs (a, b) and returns those that are links;
-    ``possible(n, own, hub_n, hub_own)`` is false only for pairs that cannot
-    be links, which then count as compared.
+    ``possible(fact, hub_fact)`` is false only for pairs that cannot be
+    links, which then count as compared.
     First every node is compared with one node, the smallest hub of all its
     buckets, which joins most of a large group by one comparison a member.
     Then, in buckets that still hold several components, members are
-    compared with hubs: one of the largest component first, then eight, 64,
-    ... outside it.  A hub is compared with all members of other components
+    compared with hubs: one of the largest component first, then about eight,
+    64, ... outside it.  A hub is compared with all members of other components
     and retires.  When no bucket holds two components, every pair in a
     bucket has been compared or is connected, so the components are those
     of all links; n near copies take about n comparisons.
     """
     if possible is None:
-        members = members.select("key", "node", F.lit(0).alias("n"), F.lit(0).alias("own"))
+        members = members.select("key", "node", F.lit(0).alias("fact"))
         possible = lambda *_: F.lit(True)
-    hubs = members.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "n", "own")).alias("h")).select("k", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own"))
-    can_link = possible(F.col("n"), F.col("own"), F.col("hub_n"), F.col("hub_own"))
+    hubs = members.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "fact")).alias("h")).select("k", F.col("h.node").alias("hub"), F.col("h.fact").alias("hub_fact"))
+    can_link = possible(F.col("fact"), F.col("hub_fact"))
     nearest = members.join(hubs, (F.col("key") == F.col("k")) & can_link).groupBy("node").agg(F.min("hub").alias("hub"))
     checked = materialize(nearest.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), "pairs")
     labels = components(verify(checked))
     several = 1
     while True:
         named = labels.select(F.col("node").alias("named"), "component")
-        now = members.join(named, F.col("node") == F.col("named"), "left").select("key", "node", "n", "own", F.coalesce("component", "node").alias("component"))
+        now = members.join(named, F.col("node") == F.col("named"), "left").select("key", "node", "fact", F.coalesce("component", "node").alias("component"))
+        now = materialize(now, "named")
         sizes = now.groupBy("key", "component").agg(F.count("*").alias("count"), F.min("node").alias("least"))
         # a bucket whose members are all in one component is done
         open_ = sizes.groupBy(F.col("key").alias("k")).agg(F.max_by(F.struct("component", "least"), F.struct("count", "component")).alias("top"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
         open_ = open_.select("k", F.col("top.component").alias("largest"), F.col("top.least").alias("inner"), F.ceil((F.col("all") - F.col("most")) / several).alias("every"))
-        now = materialize(now.join(open_, F.col("key") == F.col("k")).select("key", "node", "n", "own", "component", "largest", "inner", "every"), "members")
+        # every outside member is a hub once ``several`` reaches their number
+        is_hub = F.col("node") == F.col("inner") if several == 1 else (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", "key"), F.col("every")) == 0)
+        now = now.join(open_, F.col("key") == F.col("k")).select("key", "node", "fact", "component", is_hub.alias("is_hub"))
+        now = materialize(now, "members")
         if now.isEmpty():
             return labels
-        if several == 1:
-            picked = now.where("node = inner")
-        else:
-            outside = now.where("component != largest")
-            least = outside.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("least"))
-            picked = outside.join(least, F.col("key") == F.col("k")).where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", "key"), F.col("every")) == 0))
-        picked = materialize(picked.select(F.col("key").alias("k"), F.col("node").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own")), "hubs")
+        picked = now.where("is_hub").select(F.col("key").alias("k"), F.col("node").alias("hub"), F.col("component").alias("hub_component"), F.col("fact").alias("hub_fact"))
         meets = now.join(picked, (F.col("key") == F.col("k")) & (F.col("component") != F.col("hub_component")) & can_link).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         fresh = materialize(meets.join(checked, ["a", "b"], "left_anti"), "pairs")
         checked = checked.unionAll(fresh)
         found = verify(fresh)
         labels = components(found.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        members = now.select("key", "node", "n", "own").join(picked, (F.col("key") == F.col("k")) & (F.col("node") == F.col("hub")), "left_anti")
+        members = now.where("not is_hub").select("key", "node", "fact")
         several *= HUBS_GROW
