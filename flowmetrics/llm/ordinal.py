@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .store import broadcast
+from .store import broadcast, materialize
 from .textops import U64, Words, lists, mix, row_of, slices, word_table
 
 BITS = 18
@@ -131,17 +131,38 @@ def score_batches(batches: Iterator[pa.RecordBatch], model, cut: int, schema: pa
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(1)), pa.array(tails[:, cut - 1]), pa.array((tails[:, cut - 1] >= 0.5) & any_word)], schema=schema)
 
 
+def _least(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of ``rows`` (digest, grade, ...), one of each digest and grade, those of the least digests."""
+    pairs = rows.select("grade", "digest").distinct()
+    # few rows go on to be sorted; the limit is hard
+    share = min(1 << 20, -(-sample * (1 << 20) // max(1, pairs.count())))
+    chosen = rows.where(F.pmod("digest", F.lit(1 << 20)) < share).dropDuplicates(["grade", "digest"])
+    return chosen.orderBy("digest", "grade").limit(sample)
+
+
+def sample_rated(docs: DataFrame, labels: DataFrame, grades: int, sample: int = SAMPLE) -> DataFrame:
+    """The rows (text, grade) that ``fit`` takes of ``docs`` (doc_id, text) with the grades of ``labels`` (doc_id, grade).
+
+    Only ids and hashes of the texts are joined and shuffled; the chosen
+    texts, ``sample`` at most, are fetched where ``docs`` is read.
+    """
+    text = F.col("text").cast("string")
+    hashed = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("digest"))
+    marked = labels.select(F.col("doc_id").alias("of"), F.col("grade").cast("int").alias("grade")).where(f"grade between 0 and {grades - 1}")
+    rated = hashed.join(marked, F.col("doc_id") == F.col("of")).groupBy("grade", "digest").agg(F.min("doc_id").alias("of"))
+    chosen = _least(materialize(rated, "rated"), sample)
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("digest")))
+    return found.dropDuplicates(["grade", "digest"]).select("text", "grade")
+
+
 def fit(rated: DataFrame, grades: int, sample: int = SAMPLE) -> CumulativeLink:
     """Model of ``rated`` (text, grade from 0 to grades - 1); rows without grade or text, or off the scale, are ignored."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = rated.sparkSession
     rows = rated.select(F.col("grade").cast("int").alias("grade"), F.col("text").cast("string").alias("text")).where(f"text is not null and grade between 0 and {grades - 1}")
-    rows = rows.withColumn("digest", F.xxhash64("text"))
-    # copies of a text count once a grade; the limit is hard
-    share = min(1 << 20, -(-sample * (1 << 20) // max(1, rows.select("grade", "digest").distinct().count())))
-    chosen = rows.where(F.pmod("digest", F.lit(1 << 20)) < share).dropDuplicates(["grade", "digest"])
-    chosen = chosen.orderBy("digest", "grade").limit(sample).select("grade", "text")
+    # copies of a text count once a grade
+    chosen = _least(rows.withColumn("digest", F.xxhash64("text")), sample).select("grade", "text")
     shape = spark.createDataFrame([], "grade int, buckets array<long>").schema
     arrow = to_arrow_schema(shape)
     found = chosen.mapInArrow(lambda it: feature_batches(it, arrow), shape).sort("grade", F.hash("buckets")).toArrow()

@@ -442,6 +442,20 @@ def test_ordinal_sample_has_a_hard_limit(spark, monkeypatch):
     assert 200 <= len(seen[0]) <= 300 and (seen[0] == 2).sum() <= 1
 
 
+def test_ordinal_sample_is_chosen_by_ids_and_hashes(spark):
+    texts = [(i, f"text number {i % 150} word") for i in range(300)] + [(5, "another text of id 5"), (None, "no id"), (7, None), (300, "unrated")]
+    grades = [(i, i % 4) for i in range(300)] + [(5, 1), (5, 0), (None, 1), (9, None), (999, 1)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(grades, "doc_id long, grade int")
+    pairs = {(t, g) for i, t in texts for j, g in grades if i is not None and i == j and t is not None and g is not None and g < 3}
+    got = [tuple(r) for r in ordinal.sample_rated(docs, labels, grades=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    few = {tuple(r) for r in ordinal.sample_rated(docs, labels, grades=3, sample=40).collect()}
+    assert len(few) <= 40 and few <= pairs
+    # what is exchanged holds no text but that of chosen rows, behind the broadcast join
+    plan = ordinal.sample_rated(docs, labels, grades=3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_token_cache_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
