@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 
 from .graph import link_buckets
 from .store import materialize, set_aside
-from .textops import U64, Words, grams, lists, mix, row_of, sequences, slices, word_table
+from .textops import U64, Words, frugal, grams, lists, mix, row_of, sequences, slices, word_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -112,6 +112,7 @@ def _points(row, seed, counts, low, width, until, registers, best) -> None:
         np.minimum.at(best, row[hit] * registers + register[hit].astype(np.int64), key)
 
 
+@frugal
 def signature_batches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(rid, did, node, n_words, bands) of (rid, did, text)."""
     table = word_table(fold_case=True)
@@ -133,6 +134,7 @@ def signature_batches(batches: Iterator[pa.RecordBatch], shingle: int, bands: in
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(np.diff(words.first), pa.int64()), lists(keys[filled].ravel().view(np.int64), edges, pa.int64())], schema=schema)
 
 
+@frugal
 def bag_batches(batches: Iterator[pa.RecordBatch], shingle: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(node, bag, bits) of (node, text): one sorted 64-bit value per shingle occurrence, so bags compare as sets, and the bits that values set."""
     table = word_table(fold_case=True)
@@ -151,6 +153,7 @@ def bag_batches(batches: Iterator[pa.RecordBatch], shingle: int, schema: pa.Sche
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()), words], schema=schema)
 
 
+@frugal
 def similar_batches(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of (a, b, bag_a, bag_b) whose weighted Jaccard similarity reaches the threshold."""
     for batch in batches:
@@ -166,6 +169,7 @@ def similar_batches(batches: Iterator[pa.RecordBatch], threshold: float, schema:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=schema)
 
 
+@frugal
 def value_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(node, value) of every value of (node, bag)."""
     for batch in batches:

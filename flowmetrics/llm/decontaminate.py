@@ -25,7 +25,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .store import broadcast, materialize, set_aside
-from .textops import Words, slices, word_table
+from .textops import Words, frugal, slices, word_table
 
 SPAN = 10
 MAX_WORDS = 1_000_000
@@ -149,6 +149,7 @@ def build(items: list[tuple[str, list[int]]], span: int):
     return [n for n, _ in items], vocabulary, auto, min([span, *(len(ws) for ws in coded if ws)])
 
 
+@frugal
 def scan_batches(batches: Iterator[pa.RecordBatch], model, text_at: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Append this automaton's hit ranges (merged word ranges) and items to the columns hit and items."""
     names, vocabulary, auto, least = pickle.loads(model.value)
@@ -196,6 +197,7 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@frugal
 def fingerprints(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(item, word fingerprints) of each benchmark item."""
     table = word_table(word_byte, fold_case=True)
@@ -251,6 +253,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+@frugal
 def cut_batches(batches: Iterator[pa.RecordBatch], text_at: int, hit_at: int, keep: list[int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     table = word_table(word_byte, fold_case=True)
     for batch in batches:

@@ -29,7 +29,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .store import materialize
-from .textops import slices
+from .textops import frugal, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -198,6 +198,7 @@ def worker_cache(path: str) -> TokenCache:
     return held[path]
 
 
+@frugal
 def tokenize_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Whole windows and the rest of each document, with their ids."""
     import os
@@ -256,6 +257,7 @@ class SumOfSquares:
         return window, level, level + size == full
 
 
+@frugal
 def pack_blocks(batches: Iterator[pa.RecordBatch], capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block; each block is packed as one online stream."""
     out: list[tuple] = []

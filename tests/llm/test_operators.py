@@ -468,3 +468,38 @@ def test_token_cache_equals_the_tokenizer():
         texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(rng.choice([0, 1, 60]))]
         got = [np.frombuffer(x, "<u4").tolist() for x in cache.texts(texts)]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+MEMORY = """
+import random, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+from flowmetrics.llm import packing, queries
+
+def held():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+
+rng = random.Random(4)
+vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(150000)]
+texts = [" ".join(rng.choices(vocabulary, k=600)) for _ in range(8000)]
+path = queries.tokenizer_path()
+packing.worker_cache(path)
+schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+before = held()
+for _ in packing.tokenize_pieces(iter([batch]), path, 2048, schema):
+    pass
+del _
+print("held", held() - before)
+"""
+
+
+def test_an_idle_worker_hands_memory_back():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", MEMORY.format(root=root)], capture_output=True, text=True, timeout=120)
+    assert "held" in said.stdout, said.stderr
+    assert float(said.stdout.split("held")[1]) < 20
