@@ -50,7 +50,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .graph import components
 from .interpolation import planes, thick, thin, unplanes
 from .store import materialize
-from .textops import U64, Words, grams, mix, row_of, sequences, slices, word_table
+from .textops import U64, Words, frugal, grams, mix, sequences, slices, word_table
 
 SHINGLE = 4
 PERCENT = 85
@@ -83,13 +83,18 @@ def arrow(df: DataFrame, shape: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
 
+@frugal
 def block_batches(batches: Iterator[pa.RecordBatch], block_words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One row per block of documents, of (doc_id, text): words as codes into the block's vocabulary."""
+    """One row per block of documents, of (doc_id, text): words as codes into the block's vocabulary.
+
+    ``hashes`` and ``own`` hold the vocabulary of each run of rows and the codes into it.
+    """
     table = word_table(fold_case=True)
-    ids, counts, hashes, size = [], [], [], 0
+    ids, counts, hashes, own, size = [], [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        vocabulary, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocabulary = np.unique(np.concatenate(hashes))
+        codes = np.concatenate([np.searchsorted(vocabulary, x).astype("<u4")[c] for x, c in zip(hashes, own)])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         values = [pa.array([0], pa.int64()), one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([packed(codes)], pa.binary())]
         return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema)], schema=schema)
@@ -100,11 +105,13 @@ def block_batches(batches: Iterator[pa.RecordBatch], block_words: int, schema: p
             words = Words.of(part.column(1), table)
             ids.append(part.column(0))
             counts.append(np.diff(words.first))
-            hashes.append(words.hashes())
-            size += len(hashes[-1])
+            vocabulary, codes = np.unique(words.hashes(), return_inverse=True)
+            hashes.append(vocabulary)
+            own.append(codes.astype(np.int32))
+            size += len(codes)
             if size >= block_words:
                 yield row()
-                ids, counts, hashes, size = [], [], [], 0
+                ids, counts, hashes, own, size = [], [], [], [], 0
     if ids:
         yield row()
 
@@ -113,14 +120,17 @@ def sets_of(words, vocabulary: bytes, codes: bytes, shingle: int) -> tuple[np.nd
     """(row, shingle) of every document's set, sorted by shingle, then row, and the number of rows."""
     first = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
     hashes = np.frombuffer(vocabulary, "<u8")[unpacked(codes)]
-    values, at = grams(hashes, first, shingle)
-    row = row_of(at, first)
     size = np.diff(first)
     short = np.flatnonzero((size > 0) & (size < shingle))
-    if len(short):
-        values, row = np.concatenate([values, sequences(hashes, first)[short]]), np.concatenate([row, short])
-    order = np.lexsort((row, values))
-    values, row = values[order], row[order]
+    few = sequences(hashes[np.repeat(size < shingle, size)], np.concatenate([[0], np.cumsum(size[short])])) if len(short) else np.zeros(0, U64)
+    # a block is large: rows are narrow numbers, and each array goes as soon as it has served
+    values = np.concatenate([grams(hashes, first, shingle)[0], few])
+    del hashes
+    row = np.concatenate([np.repeat(np.arange(len(size), dtype=np.int32), np.maximum(size - shingle + 1, 0)), short.astype(np.int32)])
+    order = np.argsort(values, kind="stable")  # rows of one value ascend as before
+    values = values[order]
+    row = row[order]
+    del order
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     return row[new], values[new], len(size)
@@ -133,6 +143,7 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(values))
 
 
+@frugal
 def ask_batches(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Distinct shingles of each block by shard, and in how many of its documents each is.
 
@@ -152,6 +163,7 @@ def ask_batches(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, sche
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
+@frugal
 def reply_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Which of a block's shingles other documents have too, and in how many documents those are; rows come sorted by shard."""
     held: list[tuple] = []
@@ -174,6 +186,7 @@ def reply_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
         yield answer()
 
 
+@frugal
 def set_batches(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, node, shingles) per document of answered blocks; node and shingles only of sets that may link.
 
@@ -230,6 +243,7 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, block_words: int)
     return materialize(answered.mapInArrow(lambda it: set_batches(it, shingle, percent, bits, out_arrow), out), "sets")
 
 
+@frugal
 def prefix_batches(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(key, node, n, left) of (node, n, shingles): the entries of each set's prefix, in its block of the list and the next."""
     width = -np.log(percent / 100 - 1e-6) if percent < 100 else 1e-6
@@ -252,6 +266,7 @@ def prefix_batches(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.S
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(rest), pa.int64())], schema=schema)
 
 
+@frugal
 def relate_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """``RELATED`` of (node, n, shingles, leader, leader_n, leader_shingles): overlap with the leader, and the difference."""
     for batch in batches:
@@ -266,6 +281,7 @@ def relate_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
+@frugal
 def element_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(leader, kind, element, node) of (leader, node, lacks, more); kind is 0 for what a set lacks, 1 for what it has besides."""
     for batch in batches:
@@ -277,6 +293,7 @@ def element_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Ite
             yield pa.RecordBatch.from_arrays([leaders.take(at), pa.array(np.full(len(values), kind), pa.int32()), pa.array(values.view(np.int64)), nodes.take(at)], schema=schema)
 
 
+@frugal
 def correct_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(node, leader, n, size, lacks, more) about the reference, of the same about the leader and the elements to flip."""
     for batch in batches:
@@ -295,6 +312,7 @@ def _links(common: np.ndarray | int, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+@frugal
 def full_batches(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The links (a, b) of (a, b, n_a, n_b, shingles_a, shingles_b)."""
     for batch in batches:
@@ -304,6 +322,7 @@ def full_batches(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Sch
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=schema)
 
 
+@frugal
 def derived_batches(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The links (a, b) of (a, b, n_a, n_b, size, lacks_a, more_a, lacks_b, more_b): followers of one leader, by their differences."""
     for batch in batches:

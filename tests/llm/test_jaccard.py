@@ -122,3 +122,21 @@ def test_very_long_text(spark):
     long = words_of(rng, 40000, 10**6)
     rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 300))), (3, " ".join(long[:30000])), (4, None)]
     assert found(table(spark, rows), block_words=10000) == brute(rows)
+
+
+def test_sets_of_a_block_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join(str(rng.randrange(20000)) for _ in range(400)) for _ in range(500)]
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("codes", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (block,) = (b.to_pylist()[0] for b in jaccard.block_batches(iter([batch]), 1 << 40, schema))
+    tracemalloc.start()
+    row, values, n = jaccard.sets_of(block["words"], block["vocabulary"], block["codes"], 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the result has 12 bytes a word, and 8 before sorting
+    assert n == 500 and len(row) == len(values) and most < 40 * 400 * 500
