@@ -8,10 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
 from flowmetrics.llm import bagminhash, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, queries, secrets, substrings
+from flowmetrics.llm.graph import link_buckets
+from flowmetrics.llm.textops import lists
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 1 << 62
@@ -288,6 +291,44 @@ def test_band_keys_do_not_depend_on_the_batch():
     assert all((together[i] == lines.band_keys([normals[i]], 4)[0]).all() for i in (0, 1, 2, 3, 5000, 11999))
 
 
+def test_lengths_and_bits_keep_every_near_pair():
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        line = [rng.choice("abcdeé ü") for _ in range(rng.choice([1, 3, 10, 19, 20, 90, 400]))]
+        near = list(line)
+        for _ in range(len(line) // 10):  # edits at most; the longer of both is as long as the line
+            at = rng.randrange(len(near))
+            near[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["ß"]])
+        pairs += ["".join(line), "".join(near)]
+    sizes = np.array([len(x) for x in pairs])
+    bits, key = lines.gram_bits(pairs), 12345 << lines.LENGTH_BITS
+    keys = lines.with_length(np.full(len(pairs), key), sizes)
+    assert set(keys >> lines.LENGTH_BITS) == {12345}
+    at = np.arange(0, len(pairs), 2)
+    rows = [pa.array(keys), pa.array(np.arange(len(pairs))), pa.array(sizes), lists(bits.ravel(), np.arange(len(pairs) + 1) * lines.BIT_WORDS, pa.int64())]
+    assert lines.near_lengths(0.9)(rows, at, at + 1).all()
+    assert lines.near_bits(0.9)(rows, at, at + 1).all()
+    long = at[(sizes[at] >= 90) & (sizes[np.roll(at, -1)] >= 90)]
+    assert lines.near_bits(0.9)(rows, long, (long + 2) % len(pairs)).mean() < 0.5  # unlike lines
+
+
+def test_unlike_lines_that_meet_are_not_compared(spark, monkeypatch):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    common, near = words(12), words(30)
+    texts = [f"{common} {words(18)}" for _ in range(60)] + [f"{common} {words(32)}" for _ in range(60)] + [near, f"{near} z"]
+    compared = []
+
+    def watched(members, verify, *more):
+        return link_buckets(members, lambda pairs: compared.append(pairs.count()) or verify(pairs), *more)
+
+    monkeypatch.setattr(lines, "link_buckets", watched)
+    got = dict(collected(lines.repeated_lines(spark.createDataFrame(enumerate(texts), "doc_id long, text string")), "doc_id", "removed"))
+    assert [i for i, gone in got.items() if gone] == [121]
+    assert sum(compared) <= 10  # 103 without lengths and bits
+
+
 def test_block_keys_meet_within_the_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
