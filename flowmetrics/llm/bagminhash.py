@@ -37,7 +37,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from .graph import link_buckets
-from .store import materialize, set_aside
+from .store import materialize, scratch, set_aside
 from .textops import U64, Words, frugal, grams, lists, mix, row_of, sequences, slices, word_table
 
 SHINGLE = 5
@@ -211,22 +211,9 @@ def _verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return materialize(rows.mapInArrow(lambda it: similar_batches(it, threshold, arrow), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, kept, rid.
-
-    class_id is the smallest doc_id of the class (null only if all are
-    null), ``kept`` marks one row of each class: the smallest (doc_id, rid),
-    nulls last; rows that are equal in doc_id and text are marked alike, see
-    ``keep_one``.  Words are runs without ASCII white space, A-Z folded; a
-    text of one to four words is one shingle; a null or empty text is in a
-    class of its own and kept.  Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("did"), text.alias("text"))
-    shape = "rid long, did long, node long, n_words long, bands array<long>"
-    arrow = _arrow(spark, shape)
-    found = materialize(keyed.mapInArrow(lambda it: signature_batches(it, shingle, bands, rows, arrow), shape), "signatures")
+def _classes(keyed: DataFrame, found: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(node, component) of the nodes of ``found`` that links connect."""
+    spark = keyed.sparkSession
     nodes = found.where("n_words > 0").groupBy("node").agg(F.min("rid").alias("speaker"), F.any_value("bands").alias("bands"))
     spread = materialize(nodes.select("node", "speaker", F.explode("bands").alias("key")), "bands")
     crowded = spread.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
@@ -243,7 +230,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     # a bag whose own values alone keep it from the threshold links with none
     linkable = materialize(facts.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "linkable")
     weighed = materialize(members.select("key", "node").join(linkable, F.col("node") == F.col("sized")).select("key", "node", F.struct("n", "own", "bits").alias("fact")), "weighed")
-    labels = link_buckets(weighed, lambda pairs: _verify(pairs, bags, threshold), reachable(threshold))
+    return materialize(link_buckets(weighed, lambda pairs: _verify(pairs, bags, threshold), reachable(threshold)), "classes", stays=True)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, kept, rid.
+
+    class_id is the smallest doc_id of the class (null only if all are
+    null), ``kept`` marks one row of each class: the smallest (doc_id, rid),
+    nulls last; rows that are equal in doc_id and text are marked alike, see
+    ``keep_one``.  Words are runs without ASCII white space, A-Z folded; a
+    text of one to four words is one shingle; a null or empty text is in a
+    class of its own and kept.  Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("did"), text.alias("text"))
+    shape = "rid long, did long, node long, n_words long, bands array<long>"
+    arrow = _arrow(spark, shape)
+    found = materialize(keyed.mapInArrow(lambda it: signature_batches(it, shingle, bands, rows, arrow), shape), "signatures")
+    with scratch(spark):
+        labels = _classes(keyed, found, threshold, shingle)
 
     named = labels.select(F.col("node").alias("named"), "component")
     worded = found.where("n_words > 0").join(named, F.col("node") == F.col("named"), "left").select("rid", "did", F.coalesce("component", "node").alias("component"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
-from flowmetrics.llm import bagminhash, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, queries, secrets, substrings
+from flowmetrics.llm import bagminhash, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, queries, secrets, store, substrings
 from flowmetrics.llm.graph import link_buckets
 from flowmetrics.llm.textops import lists
 
@@ -313,6 +313,60 @@ def test_lengths_and_bits_keep_every_near_pair():
     assert lines.near_bits(0.9)(rows, long, (long + 2) % len(pairs)).mean() < 0.5  # unlike lines
 
 
+def test_within_counts_edits_as_a_table_does():
+    rng = random.Random(21)
+    for _ in range(600):
+        line = [rng.choice("abé ") for _ in range(rng.choice([0, 1, 5, 40, 90]))]
+        near = list(line)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(near))
+            near[at : at + rng.randint(0, 2)] = rng.choice([[], ["b"], ["ß", "a"]])
+        row = list(range(len(near) + 1))
+        for i, x in enumerate(line, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(near, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        for most in {0, max(row[-1] - 1, 0), row[-1], row[-1] + 1, 9}:
+            assert lines.within("".join(line), "".join(near), most) == (row[-1] <= most)
+
+
+def test_letter_counts_tell_long_lines_apart():
+    rng = random.Random(4)
+    line = lambda letters: "".join(rng.choice(letters) for _ in range(1500))
+    texts = [line("abcdefgh"), line("abcdijkl")]
+    texts += [texts[0][:700] + "xyz" * 49 + texts[0][847:], "e" * 1500, "e" * 1350]  # 147 and 150 edits
+    runs, at = np.arange(len(texts) + 1), np.array([0, 0, 3])
+    rows = [None, pa.array(runs[:-1]), pa.array([len(x) for x in texts]), lists(lines.gram_bits(texts).ravel(), runs * lines.BIT_WORDS, pa.int64())]
+    rows.append(lists(lines.letter_counts(texts), runs * lines.LETTERS, pa.int8()))
+    assert lines.near_facts(0.9)(rows, at, np.array([1, 2, 4])).tolist() == [False, True, True]
+    # long lines may set every bit
+    rows[3] = lists(np.full(len(texts) * lines.BIT_WORDS, -1), runs * lines.BIT_WORDS, pa.int64())
+    assert lines.near_bits(0.9)(rows, at, np.array([1, 2, 4])).all()
+    assert lines.near_facts(0.9)(rows, at, np.array([1, 2, 4])).tolist() == [False, True, True]
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    table = spark.createDataFrame([(i, f"{text} {i % 3}\nown {'xyzu'[i % 4] * 20}") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(store, "shared_dir", lambda _: tmp_path.as_uri())
+    lines.repeated_lines(table).collect()
+    assert {x.name.split("-")[0] for x in tmp_path.iterdir()} == {"lines", "repeated"}
+    bagminhash.near_duplicates(table).collect()
+    assert {x.name.split("-")[0] for x in tmp_path.iterdir()} == {"lines", "repeated", "signatures", "classes"}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _: tmp_path.as_uri())
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    counts = spark.range(0, 20000, 1, 4).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids"))
+    table = store.materialize(counts, "counts")
+    assert not files() - before
+    assert table.count() == 7
+
+
 def test_unlike_lines_that_meet_are_not_compared(spark, monkeypatch):
     rng = random.Random(2)
     words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
