@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
-from flowmetrics.llm import bagminhash, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, queries, secrets, store, substrings
+from flowmetrics.llm import bagminhash, dealing, decontaminate, interpolation, langid, lines, ordinal, outliers, packing, queries, secrets, store, substrings
 from flowmetrics.llm.graph import link_buckets
 from flowmetrics.llm.textops import lists
 
@@ -383,6 +383,58 @@ def test_unlike_lines_that_meet_are_not_compared(spark, monkeypatch):
     assert sum(compared) <= 10  # 103 without lengths and bits
 
 
+def test_few_edits_and_many_agree_with_within():
+    rng = random.Random(12)
+    pairs = []
+    for size in (0, 1, 7, 63, 64, 65, 129, 300):
+        for _ in range(60):
+            line = [rng.choice("abcé ") for _ in range(size)]
+            near = list(line)
+            for _ in range(rng.randint(0, 14)):
+                at = rng.randint(0, len(near))
+                near[at : at + rng.randint(0, 2)] = rng.choice([[], ["x"], ["ß", "a"]])
+            pairs.append(("".join(line), "".join(near), rng.randint(0, 20)))
+    want = [lines.within(*pair) for pair in pairs]
+    assert lines.within_many(pairs) == want
+    assert all(linked for pair, linked in zip(pairs, want) if lines.few_edits(*pair))
+    assert lines.few_edits("one word of many in a line", "one other word of many in a line", 6)
+
+
+def test_dealt_columns_come_back_by_key():
+    rng = np.random.default_rng(3)
+    parts = [[rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(n)] for n in (5, 0, 300_000, 7)]
+    schema = pa.schema([("bucket", pa.int64()), ("c0", pa.binary()), ("c1", pa.binary())])
+    batches = list(dealing.deal(iter(parts), 256, schema))
+    assert sum(len(b) for b in batches) <= 2 * 256  # a row a bucket and run, not one a key
+    rows = pa.Table.from_batches(batches).sort_by("bucket").to_batches(max_chunksize=100)
+    got = [(bucket, *pair) for bucket, columns in dealing.gathered(iter(rows), (np.uint64, np.int64)) for pair in zip(*(c.tolist() for c in columns))]
+    assert sorted(got) == sorted((k >> 56, k, v) for part in parts for k, v in zip(*(c.tolist() for c in part)))
+
+
+def test_lines_meet_in_packed_keys():
+    sizes = [30, 31, 200, 30, 40, 40]
+    keys = lines.with_length(np.array([7, 7, 7, 8, 9, 9]) << lines.LENGTH_BITS, np.array(sizes)).view(np.uint64)
+    nodes = np.array([1, 2, 3, 4, 2, 1])
+    schema = pa.schema([("bucket", pa.int64()), ("c0", pa.binary()), ("c1", pa.binary())])
+    met = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    batches = lines.bucket_batches(dealing.deal(iter([[keys, nodes]] * 2), 256, schema), lines.near_lengths(0.9), (np.uint64, np.int64), met, lines.LENGTH_BITS)
+    rows = [tuple(x.values()) for b in batches for x in b.to_pylist()]
+    assert sorted(node for _, node in rows) == [1, 1, 2, 2]  # the third is too long, the fourth alone
+    assert len({key for key, _ in rows}) == 1  # both keys have the same lines
+
+
+def test_simhash_of_more_words_than_a_counter_holds():
+    rng = np.random.default_rng(8)
+    counts = [0, 1, 255, 256, 2000, 3]
+    hashes, first = rng.integers(0, 2**64, sum(counts), dtype=np.uint64), np.cumsum([0, *counts])
+    got = lines.simhash(hashes, first)
+    for i, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+        words = hashes[lo:hi].copy()
+        before = np.append(np.zeros(min(1, hi - lo), np.uint64), words[:-1])
+        bits = np.unpackbits(lines.mix(words + before * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(-1, 8), axis=1)
+        assert got[i].tobytes() == np.packbits(2 * bits.sum(0, dtype=int) > hi - lo).tobytes()
+
+
 def test_block_keys_meet_within_the_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
